@@ -6,7 +6,7 @@ import importlib
 
 from candlemill.catalog.registry import QUERIES, SQL
 
-MODULES = ("bars_and_features",)
+MODULES = ("bars_and_features", "trading")
 
 
 def _load() -> None:

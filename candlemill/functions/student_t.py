@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 NORMAL_975 = 1.959963984540054  # fixed value: 97.5% quantile of the normal distribution
 
@@ -52,7 +51,6 @@ def t_tail(t: float, df: float) -> float:
     return half if t >= 0 else 1.0 - half
 
 
-@lru_cache(maxsize=100_000)
 def t_quantile(p: float, df: float) -> float:
     """Value with P(T <= value) = p, by bisection on the tail."""
     if p < 0.5:
@@ -71,7 +69,7 @@ def t_quantile(p: float, df: float) -> float:
     return 0.5 * (low + high)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _tail_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     ok = t.notna() & df.notna() & (df > 0)
     out = np.full(len(t), np.nan)
@@ -79,9 +77,10 @@ def _tail_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out).where(~np.isnan(out), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _quantile_udf(p: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([t_quantile(float(a), float(b)) if b and b > 0 else None for a, b in zip(p, df)], dtype="float64")
+    known = {k: t_quantile(*k) for k in set(zip(p, df)) if k[1] > 0}
+    return pd.Series([known.get(k) for k in zip(p, df)], dtype="float64")
 
 
 def mean_ci(n: Column, mean: Column, sd: Column, confidence: float = 0.95) -> tuple[Column, Column, Column]:

@@ -187,3 +187,48 @@ def blend_signals(signal: Column, weight: Column, multiplier: Column) -> dict[st
         "aggregate_signal": clip(F.sum(weight * signal) / total, -1.0, 1.0),
         "geometric_multiplier": F.exp(F.sum(weight * F.log(F.greatest(multiplier, F.lit(PRICE_EPS)))) / total),
     }
+
+
+def signal_events(
+    bars: DataFrame, *, channel: int = 120, z_bars: int = 24, z_high: float = 3.2, z_confirm: float = 4.0, z_low: float = -1.2
+) -> DataFrame:
+    """Events from plain price rules, in the shape of detector events.
+
+    A close outside the prior channel is a confirmed rectangle break; a stretched z-score is a double
+    top (confirmed only when extreme) or double bottom. Families may contradict each other on a bar.
+    """
+
+    def build(w):
+        prior, recent = rows(w, channel, -1), rows(w, z_bars - 1)
+        z = F.try_divide(F.col("close") - F.avg("close").over(recent), F.stddev_pop("close").over(recent))
+        return {
+            "_hi": F.max("close").over(prior), "_lo": F.min("close").over(prior),
+            "_z": F.when(F.col("bar_index") >= z_bars - 1, z),
+        }
+
+    x = over_halo(bars, channel, build)
+    full = F.col("bar_index") >= channel
+    up, down = full & (F.col("close") > F.col("_hi")), full & (F.col("close") < F.col("_lo"))
+
+    def event(cond, name, confirmed, side, fit):
+        return F.when(cond, F.struct(
+            F.lit(name).alias("pattern_name"), confirmed.alias("breakout_confirmed"),
+            F.when(confirmed, side).alias("breakout_direction"), F.round(fit, 4).alias("geometry_fit_score")))
+
+    yes = F.lit(True)
+    gap = F.when(up, F.col("close") / F.col("_hi") - 1).otherwise(1 - F.col("close") / F.col("_lo"))
+    found = F.array_compact(F.array(
+        event(up | down, "rectangle", yes, F.when(up, "bullish").otherwise("bearish"), F.least(F.lit(1.0), gap)),
+        event(F.col("_z") > z_high, "double_top", F.col("_z") > z_confirm, F.lit("bearish"), F.least(F.lit(1.0), F.col("_z") / 5)),
+        event(F.col("_z") < z_low, "double_bottom", yes, F.lit("bullish"), F.least(F.lit(1.0), -F.col("_z") / 5)),
+    ))
+    e = x.filter(F.size(found) > 0).select("run_id", "bar_index", F.explode(found).alias("e"))
+    return e.select(
+        "run_id",
+        F.concat_ws("-", F.lit("EV"), "run_id", F.col("bar_index").cast("string"), F.col("e.pattern_name")).alias("event_id"),
+        "e.pattern_name", F.col("bar_index").alias("available_at_index"),
+        (F.col("bar_index") - 20).alias("start_index"), (F.col("bar_index") - 2).alias("end_index"),
+        F.lit(43).alias("observation_window_length"), F.lit(35).alias("core_window_length"),
+        "e.geometry_fit_score", "e.breakout_confirmed", "e.breakout_direction",
+        (F.col("bar_index") + 1).alias("entry_index"),
+    )

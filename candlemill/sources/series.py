@@ -55,6 +55,13 @@ def number_series(
     return out.select(*df.columns, step, *running)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write a table to the shared scratch folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def stored(spark: SparkSession, key: tuple, build) -> DataFrame:
     """Build a table once per session and source, then read it back as Parquet."""
     full = (spark.sparkContext.applicationId, *key)

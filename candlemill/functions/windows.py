@@ -81,8 +81,10 @@ def bucketed_scan(
     scans: Mapping[str, tuple[str, str]],
     *,
     reverse: bool = False,
+    exclusive: bool = False,
 ) -> DataFrame:
-    """Inclusive running aggregates ordered by (bucket, order) inside ``keys``.
+    """Running aggregates ordered by (bucket, order) inside ``keys``; the row itself counts unless
+    ``exclusive``.
 
     ``scans`` maps an output name to (sum|max|min, input column). With ``reverse`` the scan runs
     from the last bucket backwards and ``order`` must be given in that direction too. The bucket
@@ -98,7 +100,8 @@ def bucketed_scan(
         *keys, bucket,
         *[_FUNCS[kind](f"_t_{name}").over(before).alias(f"_p_{name}") for name, (kind, _) in scans.items()],
     )
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, -1 if exclusive else 0)
     out = df.withColumns({f"_i_{name}": _FUNCS[kind](src).over(inside) for name, (kind, src) in scans.items()})
     out = out.join(prefix, [*keys, bucket])
     out = out.withColumns(

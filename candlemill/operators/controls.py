@@ -175,21 +175,30 @@ def control_returns(drawn: DataFrame, trades: DataFrame, outcomes: DataFrame, mi
         F.when(F.col("_n") >= minimum, F.col("_a")).alias("matched_null_direction_accuracy"))
 
 
-def price_prefixes(bars: DataFrame, *, chunk: int = 65_536, scale: int = 1_000_000) -> DataFrame:
-    """Fingerprint of all OHLCV up to each bar.
+def running_fingerprint(bars: DataFrame, text: Column, name: str, *, chunk: int = 65_536) -> DataFrame:
+    """Fingerprint of all rows of a run up to each bar.
 
-    Every bar gives a position-bound hash number; the running sum of those numbers is fingerprinted.
-    Unlike a hash chain this needs no sequential pass over the run, and a later bar cannot change
-    an earlier prefix. Names, labels and times do not enter.
+    Every bar gives a position-bound hash number (``text`` must hold the bar index); the running sum
+    of those numbers is hashed. Unlike a hash chain this needs no sequential pass over the run, and
+    a later bar cannot change an earlier prefix.
     """
-    cents = lambda c: F.round(F.col(c) * scale).cast("long").cast("string")
-    text = F.concat_ws("|", F.col("bar_index").cast("string"), *[cents(c) for c in ("open", "high", "low", "close")],
-                       F.col("volume").cast("string"))
     number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
     x = bars.select("run_id", "bar_index", number.alias("_x"), F.floor(F.col("bar_index") / chunk).cast("long").alias("_b"))
     s = bucketed_scan(x, ["run_id"], "_b", ["bar_index"], {"_sum": ("sum", "_x")})
     return s.select("run_id", "bar_index", F.sha2(F.concat_ws(
-        ":", F.col("bar_index").cast("string"), F.col("_sum").cast("decimal(38,0)").cast("string")), 256).alias("prefix"))
+        ":", F.col("bar_index").cast("string"), F.col("_sum").cast("decimal(38,0)").cast("string")), 256).alias(name))
+
+
+def bar_text(columns: Sequence[str], scale: float = 1e6) -> Column:
+    """Position-bound text of a bar: index and scaled whole numbers."""
+    parts = [F.round(F.col(c) * scale).cast("long").cast("string") for c in columns]
+    return F.concat_ws("|", F.col("bar_index").cast("string"), *parts)
+
+
+def price_prefixes(bars: DataFrame) -> DataFrame:
+    """Causal OHLCV prefix. Names, labels and times do not enter."""
+    text = F.concat_ws("|", bar_text(["open", "high", "low", "close"]), F.col("volume").cast("string"))
+    return running_fingerprint(bars, text, "prefix")
 
 
 def observations(

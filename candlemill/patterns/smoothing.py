@@ -216,3 +216,47 @@ def pivot_windows(bars: DataFrame, config: PatternConfig = PatternConfig(), *, c
     rel = relative_log_price(bars).select("run_id", "bar_index", "rel_log")
     halo = spread_halo(rel, config.warmup_bars - 1, chunk=chunk)
     return halo.groupBy("run_id", "_chunk").applyInPandas(lambda pdf: chunk_windows(pdf, config), WINDOW_SCHEMA)
+
+
+SMOOTH_SCHEMA = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("core_length", T.IntegerType()),
+    T.StructField("window_end", T.LongType()),
+    T.StructField("noise", T.DoubleType()),
+    T.StructField("smooth_middle", T.DoubleType()),
+    T.StructField("smooth_end", T.DoubleType()),
+])
+
+
+def chunk_smooths(pdf: pd.DataFrame, config: PatternConfig) -> pd.DataFrame:
+    pdf = pdf.sort_values("bar_index", kind="mergesort")
+    x, bar, own = pdf["rel_log"].to_numpy(dtype=float), pdf["bar_index"].to_numpy(), pdf["_core"].to_numpy()
+    parts = []
+    for core in config.core_lengths:
+        length = config.observation_length(core)
+        if len(x) >= length:
+            ends = np.arange(length - 1, len(x))[own[length - 1:]]
+            smooth, noise = smooth_windows(np.lib.stride_tricks.sliding_window_view(x, length)[ends - length + 1], config.bandwidths(core))
+            parts.append(pd.DataFrame({
+                "run_id": pdf["run_id"].iloc[0], "core_length": np.int32(core), "window_end": bar[ends], "noise": noise,
+                "smooth_middle": smooth[:, length // 2], "smooth_end": smooth[:, -1]}))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=SMOOTH_SCHEMA.names)
+
+
+def smoothed_windows(bars: DataFrame, config: PatternConfig = PatternConfig(), *, chunk: int = CHUNK) -> DataFrame:
+    """Noise, middle and end of the smooth of every rolling window of every scale."""
+    rel = relative_log_price(bars).select("run_id", "bar_index", "rel_log")
+    halo = spread_halo(rel, config.warmup_bars - 1, chunk=chunk)
+    return halo.groupBy("run_id", "_chunk").applyInPandas(lambda pdf: chunk_smooths(pdf, config), SMOOTH_SCHEMA)
+
+
+def window_index(bars: DataFrame, config: PatternConfig = PatternConfig()) -> DataFrame:
+    """The rolling windows themselves: one row per scale and bar at which a window is complete."""
+    scale = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("core_length"), F.lit(config.observation_length(c)).alias("observation_length")) for c in config.core_lengths]))
+    return (
+        bars.select("run_id", F.col("bar_index").alias("window_end"), scale.alias("s"))
+        .select("run_id", "s.core_length", "s.observation_length", "window_end")
+        .filter(F.col("window_end") >= F.col("observation_length") - 1)
+        .withColumn("window_start", F.col("window_end") - F.col("observation_length") + 1)
+    )

@@ -6,7 +6,7 @@ import importlib
 
 from candlemill.catalog.registry import QUERIES, SQL
 
-MODULES = ("bars_and_features", "trading", "pattern_rows", "evaluation", "dataset_rows")
+MODULES = ("bars_and_features", "trading", "pattern_rows", "evaluation", "dataset_rows", "checks_and_io", "models_and_streams")
 
 
 def _load() -> None:

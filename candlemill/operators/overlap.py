@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candlemill.functions.windows import CHUNK
 from candlemill.operators.trades import signal_priority
+from candlemill.sources.series import written
 
 
 def resolve_same_entry(events: DataFrame, keys: Sequence[str], priority: Column | None = None) -> DataFrame:
@@ -118,7 +119,8 @@ def overlap_filter(
                     & (F.col("entry_index") >= 0) & (F.col("exit_index") < F.col("n_bars")))
     )
     bad = plan.filter(~F.coalesce("_ok", F.lit(False))).withColumn("status", F.lit("untradeable"))
-    good = resolve_same_entry(plan.filter("_ok"), keys)
+    # Read several times below: written once instead of being recomputed.
+    good = written(resolve_same_entry(plan.filter("_ok"), keys), "signals")
     lost = good.filter("_conflict OR _rank > 1").withColumn("status", F.lit("skipped"))
     first = good.filter("NOT _conflict AND _rank = 1")
     if policy == "skip_new":
@@ -160,7 +162,7 @@ def select_trades(rows: DataFrame, thresholds: Sequence[float], max_hold: int) -
     t = F.explode(F.array(*[F.lit(float(x)) for x in thresholds]))
     cand = rows.withColumn("threshold", t).filter(F.col("probability") >= F.col("threshold"))
     keys = ["run_id", "threshold"]
-    cand = resolve_scored_entry(cand, keys)
+    cand = written(resolve_scored_entry(cand, keys), "scored")
     won = skip_new(cand.filter("_winner"), keys, max_hold, name="executed")
     rest = cand.filter("NOT _winner").withColumn("executed", F.lit(False))
     return won.unionByName(rest).drop("_winner")

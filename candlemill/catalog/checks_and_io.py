@@ -207,9 +207,9 @@ add("V23_contract_differences",
 
 # --- SRC ---------------------------------------------------------------------------------------------
 add("SRC1_ohlcv_csv",
-    lambda s, d: parsed(s, d).select("run_id", F.unix_seconds("ts").alias("ts"), *[r6(c, digits=9) for c in ("open", "high", "low", "close")], r6("volume")),
+    lambda s, d: parsed(s, d).select("run_id", F.unix_seconds("ts").alias("ts"), r6("open", digits=9), r6("high_ratio", F.col("high") / F.col("open")), r6("low_ratio", F.col("low") / F.col("open")), r6("close", digits=9), r6("volume")),
     f"""WITH {S.LI} SELECT run_id, 1577836800 + (bar_index + CASE WHEN CAST(run_id AS BIGINT) % 5 = 0 AND bar_index > 100 THEN 1 ELSE 0 END) * 3600 AS ts, round(open, 9) AS open,
-    CASE WHEN NOT {SPOILED} THEN round(high, 9) END AS high, round(low, 9) AS low, round(close, 9) AS close, volume::DOUBLE AS volume FROM bars""")
+    CASE WHEN NOT {SPOILED} THEN round(high / open, 6) END AS high_ratio, round(low / open, 6) AS low_ratio, round(close, 9) AS close, volume::DOUBLE AS volume FROM bars""")
 add("SRC2_execution_quotes",
     lambda s, d: R.indexed_bars(parsed(s, d)).select("run_id", "bar_index", r6("entry_mid", digits=9), r6("exit_mid", digits=9), r6("entry_spread"), r6("exit_spread"), "execution_source"),
     f"WITH {S.LI} SELECT run_id, bar_index, round(open, 9) AS entry_mid, round(close, 9) AS exit_mid, 0.002::DOUBLE AS entry_spread, 0.004::DOUBLE AS exit_spread, 'explicit_open_close_quotes' AS execution_source FROM bars")

@@ -140,7 +140,7 @@ add("UDF3_pluggable_predictor",
 
 def tick_stream(s, d) -> DataFrame:
     return Q.read_table_stream(s, d, "events").select(
-        F.col("event_type").alias("run_id"), "ts", "event_id", (F.col("value") + 1.0).alias("price"), (1 + F.col("event_id") % 10).alias("volume"))
+        F.col("event_type").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("value") + 1.0).alias("price"), (1 + F.col("event_id") % 10).alias("volume"))
 
 
 def price_stream(s, d) -> DataFrame:

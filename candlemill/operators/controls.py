@@ -125,18 +125,18 @@ def nearest_pool(
     )
     one = [*POOL, "target"]
     du = F.abs(F.col("_pu") - F.col("_qu"))
-    side = Window.partitionBy(*banded, "target")
     whole = Window.partitionBy(*one)
-    # All windows below share one shuffle on the target.
-    scored = near.withColumns({
-        "_below": F.max(F.when(F.col("_rank") <= F.col("_pos"), du)).over(side),
-        "_above": F.max(F.when(F.col("_rank") > F.col("_pos"), du)).over(side),
-        "pool_rank": F.row_number().over(whole.orderBy("distance", "_idx")),
-    }).withColumn("_r", F.max(F.when(F.col("pool_rank") <= size, F.col("distance"))).over(whole))
-    # A band is covered when each side that was cut ends further away than the radius.
-    cut_below = (F.col("_pos") > size) & ~(F.col("_below") + F.col("_gap") > F.col("_r"))
-    cut_above = (F.col("_size") - F.col("_pos") > size) & ~(F.col("_above") + F.col("_gap") > F.col("_r"))
-    scored = scored.withColumn("_open", F.max(cut_below | cut_above).over(whole)).filter(F.col("pool_rank") <= size)
+    # Ranks follow volatility, so the first and last member of a band are its furthest on each side.
+    near = near.withColumn("_edge", F.when(
+        ((F.col("_rank") - 1 == lo) & (F.col("_pos") > size)) | ((F.col("_rank") - 1 == hi) & (F.col("_size") - F.col("_pos") > size)),
+        du + F.col("_gap")))
+    # One shuffle and one sort on the target serve all three windows.
+    scored = near.select(*one, "_idx", "distance", "_edge").withColumn(
+        "pool_rank", F.row_number().over(whole.orderBy("distance", "_idx"))
+    ).withColumn("_r", F.max(F.when(F.col("pool_rank") <= size, F.col("distance"))).over(whole))
+    # A side that was cut is covered only when its edge lies beyond the radius.
+    scored = scored.withColumn("_open", F.coalesce(F.max(F.col("_edge") <= F.col("_r")).over(whole), F.lit(False))).filter(
+        F.col("pool_rank") <= size)
     scored = written(scored.select(*one, F.col("_idx").alias("entry_index"), "distance", "pool_rank", "_open"), "nearest")
     open_ended = scored.filter("_open").select(*one).distinct()
     sure = scored.filter("NOT _open").drop("_open")

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from candlemill.functions.windows import over_halo, spread_halo
+from candlemill.functions.windows import over_halo, spread_chunks, spread_halo
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def decayed_states(
         pdf[names] = out
         return pdf.loc[pdf["_core"], keep + names]
 
-    return wide.groupBy("run_id", "_chunk").applyInPandas(fold, schema)
+    return spread_chunks(wide, "run_id", "_chunk").groupBy("run_id", "_chunk").applyInPandas(fold, schema)
 
 
 def mood(bars: DataFrame, cfg: MoodConfig = MoodConfig()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from candlemill.config import NEUTRAL_PATTERNS, PatternConfig, settings_hash
 from candlemill.functions.columns import diffs, median_of
-from candlemill.functions.windows import bucketed_scan
+from candlemill.functions.windows import bucketed_scan, spread_chunks
 from candlemill.operators.controls import price_prefixes
 from candlemill.operators.features import relative_log_price
 from candlemill.patterns.matchers import by_core, find_breakouts, match_patterns
@@ -197,31 +197,36 @@ def similarity(a, b, neutral: bool, config: PatternConfig) -> float:
 
 
 ORDER = ["available_at_index", "neg_fit", "start_index", "end_index", "core_length", "candidate_id"]
+ISLAND = ["run_id", "pattern_name", "island"]
 ASSIGNED = "run_id string, candidate_id string, event_id string, is_primary boolean, anchor_similarity double, relation string"
 
 
-def assign_events(pdf: pd.DataFrame, config: PatternConfig) -> pd.DataFrame:
-    """One island of one family, in causal order: join the most similar first member, else open."""
-    pdf = pdf.sort_values(ORDER, kind="mergesort")
-    neutral = pdf["pattern_name"].iloc[0] in NEUTRAL_PATTERNS
-    live, rows = [], []
-    for r in pdf.itertuples(index=False):
-        me = {"start": r.start_index, "end": r.end_index, "pivots": r.pivot_indices, "kinds": r.pivot_kinds}
-        live = [p for p in live if p["end"] >= r.available_at_index - config.warmup_bars]
-        best, score = None, 0.0
-        for p in live:
-            if p["end"] >= me["start"]:
-                s = similarity(p, me, neutral, config)
+def assign_events(frames, config: PatternConfig):
+    """Walk candidates in causal order, island after island: each joins the most similar first member
+    still in reach, or opens a new event. Only members in reach are held."""
+    current, live = None, []
+    for pdf in frames:
+        rows = []
+        for r in pdf.itertuples(index=False):
+            key = (r.run_id, r.pattern_name, r.island)
+            if key != current:
+                current, live = key, []
+            neutral = r.pattern_name in NEUTRAL_PATTERNS
+            me = {"start": r.start_index, "end": r.end_index, "pivots": r.pivot_indices, "kinds": r.pivot_kinds}
+            live = [p for p in live if p["end"] >= r.available_at_index - config.warmup_bars]
+            best, score = None, 0.0
+            for p in live:
+                s = similarity(p, me, neutral, config) if p["end"] >= me["start"] else 0.0
                 if s > score:
                     best, score = p, s
-        if best is None:
-            me["event"] = r.own_event_id
-            live.append(me)
-            rows.append((r.run_id, r.candidate_id, r.own_event_id, True, None, "primary"))
-        else:
-            moved = neutral and list(best["kinds"]) != list(me["kinds"])
-            rows.append((r.run_id, r.candidate_id, best["event"], False, score, "phase_shift_extension" if moved else "same_structure_view"))
-    return pd.DataFrame(rows, columns=["run_id", "candidate_id", "event_id", "is_primary", "anchor_similarity", "relation"])
+            if best is None:
+                live.append(me | {"event": r.own_event_id})
+                rows.append((r.run_id, r.candidate_id, r.own_event_id, True, None, "primary"))
+            else:
+                moved = neutral and list(best["kinds"]) != list(me["kinds"])
+                relation = "phase_shift_extension" if moved else "same_structure_view"
+                rows.append((r.run_id, r.candidate_id, best["event"], False, score, relation))
+        yield pd.DataFrame(rows, columns=["run_id", "candidate_id", "event_id", "is_primary", "anchor_similarity", "relation"])
 
 
 def independent_islands(candidates: DataFrame, *, chunk: int = 4096) -> DataFrame:
@@ -239,8 +244,9 @@ def cluster_candidates(candidates: DataFrame, config: PatternConfig = PatternCon
     slim = candidates.select(
         "run_id", "pattern_name", "candidate_id", "own_event_id", "start_index", "end_index", "available_at_index",
         (-F.col("geometry_fit_score")).alias("neg_fit"), "core_length", "pivot_indices", "pivot_kinds")
-    islands = independent_islands(slim)
-    out = islands.groupBy("run_id", "pattern_name", "island").applyInPandas(lambda pdf: assign_events(pdf, config), ASSIGNED)
+    # Islands are spread by hash and stream through sorted partitions; none is collected whole.
+    islands = spread_chunks(independent_islands(slim), *ISLAND).sortWithinPartitions(*ISLAND, *ORDER)
+    out = islands.mapInPandas(lambda frames: assign_events(frames, config), ASSIGNED)
     return candidates.join(out, ["run_id", "candidate_id"])
 
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from candlemill.config import GEOMETRY_FLOOR, PatternConfig
-from candlemill.functions.windows import CHUNK, spread_halo
+from candlemill.functions.windows import spread_chunks, spread_halo
 from candlemill.operators.features import relative_log_price
 
 PIVOT = T.StructType([
@@ -36,6 +36,7 @@ WINDOW_SCHEMA = T.StructType([
 ])
 
 MAD_SCALE = 1.4826
+DETECT_CHUNK = 2048  # bars per task unit; the halo of one window costs about 5%
 BREAKOUT_LOOKBACK = 10
 
 
@@ -211,11 +212,11 @@ def chunk_windows(pdf: pd.DataFrame, config: PatternConfig) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
-def pivot_windows(bars: DataFrame, config: PatternConfig = PatternConfig(), *, chunk: int = CHUNK) -> DataFrame:
+def pivot_windows(bars: DataFrame, config: PatternConfig = PatternConfig(), *, chunk: int = DETECT_CHUNK) -> DataFrame:
     """Windows of every scale with their noise, pivots and raw tail, known at ``window_end``."""
     rel = relative_log_price(bars).select("run_id", "bar_index", "rel_log")
     halo = spread_halo(rel, config.warmup_bars - 1, chunk=chunk)
-    return halo.groupBy("run_id", "_chunk").applyInPandas(lambda pdf: chunk_windows(pdf, config), WINDOW_SCHEMA)
+    return spread_chunks(halo, "run_id", "_chunk").groupBy("run_id", "_chunk").applyInPandas(lambda pdf: chunk_windows(pdf, config), WINDOW_SCHEMA)
 
 
 SMOOTH_SCHEMA = T.StructType([
@@ -243,11 +244,11 @@ def chunk_smooths(pdf: pd.DataFrame, config: PatternConfig) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=SMOOTH_SCHEMA.names)
 
 
-def smoothed_windows(bars: DataFrame, config: PatternConfig = PatternConfig(), *, chunk: int = CHUNK) -> DataFrame:
+def smoothed_windows(bars: DataFrame, config: PatternConfig = PatternConfig(), *, chunk: int = DETECT_CHUNK) -> DataFrame:
     """Noise, middle and end of the smooth of every rolling window of every scale."""
     rel = relative_log_price(bars).select("run_id", "bar_index", "rel_log")
     halo = spread_halo(rel, config.warmup_bars - 1, chunk=chunk)
-    return halo.groupBy("run_id", "_chunk").applyInPandas(lambda pdf: chunk_smooths(pdf, config), SMOOTH_SCHEMA)
+    return spread_chunks(halo, "run_id", "_chunk").groupBy("run_id", "_chunk").applyInPandas(lambda pdf: chunk_smooths(pdf, config), SMOOTH_SCHEMA)
 
 
 def window_index(bars: DataFrame, config: PatternConfig = PatternConfig()) -> DataFrame:

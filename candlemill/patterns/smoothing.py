@@ -192,6 +192,8 @@ def chunk_windows(pdf: pd.DataFrame, config: PatternConfig) -> pd.DataFrame:
             block, block_ends = windows[lo: lo + 2048], ends[lo: lo + 2048]
             noise, kept, size, c = window_pivots(block, config, core)
             keep = np.flatnonzero(_may_hold_pattern(kept, size, c["idx"], core, config))
+            if not len(keep):
+                continue
             tail = tail_length(config, core)
             parts.append(pd.DataFrame({
                 "run_id": run, "core_length": np.int32(core), "window_end": bar[block_ends[keep]],

@@ -66,29 +66,29 @@ E_REAL = ["selection_rate", "selected_success_rate", "mean_selected_net_return",
 def _units(s, d):
     picked = O.select_trades(trades(s, d), [0.5], HOLD).filter("executed").drop("threshold")
     per_run = P.run_totals(universe(s, d), picked, [])
-    return P.structure_units(per_run, "run_return").select("structure_id", r6("unit", digits=10))
+    return P.structure_units(per_run, "run_return").select("structure_id", r6("unit", digits=13))
 
 
 add("AGG13_structure_units", _units,
-    f"WITH RECURSIVE {BASE}, {econ_sql([0.5])} SELECT structure_id, round(unit, 10) AS unit FROM su2")
+    f"WITH RECURSIVE {BASE}, {econ_sql([0.5])} SELECT structure_id, round(unit, 13) AS unit FROM su2")
 add(
     "AGG14_economic_metrics",
-    lambda s, d: P.economic_metrics(trades(s, d), universe(s, d), [0.5], HOLD).select(r6("threshold"), *E_INT, *[r6(c, digits=10) for c in E_REAL]),
-    f"WITH RECURSIVE {BASE}, {econ_sql([0.5])} SELECT round(threshold, 6) AS threshold, {', '.join(E_INT)}, {S.pick(E_REAL, 10)} FROM ec",
+    lambda s, d: P.economic_metrics(trades(s, d), universe(s, d), [0.5], HOLD).select(r6("threshold"), *E_INT, *[r6(c, digits=13) for c in E_REAL]),
+    f"WITH RECURSIVE {BASE}, {econ_sql([0.5])} SELECT round(threshold, 6) AS threshold, {', '.join(E_INT)}, {S.pick(E_REAL, 13)} FROM ec",
 )
 add(
     "AGG15_max_drawdown",
     lambda s, d: P.run_drawdown(O.select_trades(trades(s, d), [0.0], HOLD).filter("executed"), ["run_id"], "net_directional_return", "entry_index").select(
-        "run_id", r6("max_drawdown", digits=10)),
-    f"WITH RECURSIVE {BASE}, {econ_sql([0.0])} SELECT run_id, round(dd, 10) AS max_drawdown FROM rt",
+        "run_id", r6("max_drawdown", digits=13)),
+    f"WITH RECURSIVE {BASE}, {econ_sql([0.0])} SELECT run_id, round(dd, 13) AS max_drawdown FROM rt",
 )
 ONE = f"trades1 AS (SELECT * REPLACE (1.0::DOUBLE AS probability) FROM trades)"
 add(
     "AGG16_baseline_metrics",
     lambda s, d: P.baseline_metrics(trades(s, d), universe(s, d), HOLD).select(
-        *[f"baseline_{c}" for c in E_INT], *[r6(f"baseline_{c}", digits=10) for c in E_REAL]),
+        *[f"baseline_{c}" for c in E_INT], *[r6(f"baseline_{c}", digits=13) for c in E_REAL]),
     f"""WITH RECURSIVE {BASE}, {ONE}, {econ_sql([0.5], 'trades1')} SELECT {', '.join(f'{c} AS baseline_{c}' for c in E_INT)},
-    {', '.join(S.r(c, f'baseline_{c}', 10) for c in E_REAL)} FROM ec""",
+    {', '.join(S.r(c, f'baseline_{c}', 13) for c in E_REAL)} FROM ec""",
 )
 _lo, _hi = ci_columns("n", "m", "sd", "x")
 _second = econ_sql([0.5], "trades1", "ec2")
@@ -97,30 +97,30 @@ for _t in ("sc", "st", "su", "sq", "sr", "ex", "cu", "pk", "rt", "ug", "ur", "su
 add(
     "AGG17_paired_uplift",
     lambda s, d: P.paired_uplift(trades(s, d), universe(s, d), 0.6, HOLD).select(
-        r6("mean_uplift", digits=10), r6("uplift_ci_low", digits=10), r6("uplift_ci_high", digits=10), r6("uplift_p_value"), r6("outperforms_run_fraction"),
+        r6("mean_uplift", digits=13), r6("uplift_ci_low", digits=13), r6("uplift_ci_high", digits=13), r6("uplift_p_value"), r6("outperforms_run_fraction"),
         r6("equals_run_fraction"), "evaluation_runs", "inference_structures"),
     f"""WITH RECURSIVE {BASE}, {ONE}, {econ_sql([0.6])}, {_second},
     df AS (SELECT ur.run_id, ur.structure_id, ur.tot - z_ur.tot AS u FROM ur JOIN z_ur ON z_ur.run_id = ur.run_id),
     un AS (SELECT structure_id, avg(u) AS unit FROM df GROUP BY 1), ag AS (SELECT count(*) AS n, avg(unit) AS m, stddev_samp(unit) AS sd FROM un),
     sh AS (SELECT avg(CASE WHEN u > 0 THEN 1.0 ELSE 0.0 END) AS w, avg(CASE WHEN u = 0 THEN 1.0 ELSE 0.0 END) AS e, count(*) AS c FROM df)
-    SELECT round(m, 10) AS mean_uplift, round({_lo}, 10) AS uplift_ci_low, round({_hi}, 10) AS uplift_ci_high, round({p_expr('n', 'm', 'sd')}, 6) AS uplift_p_value,
+    SELECT round(m, 13) AS mean_uplift, round({_lo}, 13) AS uplift_ci_low, round({_hi}, 13) AS uplift_ci_high, round({p_expr('n', 'm', 'sd')}, 6) AS uplift_p_value,
       round(w, 6) AS outperforms_run_fraction, round(e, 6) AS equals_run_fraction, c AS evaluation_runs, n AS inference_structures FROM ag JOIN sh ON true LEFT JOIN tcrit tc_x ON tc_x.df = n - 1""",
 )
 add(
     "AGG18_family_metrics",
     lambda s, d: P.by_family(trades(s, d), universe(s, d), 0.5, HOLD).select("family", "test_runs", "test_observations",
-        r6("mean_run_net_return_points", digits=10), r6("selected_success_rate")),
+        r6("mean_run_net_return_points", digits=13), r6("selected_success_rate")),
     f"""WITH RECURSIVE {BASE}, {econ_sql([0.5])}, fm AS (SELECT *, CASE WHEN world_family = 'structured' THEN 'structured' ELSE 'null' END AS family FROM ur),
     fu AS (SELECT family, structure_id, avg(tot) AS unit FROM fm GROUP BY 1, 2), f1 AS (SELECT family, avg(unit) AS m FROM fu GROUP BY 1),
     f2 AS (SELECT family, count(*) AS test_runs FROM fm GROUP BY 1), f3 AS (SELECT family, count(*) AS o FROM trades JOIN fm ON fm.run_id = trades.run_id GROUP BY 1),
     f4 AS (SELECT family, avg(profitable) AS w FROM ex JOIN fm ON fm.run_id = ex.run_id GROUP BY 1)
-    SELECT f2.family, test_runs, o AS test_observations, round(m, 10) AS mean_run_net_return_points, round(w, 6) AS selected_success_rate
+    SELECT f2.family, test_runs, o AS test_observations, round(m, 13) AS mean_run_net_return_points, round(w, 6) AS selected_success_rate
     FROM f2 JOIN f1 ON f1.family = f2.family LEFT JOIN f3 ON f3.family = f2.family LEFT JOIN f4 ON f4.family = f2.family""",
 )
 add(
     "AGG19_per_pattern_metrics",
     lambda s, d: P.by_pattern(trades(s, d), universe(s, d), 0.5, HOLD).select("pattern_type", "observations", r6("base_success_rate"), "selected_trades",
-        r6("selected_success_rate"), r6("mean_selected_net_return", digits=10), r6("mean_run_net_return_points", digits=10)),
+        r6("selected_success_rate"), r6("mean_selected_net_return", digits=13), r6("mean_run_net_return_points", digits=13)),
     f"""WITH RECURSIVE {BASE}, tp AS (SELECT * REPLACE (pattern_type || '|' || run_id AS run_id), run_id AS src FROM trades), {scored_sql([0.5], 'tp')},
     ex AS (SELECT sq.* FROM sq JOIN sr ON sr.run_id = sq.run_id AND sr.rn = sq.rn AND sr.acc), pt AS (SELECT DISTINCT pattern_type FROM trades),
     tot AS (SELECT pattern_type, src, sum(net_directional_return) AS t FROM ex GROUP BY 1, 2),
@@ -128,7 +128,7 @@ add(
     mu AS (SELECT pattern_type, avg(u) AS m FROM un GROUP BY 1), b AS (SELECT pattern_type, count(*) AS n, avg(profitable) AS p FROM trades GROUP BY 1),
     e AS (SELECT pattern_type, count(*) AS n, avg(profitable) AS p, avg(net_directional_return) AS r FROM ex GROUP BY 1)
     SELECT b.pattern_type, b.n AS observations, round(b.p, 6) AS base_success_rate, coalesce(e.n, 0) AS selected_trades, round(e.p, 6) AS selected_success_rate,
-      round(e.r, 10) AS mean_selected_net_return, round(m, 10) AS mean_run_net_return_points FROM b JOIN mu ON mu.pattern_type = b.pattern_type LEFT JOIN e ON e.pattern_type = b.pattern_type""",
+      round(e.r, 13) AS mean_selected_net_return, round(m, 13) AS mean_run_net_return_points FROM b JOIN mu ON mu.pattern_type = b.pattern_type LEFT JOIN e ON e.pattern_type = b.pattern_type""",
 )
 
 
@@ -166,9 +166,9 @@ add(
     "AGG21_dataset_diagnostics",
     lambda s, d: P.dataset_diagnostics(with_structure(s, d)).select(
         F.coalesce("pattern_type", F.lit("*")).alias("pattern_type"), F.coalesce("world_family", F.lit("*")).alias("world_family"),
-        "observations", "structures", "runs", r6("success_rate"), r6("mean_net_return", digits=10)),
+        "observations", "structures", "runs", r6("success_rate"), r6("mean_net_return", digits=13)),
     f"""WITH {BASE}, j AS (SELECT * FROM trades JOIN runs USING (run_id)) SELECT coalesce(pattern_type, '*') AS pattern_type, coalesce(world_family, '*') AS world_family, count(*) AS observations,
-    count(DISTINCT structure_id) AS structures, count(DISTINCT run_id) AS runs, round(avg(profitable), 6) AS success_rate, round(avg(net_directional_return), 10) AS mean_net_return
+    count(DISTINCT structure_id) AS structures, count(DISTINCT run_id) AS runs, round(avg(profitable), 6) AS success_rate, round(avg(net_directional_return), 13) AS mean_net_return
     FROM j GROUP BY GROUPING SETS ((pattern_type), (world_family), ())""",
 )
 add(
@@ -218,22 +218,22 @@ add("AGG23_across_run_summary",
 add(
     "AGG24_mergeable_moments",
     lambda s, d: P.unit_interval(trades(s, d).withColumnRenamed("net_directional_return", "unit"), ["pattern_type"]).select(
-        "pattern_type", F.col("inference_structures").alias("n"), r6("mean", F.col("mean_unit"), 10), r6("ci_low", digits=10), r6("ci_high", digits=10)),
+        "pattern_type", F.col("inference_structures").alias("n"), r6("mean", F.col("mean_unit"), 13), r6("ci_low", digits=13), r6("ci_high", digits=13)),
     # More degrees of freedom than the quantile table: the interval is checked through its half width below 200 only.
     None,
 )
 add(
     "AGG24_moments_and_p_value",
     lambda s, d: P.unit_interval(with_structure(s, d).groupBy("pattern_type", "structure_id").agg(F.avg("net_directional_return").alias("unit")), ["pattern_type"]).select(
-        "pattern_type", F.col("inference_structures").alias("n"), r6("mean", F.col("mean_unit"), 10), r6("ci_low", digits=10), r6("ci_high", digits=10), r6("p_value")),
+        "pattern_type", F.col("inference_structures").alias("n"), r6("mean", F.col("mean_unit"), 13), r6("ci_low", digits=13), r6("ci_high", digits=13), r6("p_value")),
     f"""WITH {BASE}, u AS (SELECT pattern_type, structure_id, avg(net_directional_return) AS unit FROM trades JOIN runs USING (run_id) GROUP BY 1, 2),
     a AS (SELECT pattern_type, count(*) AS n, avg(unit) AS m, stddev_samp(unit) AS sd FROM u GROUP BY 1)
-    SELECT pattern_type, n, round(m, 10) AS mean, round({_lo}, 10) AS ci_low, round({_hi}, 10) AS ci_high, round({p_expr('n', 'm', 'sd')}, 6) AS p_value FROM a LEFT JOIN tcrit tc_x ON tc_x.df = n - 1""",
+    SELECT pattern_type, n, round(m, 13) AS mean, round({_lo}, 13) AS ci_low, round({_hi}, 13) AS ci_high, round({p_expr('n', 'm', 'sd')}, 6) AS p_value FROM a LEFT JOIN tcrit tc_x ON tc_x.df = n - 1""",
 )
 add(
     "AGG25_economics_many_thresholds",
-    lambda s, d: P.economic_metrics(trades(s, d), universe(s, d), THRESHOLDS, HOLD).select(r6("threshold"), *E_INT, *[r6(c, digits=10) for c in E_REAL]),
-    f"WITH RECURSIVE {BASE}, {econ_sql(THRESHOLDS)} SELECT round(threshold, 6) AS threshold, {', '.join(E_INT)}, {S.pick(E_REAL, 10)} FROM ec",
+    lambda s, d: P.economic_metrics(trades(s, d), universe(s, d), THRESHOLDS, HOLD).select(r6("threshold"), *E_INT, *[r6(c, digits=13) for c in E_REAL]),
+    f"WITH RECURSIVE {BASE}, {econ_sql(THRESHOLDS)} SELECT round(threshold, 6) AS threshold, {', '.join(E_INT)}, {S.pick(E_REAL, 13)} FROM ec",
 )
 add(
     "AGG26_counts_by_structure",
@@ -303,8 +303,8 @@ add("CLS9_threshold_grid", threshold_grid,
     count(*) FILTER (probability >= least(0.9::DOUBLE, 0.5::DOUBLE + i * 0.025::DOUBLE)) AS candidates FROM trades, range(17) r(i) GROUP BY 1, 2""")
 add("CLS10_threshold_choice",
     lambda s, d: C.choose_threshold(P.economic_metrics(trades(s, d), universe(s, d), THRESHOLDS, HOLD), 25, 5).select(
-        r6("threshold"), "selected_trades", "selected_runs", r6("mean_run_net_return_points", digits=10)),
-    f"""WITH RECURSIVE {BASE}, {econ_sql(THRESHOLDS)} SELECT round(threshold, 6) AS threshold, selected_trades, selected_runs, round(mean_run_net_return_points, 10) AS mean_run_net_return_points
+        r6("threshold"), "selected_trades", "selected_runs", r6("mean_run_net_return_points", digits=13)),
+    f"""WITH RECURSIVE {BASE}, {econ_sql(THRESHOLDS)} SELECT round(threshold, 6) AS threshold, selected_trades, selected_runs, round(mean_run_net_return_points, 13) AS mean_run_net_return_points
     FROM ec WHERE selected_trades >= 25 AND selected_runs >= 5 ORDER BY ec.mean_run_net_return_points DESC, selected_runs DESC, ec.threshold LIMIT 1""")
 add("CLS11_validation_metrics_row",
     lambda s, d: C.classification_metrics(labelled(s, d), 0.5).withColumnsRenamed({c: f"validation_{c}" for c in (

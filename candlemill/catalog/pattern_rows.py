@@ -316,3 +316,40 @@ add(
     f"""WITH {S.WALK} SELECT run_id, core_length, ob - 1 AS first_available FROM (SELECT run_id, count(*) AS n FROM bars GROUP BY 1), (VALUES (35, 43), (55, 67), (80, 96)) v(core_length, ob) WHERE n >= ob""",
 )
 add("PAT35_event_listing", lambda s, d: D.event_listing(found(s, d).events))
+
+# --- the shortest scale again, with SQL, for the rows that describe single candidates ------------------
+
+
+def short(s, d) -> DataFrame:
+    return stored(s, ("short", d), lambda: D.public_candidates(M.find_breakouts(matched35(s, d), ONE), ONE))
+
+
+CAND = f"""{GEO}, cd AS (SELECT mc.*, we - 42 + x1 AS a, we - 42 + xe AS z FROM mc)"""
+add("PAT20_short_scale_candidates",
+    lambda s, d: short(s, d).select("run_id", "pattern_name", "start_index", "end_index", "available_at_index", "entry_index", "phase_start",
+        *[F.col(c).cast("long").alias(c) for c in ("pattern_span_bars", "pattern_age_at_availability_bars", "pattern_age_at_core_end_bars")]),
+    f"""WITH RECURSIVE {CAND} SELECT run_id, pattern_name, a AS start_index, z AS end_index, we AS available_at_index, we + 1 AS entry_index, CASE WHEN kd = 1 THEN 'high' ELSE 'low' END AS phase_start,
+    xe - x1 + 1 AS pattern_span_bars, 42 - xe AS pattern_age_at_availability_bars, 38 - xe AS pattern_age_at_core_end_bars FROM cd""")
+add("PAT19_short_scale_coordinates",
+    lambda s, d: short(s, d).select("run_id", "window_end", "pattern_name", "start_index", r6("upper_intercept_global", digits=5), r6("lower_intercept_global", digits=5), r6("apex_global", digits=4)),
+    f"""WITH RECURSIVE {CAND} SELECT run_id, we AS window_end, pattern_name, a AS start_index, round(uin - usl * (we - 42), 5) AS upper_intercept_global,
+    round(lin - lsl * (we - 42), 5) AS lower_intercept_global, round(apex + we - 42, 4) AS apex_global FROM cd""")
+add("PAT17_short_scale_wicks",
+    lambda s, d: D.refine_pivots(short(s, d), V.walk_bars(s, d), ONE).select("run_id", "window_end", "pattern_name", "start_index", _txt("pivot_wick_refined")),
+    f"""WITH RECURSIVE {CAND}, wk AS (SELECT cd.run_id, cd.we, pattern_name, a, pv.i, b.bar_index, row_number() OVER (PARTITION BY cd.run_id, cd.we, pattern_name, a, pv.i
+      ORDER BY CASE WHEN pv.kd = 1 THEN -b.high ELSE b.low END, b.bar_index) AS k
+      FROM cd JOIN pv ON pv.run_id = cd.run_id AND pv.we = cd.we AND pv.i BETWEEN cd.x1 AND cd.xe
+      JOIN bars b ON b.run_id = cd.run_id AND b.bar_index BETWEEN greatest(a, cd.we - 42 + pv.i - 1) AND least(z, cd.we - 42 + pv.i + 1))
+    SELECT run_id, we AS window_end, pattern_name, a AS start_index, string_agg(bar_index, ',' ORDER BY i) AS pivot_wick_refined FROM wk WHERE k = 1 GROUP BY 1, 2, 3, 4""")
+add("PAT18_short_scale_context",
+    lambda s, d: D.context_features(short(s, d), V.walk_bars(s, d), ONE).select("run_id", "window_end", "pattern_name", "start_index", *[r6(c) for c in CONTEXT]),
+    f"""WITH RECURSIVE {CAND}, cj AS (SELECT cd.run_id, cd.we, pattern_name, a, b.bar_index, b.bar_index < a AS pre, rl.x, b.volume, ln(b.high / b.low) AS rg
+      FROM cd JOIN bars b ON b.run_id = cd.run_id AND b.bar_index BETWEEN a - 10 AND z JOIN rl ON rl.run_id = b.run_id AND rl.bar_index = b.bar_index),
+    dj AS (SELECT *, x - lag(x) OVER (PARTITION BY run_id, we, pattern_name, a, pre ORDER BY bar_index) AS df FROM cj),
+    mj AS (SELECT *, median(df) OVER (PARTITION BY run_id, we, pattern_name, a, pre) AS md FROM dj),
+    g AS (SELECT run_id, we, pattern_name, a, pre, arg_max(x, bar_index) - arg_min(x, bar_index) AS ret, regr_slope(x, bar_index) AS sl, stddev_pop(df) AS sd, 1.4826 * median(abs(df - md)) AS rb,
+      avg(volume) AS v, avg(rg) AS rg FROM mj GROUP BY 1, 2, 3, 4, 5)
+    SELECT i.run_id, i.we AS window_end, i.pattern_name, i.a AS start_index, round(p.ret, 6) AS pre_pattern_log_return, round(p.sl, 6) AS pre_pattern_trend_slope, round(p.sd, 6) AS pre_pattern_log_volatility,
+      round(p.rb, 6) AS pre_pattern_robust_log_volatility, round(i.sd, 6) AS pattern_log_volatility, round(i.rb, 6) AS pattern_robust_log_volatility, round(i.v / p.v, 6) AS pattern_to_pre_volume_ratio,
+      round(ln(i.v / p.v), 6) AS pattern_to_pre_log_volume_ratio, round(i.rg, 6) AS pattern_mean_log_high_low_range
+    FROM g i JOIN g p ON p.run_id = i.run_id AND p.we = i.we AND p.pattern_name = i.pattern_name AND p.a = i.a AND p.pre AND NOT i.pre""")

@@ -186,5 +186,7 @@ class ExperimentConfig:
         _require(abs(total - 1.0) < 1e-9, "split fractions must sum to 1")
 
     def thresholds(self) -> list[float]:
-        n = math.floor((self.threshold_max - self.threshold_min) / self.threshold_step + 1e-12) + 1
-        return [min(self.threshold_max, self.threshold_min + i * self.threshold_step) for i in range(n)]
+        """Whole steps from the lowest threshold; the highest is never passed."""
+        last = int((self.threshold_max - self.threshold_min) / self.threshold_step + 1e-12)
+        grid = (self.threshold_min + k * self.threshold_step for k in range(last + 1))
+        return [t if t < self.threshold_max else self.threshold_max for t in grid]

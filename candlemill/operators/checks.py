@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -94,10 +95,10 @@ _UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}  # fixed values
 
 def timeframe_seconds(label: str) -> float:
     """Seconds of a fixed-duration label such as 15m or 1d; calendar months are refused."""
-    text = label.strip()
-    if len(text) < 2 or text[-1] not in _UNITS or not text[:-1].isdigit() or int(text[:-1]) == 0:
+    parts = re.fullmatch(r"0*([1-9][0-9]*)([smhdw])", label.strip())
+    if parts is None:
         raise ValueError(f"not a fixed duration: {label!r}")
-    return float(int(text[:-1]) * _UNITS[text[-1]])
+    return float(int(parts[1]) * _UNITS[parts[2]])
 
 
 def irregular_spacing(bars: DataFrame, time: str = "ts", timeframe: str | None = None) -> DataFrame:

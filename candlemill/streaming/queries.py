@@ -1,4 +1,8 @@
-"""Structured Streaming forms of bars, detection, the position guard and run metrics."""
+"""Structured Streaming forms of bars, detection, the position guard and run metrics.
+
+A key's share of one micro-batch is sorted in one task. Bound it on the source
+(``maxFilesPerTrigger`` or the like); between batches only the small state of a key is kept.
+"""
 
 from __future__ import annotations
 

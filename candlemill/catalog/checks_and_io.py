@@ -341,8 +341,8 @@ add("SNK12_predictions_gzip",
     lambda s, d: csv(s, once(s, d, "pred", lambda p: K.write_predictions(V.event_scores(s, d), p))).select(F.col("row_id").cast("long").alias("row_id"), r6("probability"), F.col("label").cast("long").alias("label")),
     f"WITH {S.SCORES} SELECT row_id, round(probability, 6) AS probability, label FROM scores")
 add("SNK13_pending_work",
-    lambda s, d: K.pending(V.customer_runs(s, d), V.order_trades(s, d).select("run_id").distinct().withColumn("contract", F.lit("c1")), "c1").select("run_id", "structure_id"),
-    f"WITH {S.CUSTOMER_RUNS} SELECT run_id, structure_id FROM runs WHERE run_id NOT IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders)")
+    lambda s, d: K.pending(V.customer_runs(s, d), V.order_trades(s, d).filter("pattern_type = 'head_and_shoulders'").select("run_id").distinct().withColumn("contract", F.lit("c1")), "c1").select("run_id", "structure_id"),
+    f"WITH {S.CUSTOMER_RUNS} SELECT run_id, structure_id FROM runs WHERE run_id NOT IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT')")
 
 
 def frozen_choice(s, d) -> DataFrame:

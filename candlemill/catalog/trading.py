@@ -509,12 +509,12 @@ def sup(p: str, a: float) -> str:
 
 # One pre-registered family is tested: a wide family of empty hypotheses would drown it.
 FAM = "rectangle"
-SEL_SQL = f"""{RM_SQL}, {critical_cte()}, {agg_sql('rm', name='hy_all')}, hy AS (SELECT * FROM hy_all WHERE hypothesis = '{FAM}'),
+SEL_SQL = f"""{RM_SQL}, {critical_cte()}, {agg_sql('rm', name='hy_all')}, hy AS (SELECT * FROM hy_all WHERE hypothesis = '{FAM}' AND seed_count_with_matched_nulls >= 2),
 bh0 AS (SELECT *, row_number() OVER (ORDER BY raw_p_value_primary_edge, structure_id, hypothesis, horizon) AS rk, count(*) OVER () AS mm FROM hy),
 bh AS (SELECT *, least(1, min(raw_p_value_primary_edge * mm / rk) OVER (ORDER BY rk DESC)) AS q FROM bh0), sel AS (SELECT * FROM bh WHERE {sup('q', 0.999)} ORDER BY q, mean_effect_vs_matched DESC, mean_net_return_per_trade DESC, event_count DESC, structure_id, hypothesis, horizon LIMIT 100)"""
 add(
     "AGG8_discovery_selection",
-    lambda s, d: I.select_discovery(hypotheses(s, d).filter(F.col("hypothesis") == FAM), LOOSE).select(*hkey(), "event_count", r6("discovery_fdr_q_value")),
+    lambda s, d: I.select_discovery(hypotheses(s, d).filter((F.col("hypothesis") == FAM) & (F.col("seed_count_with_matched_nulls") >= 2)), LOOSE).select(*hkey(), "event_count", r6("discovery_fdr_q_value")),
     f"WITH RECURSIVE {SEL_SQL} SELECT {', '.join(HKEY)}, event_count, round(q, 6) AS discovery_fdr_q_value FROM sel",
 )
 
@@ -524,13 +524,13 @@ def halves(s, d, odd: int) -> DataFrame:
 
 
 def validated(s, d) -> DataFrame:
-    picked = I.select_discovery(I.aggregate_metrics(halves(s, d, 0), LOOSE), LOOSE)
+    picked = I.select_discovery(I.aggregate_metrics(halves(s, d, 0), LOOSE).filter("seed_count_with_matched_nulls >= 2"), LOOSE)
     return I.validate_selected(I.aggregate_metrics(halves(s, d, 1), LOOSE), picked, LOOSE)
 
 
 VAL_SQL = f"""{RM_SQL}, {critical_cte()}, rm0 AS (SELECT * FROM rm WHERE seed % 2 = 0 AND hypothesis = '{FAM}'), rm1 AS (SELECT * FROM rm WHERE seed % 2 = 1 AND hypothesis = '{FAM}'),
 {agg_sql('rm0', name='hd')}, {agg_sql('rm1', name='hv2')},
-d0 AS (SELECT *, row_number() OVER (ORDER BY raw_p_value_primary_edge, structure_id, hypothesis, horizon) AS rk, count(*) OVER () AS mm FROM hd),
+d0 AS (SELECT *, row_number() OVER (ORDER BY raw_p_value_primary_edge, structure_id, hypothesis, horizon) AS rk, count(*) OVER () AS mm FROM hd WHERE seed_count_with_matched_nulls >= 2),
 d1 AS (SELECT *, least(1, min(raw_p_value_primary_edge * mm / rk) OVER (ORDER BY rk DESC)) AS q FROM d0),
 sel AS (SELECT * FROM d1 WHERE {sup('q', 0.999)} ORDER BY q, mean_effect_vs_matched DESC, mean_net_return_per_trade DESC, event_count DESC, structure_id, hypothesis, horizon LIMIT 100),
 v0 AS (SELECT hv2.* FROM hv2 JOIN sel USING (structure_id, hypothesis, horizon)),

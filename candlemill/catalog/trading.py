@@ -520,7 +520,8 @@ add(
 
 
 def halves(s, d, odd: int) -> DataFrame:
-    return metrics(s, d).filter((F.col("seed") % 2 == odd) & (F.col("hypothesis") == FAM))
+    """Discovery (0) and held-out (1) seeds; the two never meet."""
+    return metrics(s, d).filter(((F.col("seed") % 4 == 0) == bool(odd)) & (F.col("hypothesis") == FAM))
 
 
 def validated(s, d) -> DataFrame:
@@ -528,7 +529,7 @@ def validated(s, d) -> DataFrame:
     return I.validate_selected(I.aggregate_metrics(halves(s, d, 1), LOOSE), picked, LOOSE)
 
 
-VAL_SQL = f"""{RM_SQL}, {critical_cte()}, rm0 AS (SELECT * FROM rm WHERE seed % 2 = 0 AND hypothesis = '{FAM}'), rm1 AS (SELECT * FROM rm WHERE seed % 2 = 1 AND hypothesis = '{FAM}'),
+VAL_SQL = f"""{RM_SQL}, {critical_cte()}, rm0 AS (SELECT * FROM rm WHERE seed % 4 <> 0 AND hypothesis = '{FAM}'), rm1 AS (SELECT * FROM rm WHERE seed % 4 = 0 AND hypothesis = '{FAM}'),
 {agg_sql('rm0', name='hd')}, {agg_sql('rm1', name='hv2')},
 d0 AS (SELECT *, row_number() OVER (ORDER BY raw_p_value_primary_edge, structure_id, hypothesis, horizon) AS rk, count(*) OVER () AS mm FROM hd WHERE seed_count_with_matched_nulls >= 2),
 d1 AS (SELECT *, least(1, min(raw_p_value_primary_edge * mm / rk) OVER (ORDER BY rk DESC)) AS q FROM d0),

@@ -44,7 +44,9 @@ def spread_halo(
 def spread_chunks(df: DataFrame, *keys: str) -> DataFrame:
     """Hash the chunks over all shuffle partitions by number, so that small but CPU-heavy chunks are
     not merged into a few tasks by their byte size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(parts, 8 * spark.sparkContext.defaultParallelism), *keys)
 
 
 def chunk_window(run: Sequence[str] = ("run_id",), index: str = "bar_index"):

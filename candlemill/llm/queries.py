@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlemill.llm import kd_shards, mixing, url_filter, warc
+from candlemill.llm import kd_shards, mixing, repair_tokens, url_filter, warc
 from candlemill.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,12 @@ def op9_host_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     judged = url_filter.judge_urls(pages.select("page_id", "url"), texts=pages.select("html"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "host_words", "block_odds")
+
+
+@query
+def op8_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "repair-shards")
+    repair_tokens.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return repair_tokens.read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "block")

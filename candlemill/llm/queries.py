@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlemill.llm import kd_shards, mixing, repair_tokens, url_filter, warc
+from candlemill.llm import kd_shards, mixing, near_dup, repair_tokens, url_filter, warc
 from candlemill.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,23 @@ def op8_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "repair-shards")
     repair_tokens.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
     return repair_tokens.read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "block")
+
+
+@query
+def op3_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL["op3_odd_sketch_dedup"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle FROM w, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS r(i) WHERE len(words) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+few AS (SELECT shingle FROM s GROUP BY shingle HAVING count(*) > 1),
+c AS MATERIALIZED (SELECT doc_id, shingle FROM s WHERE shingle IN (SELECT shingle FROM few)),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM c a JOIN c b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * both_have >= 85 * (nx.n + ny.n - both_have)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other),
+comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT comp.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, comp.doc_id = component_id AS kept FROM comp LEFT JOIN n ON n.doc_id = comp.doc_id"""

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlemill.llm import kd_shards, mixing, near_dup, repair_tokens, url_filter, warc
+from candlemill.llm import decontam, kd_shards, mixing, near_dup, pu_quality, repair_tokens, url_filter, warc
+from candlemill.llm.columns import id_remainder
 from candlemill.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +92,45 @@ links AS MATERIALIZED (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other),
 comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT comp.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, comp.doc_id = component_id AS kept FROM comp LEFT JOIN n ON n.doc_id = comp.doc_id"""
+
+
+@query
+def op4_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("windows").cast("long").alias("windows"))
+
+
+_UNITS = ", ".join(f"'{u}'" for u in decontam.UNITS)
+
+
+def _sql_tokens(table_name: str, id_name: str) -> str:
+    return f"""SELECT DISTINCT {id_name}, text, tokens, list_transform(tokens, lambda t, i:
+      CASE WHEN t >= '0' AND t < ':' THEN '0' WHEN starts_with(t, '{decontam.OPEN}') THEN '2'
+           WHEN i > 1 AND tokens[i - 1] >= '0' AND tokens[i - 1] < ':' AND lower(t) IN ({_UNITS}) THEN '1' ELSE lower(t) END) AS template
+    FROM (SELECT {id_name}, text, regexp_extract_all(regexp_replace(coalesce(text, ''), '{decontam.NAME}', '\\1{decontam.OPEN}\\2{decontam.CLOSE}', 'g'), '{decontam.TOKEN}') AS tokens FROM {table_name})"""
+
+
+SQL["op4_template_leaks"] = f"""
+WITH i0 AS ({_sql_tokens("benchmark", "item_id")}),
+d0 AS ({_sql_tokens("documents", "doc_id")}),
+i1 AS (SELECT *, least(len(template), 5) AS width FROM i0 WHERE len(tokens) >= 3),
+iw AS MATERIALIZED (SELECT item_id, width, p AS item_at, array_to_string(template[p : p + width - 1], ' ') AS form, tokens[p : p + width - 1] AS item_own, template[p : p + width - 1] AS parts
+       FROM i1, unnest(range(1, len(template) - width + 2)) AS r(p)),
+dw AS (SELECT doc_id, text, width, q AS at, array_to_string(template[q : q + width - 1], ' ') AS form, tokens[q : q + width - 1] AS own
+       FROM d0, (SELECT DISTINCT width FROM i1) AS w, unnest(range(1, len(template) - width + 2)) AS r(q)),
+met AS MATERIALIZED (SELECT doc_id, text, item_id, item_at, at - item_at AS shift, own, item_own, parts FROM dw JOIN iw USING (width, form)),
+bad AS (SELECT DISTINCT doc_id, text, item_id, shift FROM (
+          SELECT DISTINCT doc_id, text, item_id, shift, item_own[k] AS theirs, own[k] AS ours FROM met, unnest(range(1, len(parts) + 1)) AS r(k) WHERE parts[k] IN ('0', '1', '2'))
+        GROUP BY doc_id, text, item_id, shift, theirs HAVING count(*) > 1),
+n AS (SELECT item_id, count(*) AS windows FROM iw GROUP BY item_id)
+SELECT doc_id, item_id, count(DISTINCT item_at) AS matched, any_value(windows) AS windows FROM met JOIN n USING (item_id)
+WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.doc_id = met.doc_id AND bad.text = met.text AND bad.item_id = met.item_id AND bad.shift = met.shift)
+GROUP BY doc_id, text, item_id HAVING count(DISTINCT item_at) >= 0.4 * any_value(windows)"""
+
+
+@query
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pu_quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), pu_quality.score_column(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

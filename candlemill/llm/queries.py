@@ -116,9 +116,9 @@ d0 AS ({_sql_tokens("documents", "doc_id")}),
 i1 AS (SELECT *, least(len(template), 5) AS width FROM i0 WHERE len(tokens) >= 3),
 iw AS MATERIALIZED (SELECT item_id, width, p AS item_at, array_to_string(template[p : p + width - 1], ' ') AS form, tokens[p : p + width - 1] AS item_own, template[p : p + width - 1] AS parts
        FROM i1, unnest(range(1, len(template) - width + 2)) AS r(p)),
-dw AS (SELECT doc_id, text, width, q AS at, array_to_string(template[q : q + width - 1], ' ') AS form, tokens[q : q + width - 1] AS own
+dw AS (SELECT doc_id, text, width, q AS doc_at, array_to_string(template[q : q + width - 1], ' ') AS form, tokens[q : q + width - 1] AS own
        FROM d0, (SELECT DISTINCT width FROM i1) AS w, unnest(range(1, len(template) - width + 2)) AS r(q)),
-met AS MATERIALIZED (SELECT doc_id, text, item_id, item_at, at - item_at AS shift, own, item_own, parts FROM dw JOIN iw USING (width, form)),
+met AS MATERIALIZED (SELECT doc_id, text, item_id, item_at, doc_at - item_at AS shift, own, item_own, parts FROM dw JOIN iw USING (width, form)),
 bad AS (SELECT DISTINCT doc_id, text, item_id, shift FROM (
           SELECT DISTINCT doc_id, text, item_id, shift, item_own[k] AS theirs, own[k] AS ours FROM met, unnest(range(1, len(parts) + 1)) AS r(k) WHERE parts[k] IN ('0', '1', '2'))
         GROUP BY doc_id, text, item_id, shift, theirs HAVING count(*) > 1),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlemill.llm import decontam, kd_shards, mixing, near_dup, pu_quality, repair_tokens, url_filter, warc
+from candlemill.llm import ann, decontam, kd_shards, mixing, near_dup, pu_quality, repair_tokens, url_filter, warc
 from candlemill.llm.columns import id_remainder
 from candlemill.session import scratch_path
 
@@ -134,3 +134,18 @@ def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pu_quality.train(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), pu_quality.score_column(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op1_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# Exact neighbours: up to WINDOW vectors a query meets all of them.
+SQL["op1_hilbert_neighbours"] = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_aggregate(list_transform(range(1, len(q.x) + 1), lambda k: q.x[k] * c.x[k]), 'sum') AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""

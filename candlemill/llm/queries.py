@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlemill.llm import ann, decontam, kd_shards, mixing, near_dup, pu_quality, repair_tokens, url_filter, warc
+from candlemill.llm import ann, decontam, katz, kd_shards, mixing, near_dup, pu_quality, repair_tokens, url_filter, warc
 from candlemill.llm.columns import id_remainder
 from candlemill.session import scratch_path
 
@@ -149,3 +149,8 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_aggregate(list_transform(range
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+@query
+def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -128,10 +128,14 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float =
     return float(np.clip((tail_u / np.maximum(tail_p, 1e-9)).min(), 0.01, 0.99))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, penalty: float = 1e-4, bins: int = 8) -> Model | None:
-    """The model from two feature tables; None without rows on either side (every score is then 0.5)."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, penalty: float | None = None, bins: int = 8) -> Model | None:
+    """The model from two feature tables; None without rows on either side (every score is then 0.5).
+
+    ``penalty`` on squared weights defaults to 0.7 / positives, between 1e-4 and 1e-2.
+    """
     if not len(positive) or not len(unlabelled):
         return None
+    penalty = min(1e-2, max(1e-4, 0.7 / len(positive))) if penalty is None else penalty
     scale = unlabelled.std(0)
     edges = np.quantile(unlabelled, np.linspace(0, 1, bins + 2)[1:-1], axis=0).T
     # tails hold the rare kinds of text

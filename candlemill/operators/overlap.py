@@ -2,9 +2,9 @@
 
 ``skip_new`` is sequential: a signal is ignored while the last accepted trade is open. It is run
 here without putting a run into one task. Each chunk of entries is turned into a small map from
-"how many bars into this chunk is a position still open" to "until when is a position open after
-it". Most chunks forget their start, so their map is constant and the next chunk can start at once;
-only streaks of non-constant chunks are folded together, and those rows hold one map per chunk.
+"how many bars into this chunk is a position still open" to the same for the next chunk. Maps are
+composed in groups of 64, groups in groups of 64, and so on; the starts then come down the same
+levels. No row ever holds more than 64 maps or one chunk of signals, however dense the signals are.
 """
 
 from __future__ import annotations
@@ -29,20 +29,28 @@ def resolve_same_entry(events: DataFrame, keys: Sequence[str], priority: Column
     })
 
 
+FAN = 64
+
+
 def skip_new(
-    trades: DataFrame, keys: Sequence[str], max_hold: int, *, chunk: int = CHUNK, name: str = "accepted"
+    trades: DataFrame, keys: Sequence[str], max_hold: int | None = None, *, chunk: int = CHUNK // 4, name: str = "accepted"
 ) -> DataFrame:
     """Mark the trades taken when new signals are skipped while a position is open.
 
-    ``trades`` has at most one row per (keys, entry_index) and exit_index - entry_index <= max_hold.
+    ``trades`` has at most one row per (keys, entry_index). The longest hold is read from the
+    trades; ``max_hold`` is only a lower bound for it. Chunks are at least one longest hold long.
     """
     keys = list(keys)
-    if max_hold >= chunk:
-        raise ValueError("max_hold must be below the chunk length")
+    seen = trades.agg(F.max(F.col("exit_index") - F.col("entry_index")).alias("h"), F.max("entry_index").alias("e")).head()
+    if seen["e"] is None:
+        return trades.withColumn(name, F.lit(False))
+    hold = max(int(max_hold or 0), int(seen["h"]), 0)
+    chunk = chunk * (hold // chunk + 1)
     cut = trades.withColumn("_c", F.floor(F.col("entry_index") / chunk).cast("long"))
     chunks = cut.groupBy(*keys, "_c").agg(
         F.sort_array(F.collect_list(F.struct("entry_index", "exit_index"))).alias("_sig")
     )
+    edge = F.col("_c") * chunk
 
     def fold(start: Column) -> Column:
         return F.aggregate(
@@ -50,38 +58,44 @@ def skip_new(
             lambda open_until, s: F.when(s["entry_index"] > open_until, s["exit_index"]).otherwise(open_until),
         )
 
-    edge = F.col("_c") * chunk
-    mapped = chunks.withColumn(
-        "_map", F.transform(F.sequence(F.lit(0), F.lit(int(max_hold))), lambda s: fold((edge + s - 1).cast("long")))
-    )
-    in_key = Window.partitionBy(*keys).orderBy("_c")
-    flat = F.array_min("_map") == F.array_max("_map")
-    states = mapped.select(
-        *keys, "_c", "_map",
-        F.coalesce(F.lag(flat).over(in_key), F.lit(True)).alias("_known"),
-        F.lag(F.get("_map", F.lit(0))).over(in_key).alias("_prev_out"),
-    )
-    states = states.withColumn("_streak", F.sum(F.col("_known").cast("int")).over(in_key))
-    folded = states.groupBy(*keys, "_streak").agg(
-        F.sort_array(F.collect_list(F.struct("_c", "_map", "_known", "_prev_out"))).alias("_rows")
-    )
-
-    def advance(acc, row):
-        known = F.coalesce(row["_prev_out"], F.lit(-1).cast("long"))
-        start = F.when(row["_known"], known).otherwise(acc["open"])
-        slot = F.greatest(F.lit(0).cast("long"), start - row["_c"] * chunk + 1)
-        return F.struct(
-            F.get(row["_map"], slot.cast("int")).alias("open"),
-            F.concat(acc["starts"], F.array(F.struct(row["_c"].alias("_c"), start.alias("_open0")))).alias("starts"),
-        )
-
-    zero = F.struct(
-        F.lit(-1).cast("long").alias("open"),
-        F.array().cast("array<struct<_c:bigint,_open0:bigint>>").alias("starts"),
-    )
-    starts = folded.select(*keys, F.explode(F.aggregate("_rows", zero, advance)["starts"]).alias("_s")).select(
-        *keys, F.col("_s._c").alias("_c"), F.col("_s._open0").alias("_open0")
-    )
+    # slot s: the position is open until bar (edge + s - 1); 0 means that none is open
+    slot = lambda open_until, at: F.greatest(F.lit(0).cast("long"), open_until - at + 1).cast("int")
+    slots = F.sequence(F.lit(0), F.lit(hold))
+    levels = [written(chunks.select(
+        *keys, "_c", F.transform(slots, lambda s: slot(fold((edge + s - 1).cast("long")), edge + chunk)).alias("_map")), "hold-maps")]
+
+    def through(acc, row):
+        """State (next chunk, slot) after one more map; a gap before it closes every position."""
+        there = F.when(acc["next"] == row["_c"], acc["slot"]).otherwise(F.lit(0))
+        return F.struct((row["_c"] + 1).alias("next"), F.get(row["_map"], there).alias("slot"))
+
+    def state(at: Column, s: Column) -> Column:
+        return F.struct(at.cast("long").alias("next"), s.cast("int").alias("slot"))
+
+    top = int(seen["e"]) // chunk
+    while top > 0:
+        top //= FAN
+        inside = levels[-1].withColumn("_g", F.floor(F.col("_c") / FAN).cast("long")).groupBy(*keys, "_g").agg(
+            F.sort_array(F.collect_list(F.struct("_c", "_map"))).alias("_rows"))
+
+        def whole(s: Column) -> Column:
+            end = F.aggregate("_rows", state(F.col("_g") * FAN, s), through)
+            return F.when(end["next"] == (F.col("_g") + 1) * FAN, end["slot"]).otherwise(F.lit(0))
+
+        levels.append(written(inside.select(*keys, F.col("_g").alias("_c"), F.transform(slots, whole).alias("_map")), "hold-maps"))
+    starts = levels[-1].select(*keys, "_c", F.lit(0).alias("_slot"))
+    for below in reversed(levels[:-1]):
+        inside = below.withColumn("_g", F.floor(F.col("_c") / FAN).cast("long")).groupBy(*keys, "_g").agg(
+            F.sort_array(F.collect_list(F.struct("_c", "_map"))).alias("_rows"))
+        inside = inside.join(starts.withColumnRenamed("_c", "_g"), [*keys, "_g"])
+
+        def open_at(row: Column) -> Column:
+            """Slot at the start of this member: the state after the members before it."""
+            end = F.aggregate(F.filter("_rows", lambda r: r["_c"] < row["_c"]), state(F.col("_g") * FAN, F.col("_slot")), through)
+            return F.when(end["next"] == row["_c"], end["slot"]).otherwise(F.lit(0))
+
+        starts = inside.select(*keys, F.explode(F.transform("_rows", lambda r: F.struct(r["_c"].alias("_c"), open_at(r).alias("_slot")))).alias("_s")).select(
+            *keys, "_s._c", "_s._slot")
 
     def take(acc, s):
         fresh = s["entry_index"] > acc["open"]
@@ -90,7 +104,7 @@ def skip_new(
             F.when(fresh, F.concat(acc["kept"], F.array(s["entry_index"]))).otherwise(acc["kept"]).alias("kept"),
         )
 
-    kept0 = F.struct(F.col("_open0").alias("open"), F.array().cast("array<bigint>").alias("kept"))
+    kept0 = F.struct((edge + F.col("_slot") - 1).cast("long").alias("open"), F.array().cast("array<bigint>").alias("kept"))
     kept = (
         chunks.join(starts, [*keys, "_c"])
         .select(*keys, F.explode(F.aggregate("_sig", kept0, take)["kept"]).alias("entry_index"))

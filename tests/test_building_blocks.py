@@ -79,6 +79,21 @@ def test_skip_new_equals_sequential_rule(spark, density):
         assert sorted(got[got.k == k].entry_index) == _naive_skip([(e, x) for kk, e, x in rows if kk == k])
 
 
+def test_skip_new_reads_the_longest_hold_from_the_trades(spark):
+    rng = random.Random(4)
+    rows = [("x", i, i + rng.choice([0, 2, 40])) for i in range(400)] + [("y", 0, 5000), ("y", 3, 4), ("y", 5001, 5001), ("y", 90_000, 90_000)]
+    df = spark.createDataFrame(rows, "k string, entry_index long, exit_index long")
+    got = O.skip_new(df, ["k"], 3, chunk=32).filter("accepted").toPandas()
+    for k in ("x", "y"):
+        assert sorted(got[got.k == k].entry_index) == _naive_skip([(e, x) for kk, e, x in rows if kk == k])
+
+
+def test_skip_new_with_a_signal_on_every_bar_of_a_long_run(spark):
+    df = spark.range(300_000).select(F.lit("x").alias("k"), F.col("id").alias("entry_index"), (F.col("id") + 2).alias("exit_index"))
+    got = O.skip_new(df, ["k"], chunk=256).filter("accepted").agg(F.count(F.lit(1)), F.max(F.col("entry_index") % 3)).head()
+    assert tuple(got) == (100_000, 0)
+
+
 @pytest.mark.parametrize("levels", [1, 3, None])
 def test_nearest_pool_equals_brute_force(spark, levels):
     rng = random.Random(levels or 9)

@@ -28,12 +28,16 @@ def build_session(app: str = "candlemill", master: str = "local[*]", shuffle_par
 def scratch_root(spark: SparkSession) -> str:
     """Folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop)
-    is a folder of our own chosen.
+    The cluster names it in ``spark.checkpoint.dir`` or by ``setCheckpointDir``. Only in local mode
+    (tests, a laptop) is a folder of our own chosen; elsewhere a missing setting is an error, as
+    executors would each write to their own disk.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = tempfile.mkdtemp(prefix="spark-candlemill-", dir="/tmp")

@@ -41,8 +41,8 @@ def read_ohlcv(
     spark: SparkSession, path: str, *, price_basis: str = "raw", fallback_spread_bps: float = 5.0,
     run_column: str | None = None,
 ) -> DataFrame:
-    """OHLCV bars of many files at once, with execution columns. One run per file, or per value of
-    ``run_column``.
+    """OHLCV bars of many files at once, with execution columns. One run per file (its full path), or
+    per value of ``run_column``. Files are read by their own header: one scan per distinct header.
 
     Unreadable values become NULL and are found by ``checks.bad_csv_rows``. Quotes need all four
     open/close bid/ask columns; plain bid/ask is refused because its time is unknown. Without
@@ -52,7 +52,22 @@ def read_ohlcv(
         raise ValueError("price_basis must be raw or adjusted")
     if not 0 <= fallback_spread_bps < 20_000:
         raise ValueError("fallback_spread_bps must lie in [0, 20000)")
-    raw = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").csv(path)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    # the header is the first line of a file's first block; distinct headers are few
+    first = lines.filter("start = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    headers = first.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
+    if not headers:
+        raise ValueError(f"no file under {path}")
+    out = None
+    for h in headers:
+        one = _one_header(spark, h["files"], price_basis, fallback_spread_bps, run_column)
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def _one_header(spark: SparkSession, files: list[str], price_basis: str, fallback_spread_bps: float, run_column: str | None) -> DataFrame:
+    reader = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").option("enforceSchema", False)
+    raw = reader.csv(files)
     names = raw.columns
     pick = lambda n: resolve_column(names, (n,) if price_basis == "raw" else (f"adj_{n}", f"adj {n}"))
     ohlc = {n: pick(n) for n in ("open", "high", "low", "close")}
@@ -66,7 +81,7 @@ def read_ohlcv(
     # Only texts with a zone are times; everything else becomes NULL.
     zoned = time.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
     columns = [
-        (_raw(run_column) if run_column else F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).alias("run_id"),
+        (_raw(run_column) if run_column else F.col("_metadata.file_path")).alias("run_id"),
         F.when(zoned, time.try_cast("timestamp")).alias("ts"),
         *[_number(c).alias(n) for n, c in ohlc.items()],
         (_number(volume) if volume else F.lit(0.0)).alias("volume"),

@@ -74,6 +74,30 @@ def test_csv_header_rules(spark):
     assert quoted.entry_mid == 90.0 and quoted.exit_spread == pytest.approx(4 / 110)
 
 
+def test_files_are_read_by_their_own_header(spark):
+    base = scratch_path(spark, "csv")
+    for folder, lines in (("x", ["time,open,high,low,close", "2024-01-01T00:00:00Z,1,4,0.5,2"]), ("y", ["time,close,open,high,low", "2024-01-01T00:00:00Z,20,10,40,5"])):
+        spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.text(f"{base}/{folder}")
+    rows = sorted(tuple(r) for r in R.read_ohlcv(spark, f"{base}/*").select("open", "high", "low", "close").collect())
+    assert rows == [(1.0, 4.0, 0.5, 2.0), (10.0, 40.0, 5.0, 20.0)]
+    assert R.read_ohlcv(spark, f"{base}/*").select("run_id").distinct().count() == 2
+
+
+def test_parts_of_a_split_add_up():
+    for total in range(40):
+        parts = D.split_counts(total)
+        assert sum(parts.values()) == total and (total < 3 or min(parts.values()) >= 1)
+    assert D.split_counts(10) == {"train": 6, "validation": 2, "test": 2}
+
+
+def test_file_identity_is_of_the_bytes(spark, sf_dir):
+    import hashlib
+
+    got = {r.file_name: r.dataset_id for r in W.file_identity(spark, sf_dir, "*.parquet").collect()}
+    want = "REAL-" + hashlib.sha256(open(f"{sf_dir}/nation.parquet", "rb").read()).hexdigest()[:20]
+    assert got["nation.parquet"] == want and len(set(got.values())) == len(got)
+
+
 def test_adjusted_columns(spark):
     path = scratch_path(spark, "csv")
     spark.createDataFrame([("date,adj_open,adj high,adj_low,adj_close",), ("2024-01-01T00:00:00+02:00,1,2,0.5,1.5",)], "value string").coalesce(1).write.text(path)

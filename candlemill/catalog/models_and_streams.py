@@ -40,7 +40,7 @@ def quality_rows(s, d) -> DataFrame:
 def fitted(s, d):
     key = (s.sparkContext.applicationId, d)
     if key not in _FITTED:
-        _FITTED[key] = M.train_and_select(quality_rows(s, d), NUM, CAT, "label", [0.5], rounds=10)
+        _FITTED[key] = M.train_and_select(quality_rows(s, d), NUM, CAT, "label", [0.5])
     return _FITTED[key]
 
 
@@ -110,7 +110,7 @@ add("ML6_predictor_contract", _contract,
     f"""WITH {QR} SELECT count(*) AS rows, count(*) AS in_range, m AS model FROM qr, (VALUES ('logistic'), ('boosted_trees'), ('perceptron')) v(m) GROUP BY m""")
 add("ML7_importances", lambda s, d: M.importances(s, fitted(s, d)[1]["logistic"], fitted(s, d)[2].names).select("feature", r6("coefficient"), r6("magnitude")))
 add("ML8_permutation_importance", lambda s, d: M.permutation_importance(
-    fitted(s, d)[1]["logistic"], fitted(s, d)[2], quality_rows(s, d).withColumn("label", F.col("label").cast("double")), NUM, "doc_id", "label").select("feature", r6("auc_drop")))
+    fitted(s, d)[1]["logistic"], fitted(s, d)[2], quality_rows(s, d).filter("split = 'test'").withColumn("label", F.col("label").cast("double")), NUM, "doc_id", "label").select("feature", r6("auc_drop")))
 add("ML9_model_comparison", lambda s, d: fitted(s, d)[0].select("model", r6("validation_roc_auc"), r6("test_roc_auc"), r6("test_brier_score"), "primary_model"))
 
 # --- UDF ---------------------------------------------------------------------------------------------

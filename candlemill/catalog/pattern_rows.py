@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from candlemill.catalog import sql as S
 from candlemill.catalog.bars_and_features import r6
 from candlemill.catalog.registry import add
-from candlemill.catalog.trading import _n6
+from candlemill.catalog.trading import _digits
 from candlemill.config import PATTERN_NAMES, PatternConfig
 from candlemill.functions.columns import canonical_hash
 from candlemill.operators import controls as N, features as T, trades as X
@@ -15,6 +15,12 @@ from candlemill.patterns import detect as D, matchers as M, smoothing as SM
 from candlemill.sources import views as V
 from candlemill.sources.series import stored
 
+
+def _geometry(c: str) -> str:
+    """Logarithms are identified to ten decimals: their last bits differ between engines."""
+    return f"CAST(CAST(round({c} * 10000000000) AS BIGINT) AS VARCHAR)"
+
+
 ONE = PatternConfig(core_lengths=(35,))
 ALL = PatternConfig()
 
@@ -252,30 +258,30 @@ PUBLIC = ["start_index", "end_index", "available_at_index", "entry_index", "core
 add("PAT20_public_candidates", lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", "pattern_name", "expected_direction", "phase_start", *PUBLIC, r6("geometry_fit_score"), "config_hash"))
 
 
-def geometry_prefix(s, d):
-    rel = T.relative_log_price(V.walk_bars(s, d))
-    text = F.concat_ws("|", F.col("bar_index").cast("string"), F.round(F.col("rel_log") * 1e6).cast("long").cast("string"))
+def geometry_prefix(s, d, bars=V.walk_bars):
+    rel = T.relative_log_price(bars(s, d))
+    text = F.concat_ws("|", F.col("bar_index").cast("string"), F.round(F.col("rel_log") * 1e10).cast("long").cast("string"))
     return N.running_fingerprint(rel, text, "geometry_prefix")
 
 
 add("PAT21_causal_prefix_fingerprints", geometry_prefix,
     f"""WITH {S.WALK}, rl AS (SELECT run_id, bar_index, ln(close) - ln(first_value(close) OVER (PARTITION BY run_id ORDER BY bar_index)) AS x FROM bars)
-    SELECT run_id, bar_index, sha256(bar_index || ':' || CAST(sum(CAST(('0x' || substr(md5(bar_index || '|' || {_n6('x')}), 1, 15))::UBIGINT AS HUGEINT))
+    SELECT run_id, bar_index, sha256(bar_index || ':' || CAST(sum(CAST(('0x' || substr(md5(bar_index || '|' || {_geometry('x')}), 1, 15))::UBIGINT AS HUGEINT))
       OVER (PARTITION BY run_id ORDER BY bar_index) AS VARCHAR)) AS geometry_prefix FROM rl""")
 
 
 def series_fingerprints(s, d):
     """Whole-series fingerprint: the last prefix of the run."""
-    p = N.price_prefixes(V.walk_bars(s, d)).join(geometry_prefix(s, d), ["run_id", "bar_index"])
+    p = N.price_prefixes(V.lineitem_bars(s, d)).join(geometry_prefix(s, d, V.lineitem_bars), ["run_id", "bar_index"])
     last = F.struct("prefix", "geometry_prefix")
     return p.groupBy("run_id").agg(F.max_by(last, "bar_index").alias("l"), F.count(F.lit(1)).alias("bars")).select(
         "run_id", "bars", F.col("l.prefix").alias("market_fingerprint"), F.col("l.geometry_prefix").alias("geometry_fingerprint"))
 
 
-_MD = f"""CAST(('0x' || substr(md5(bar_index || '|' || {_n6('open')} || '|' || {_n6('high')} || '|' || {_n6('low')} || '|' || {_n6('close')} || '|' || volume), 1, 15))::UBIGINT AS HUGEINT)"""
-_GD = f"""CAST(('0x' || substr(md5(bar_index || '|' || {_n6('x')}), 1, 15))::UBIGINT AS HUGEINT)"""
+_MD = f"""CAST(('0x' || substr(md5(bar_index || '|' || {_digits('open')} || '|' || {_digits('high')} || '|' || {_digits('low')} || '|' || {_digits('close')} || '|' || volume), 1, 15))::UBIGINT AS HUGEINT)"""
+_GD = f"""CAST(('0x' || substr(md5(bar_index || '|' || {_geometry('x')}), 1, 15))::UBIGINT AS HUGEINT)"""
 add("PAT22_series_fingerprints", series_fingerprints,
-    f"""WITH {S.WALK}, rl AS (SELECT *, ln(close) - ln(first_value(close) OVER (PARTITION BY run_id ORDER BY bar_index)) AS x FROM bars)
+    f"""WITH {S.LI}, rl AS (SELECT *, ln(close) - ln(first_value(close) OVER (PARTITION BY run_id ORDER BY bar_index)) AS x FROM bars)
     SELECT run_id, count(*) AS bars, sha256(max(bar_index) || ':' || CAST(sum({_MD}) AS VARCHAR)) AS market_fingerprint,
       sha256(max(bar_index) || ':' || CAST(sum({_GD}) AS VARCHAR)) AS geometry_fingerprint FROM rl GROUP BY 1""")
 add("PAT23_event_identity", lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", "own_event_id", "event_id"))

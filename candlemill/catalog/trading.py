@@ -86,9 +86,10 @@ tr AS (SELECT p.*, CASE WHEN NOT p.ok THEN 'untradeable' WHEN rec.acc THEN 'acce
 
 
 def out_sql(horizons) -> str:
-    hv = ", ".join(f"({h})" for h in horizons)
-    return f"""oc0 AS (SELECT a.run_id, a.bar_index AS entry_index, horizon, direction, a.entry_mid AS em, b.exit_mid AS xm, a.entry_spread / 2 AS eh, b.exit_spread / 2 AS xh
-   FROM bars a, (VALUES {hv}) hz(horizon), (VALUES (-1), (1)) dv(direction), bars b WHERE b.run_id = a.run_id AND b.bar_index = a.bar_index + horizon - 1),
+    ahead = " UNION ALL ".join(
+        f"SELECT run_id, bar_index AS entry_index, {h} AS horizon, entry_mid AS em, lead(exit_mid, {h - 1}) OVER w AS xm, entry_spread / 2 AS eh, "
+        f"lead(exit_spread, {h - 1}) OVER w / 2 AS xh, lead(bar_index, {h - 1}) OVER w AS xi FROM bars WINDOW w AS (PARTITION BY run_id ORDER BY bar_index)" for h in horizons)
+    return f"""oc0 AS (SELECT e.*, direction FROM ({ahead}) e, (VALUES (-1), (1)) dv(direction) WHERE xi = entry_index + horizon - 1),
 oc1 AS (SELECT *, CASE WHEN direction = 1 THEN em * (1 + eh) ELSE em * (1 - eh) END AS fin, CASE WHEN direction = 1 THEN xm * (1 - xh) ELSE xm * (1 + xh) END AS fout FROM oc0),
 oc AS (SELECT run_id, entry_index, horizon, direction, direction * (xm - em) / em AS gross_return,
    direction * (xm - em) / em - direction * (fout - fin) / em AS spread_slippage_cost, 0.0001 * (fin + fout) / em AS brokerage_cost,
@@ -262,12 +263,10 @@ def nearest(s, d) -> DataFrame:
 
 add(
     "NUL3_state_distance",
-    lambda s, d: pool(s, d).join(targets(s, d).groupBy("run_id", "horizon").agg(F.min_by(F.struct("trailing_vol", "entry_spread"), "target").alias("t")),
-                                 ["run_id", "horizon"])
-    .select("run_id", F.col("horizon").cast("long").alias("horizon"), "entry_index",
+    lambda s, d: pool(s, d).join(targets(s, d).select("run_id", "horizon", "target", F.struct("trailing_vol", "entry_spread").alias("t")), ["run_id", "horizon"])
+    .select("run_id", F.col("horizon").cast("long").alias("horizon"), "target", "entry_index",
             r6("distance", N.state_distance(F.col("trailing_vol"), F.col("entry_spread"), F.col("t.trailing_vol"), F.col("t.entry_spread")))),
-    f"""WITH RECURSIVE {POOL_SQL}, f AS (SELECT run_id, horizon, min(target) AS target FROM tg GROUP BY 1, 2)
-    SELECT ds.run_id, ds.horizon, idx AS entry_index, round(dist, 6) AS distance FROM ds JOIN f ON f.run_id = ds.run_id AND f.horizon = ds.horizon AND f.target = ds.target""",
+    f"""WITH RECURSIVE {POOL_SQL} SELECT run_id, horizon, target, idx AS entry_index, round(dist, 6) AS distance FROM ds""",
 )
 add(
     "NUL4_nearest_pool",
@@ -281,12 +280,12 @@ def prefixes(s, d) -> DataFrame:
     return N.price_prefixes(V.lineitem_bars(s, d))
 
 
-def _n6(c: str) -> str:
-    return f"CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR)"
+def _digits(c: str) -> str:
+    return f"CAST({c} AS VARCHAR)"
 
 
-PREFIX_SQL = f"""pf AS (SELECT run_id, bar_index, sha256(bar_index || ':' || CAST(sum(CAST(('0x' || substr(md5(bar_index || '|' || {_n6('open')} || '|' || {_n6('high')} || '|' ||
-  {_n6('low')} || '|' || {_n6('close')} || '|' || volume), 1, 15))::UBIGINT AS HUGEINT)) OVER ({W}) AS VARCHAR)) AS prefix FROM bars)"""
+PREFIX_SQL = f"""pf AS (SELECT run_id, bar_index, sha256(bar_index || ':' || CAST(sum(CAST(('0x' || substr(md5(bar_index || '|' || {_digits('open')} || '|' || {_digits('high')} || '|' ||
+  {_digits('low')} || '|' || {_digits('close')} || '|' || volume), 1, 15))::UBIGINT AS HUGEINT)) OVER ({W}) AS VARCHAR)) AS prefix FROM bars)"""
 add("NUL6_causal_draw_seed",
     lambda s, d: prefixes(s, d),
     f"WITH {S.LI}, {PREFIX_SQL} SELECT run_id, bar_index, prefix FROM pf")
@@ -499,7 +498,7 @@ add(
     lambda s, d: I.holm(hypotheses(s, d), "raw_p_value_primary_edge", "h", HKEY).select(*hkey(), r6("h")),
     f"WITH RECURSIVE {BH_SQL} SELECT {', '.join(HKEY)}, round(h, 6) AS h FROM bh",
 )
-LOOSE = ProcedureConfig(horizons=(5, 10), controls_per_event=8, min_controls=5, min_events=3, min_seeds=2, alpha=0.999, top_k=100)
+LOOSE = ProcedureConfig(horizons=(5, 10), controls_per_event=8, min_controls=5, min_events=3, min_seeds=2, alpha=0.05, top_k=100)
 
 
 def sup(p: str, a: float) -> str:
@@ -507,37 +506,36 @@ def sup(p: str, a: float) -> str:
             f"AND mean_net_return_per_trade > 0 AND coalesce(mean_effect_vs_matched > 0, false) AND {p} <= {a}")
 
 
-# One pre-registered family is tested: a wide family of empty hypotheses would drown it.
-FAM = "rectangle"
-SEL_SQL = f"""{RM_SQL}, {critical_cte()}, {agg_sql('rm', name='hy_all')}, hy AS (SELECT * FROM hy_all WHERE hypothesis = '{FAM}' AND seed_count_with_matched_nulls >= 2),
+# The correction covers every hypothesis that was tried; the tables hold no real effect, so an empty selection is right.
+SEL_SQL = f"""{RM_SQL}, {critical_cte()}, {agg_sql('rm', name='hy_all')}, hy AS (SELECT * FROM hy_all),
 bh0 AS (SELECT *, row_number() OVER (ORDER BY raw_p_value_primary_edge, structure_id, hypothesis, horizon) AS rk, count(*) OVER () AS mm FROM hy),
-bh AS (SELECT *, least(1, min(raw_p_value_primary_edge * mm / rk) OVER (ORDER BY rk DESC)) AS q FROM bh0), sel AS (SELECT * FROM bh WHERE {sup('q', 0.999)} ORDER BY q, mean_effect_vs_matched DESC, mean_net_return_per_trade DESC, event_count DESC, structure_id, hypothesis, horizon LIMIT 100)"""
+bh AS (SELECT *, least(1, min(raw_p_value_primary_edge * mm / rk) OVER (ORDER BY rk DESC)) AS q FROM bh0), sel AS (SELECT * FROM bh WHERE {sup('q', 0.05)} ORDER BY q, mean_effect_vs_matched DESC, mean_net_return_per_trade DESC, event_count DESC, structure_id, hypothesis, horizon LIMIT 100)"""
 add(
     "AGG8_discovery_selection",
-    lambda s, d: I.select_discovery(hypotheses(s, d).filter((F.col("hypothesis") == FAM) & (F.col("seed_count_with_matched_nulls") >= 2)), LOOSE).select(*hkey(), "event_count", r6("discovery_fdr_q_value")),
+    lambda s, d: I.select_discovery(hypotheses(s, d), LOOSE).select(*hkey(), "event_count", r6("discovery_fdr_q_value")),
     f"WITH RECURSIVE {SEL_SQL} SELECT {', '.join(HKEY)}, event_count, round(q, 6) AS discovery_fdr_q_value FROM sel",
 )
 
 
 def halves(s, d, odd: int) -> DataFrame:
     """Discovery (0) and held-out (1) seeds; the two never meet."""
-    return metrics(s, d).filter(((F.col("seed") % 4 == 0) == bool(odd)) & (F.col("hypothesis") == FAM))
+    return metrics(s, d).filter((F.col("seed") % 4 == 0) == bool(odd))
 
 
 def validated(s, d) -> DataFrame:
-    picked = I.select_discovery(I.aggregate_metrics(halves(s, d, 0), LOOSE).filter("seed_count_with_matched_nulls >= 2"), LOOSE)
+    picked = I.select_discovery(I.aggregate_metrics(halves(s, d, 0), LOOSE), LOOSE)
     return I.validate_selected(I.aggregate_metrics(halves(s, d, 1), LOOSE), picked, LOOSE)
 
 
-VAL_SQL = f"""{RM_SQL}, {critical_cte()}, rm0 AS (SELECT * FROM rm WHERE seed % 4 <> 0 AND hypothesis = '{FAM}'), rm1 AS (SELECT * FROM rm WHERE seed % 4 = 0 AND hypothesis = '{FAM}'),
+VAL_SQL = f"""{RM_SQL}, {critical_cte()}, rm0 AS (SELECT * FROM rm WHERE seed % 4 <> 0), rm1 AS (SELECT * FROM rm WHERE seed % 4 = 0),
 {agg_sql('rm0', name='hd')}, {agg_sql('rm1', name='hv2')},
-d0 AS (SELECT *, row_number() OVER (ORDER BY raw_p_value_primary_edge, structure_id, hypothesis, horizon) AS rk, count(*) OVER () AS mm FROM hd WHERE seed_count_with_matched_nulls >= 2),
+d0 AS (SELECT *, row_number() OVER (ORDER BY raw_p_value_primary_edge, structure_id, hypothesis, horizon) AS rk, count(*) OVER () AS mm FROM hd),
 d1 AS (SELECT *, least(1, min(raw_p_value_primary_edge * mm / rk) OVER (ORDER BY rk DESC)) AS q FROM d0),
-sel AS (SELECT * FROM d1 WHERE {sup('q', 0.999)} ORDER BY q, mean_effect_vs_matched DESC, mean_net_return_per_trade DESC, event_count DESC, structure_id, hypothesis, horizon LIMIT 100),
+sel AS (SELECT * FROM d1 WHERE {sup('q', 0.05)} ORDER BY q, mean_effect_vs_matched DESC, mean_net_return_per_trade DESC, event_count DESC, structure_id, hypothesis, horizon LIMIT 100),
 v0 AS (SELECT hv2.* FROM hv2 JOIN sel USING (structure_id, hypothesis, horizon)),
 v1 AS (SELECT *, row_number() OVER (ORDER BY raw_p_value_primary_edge, structure_id, hypothesis, horizon) AS rk, count(*) OVER () AS mm FROM v0),
 v2 AS (SELECT *, max(least(1, (mm - rk + 1) * raw_p_value_primary_edge)) OVER (ORDER BY rk) AS h FROM v1),
-vv AS (SELECT *, coalesce({sup('h', 0.999)}, false) AS validated FROM v2)"""
+vv AS (SELECT *, coalesce({sup('h', 0.05)}, false) AS validated FROM v2)"""
 add(
     "AGG9_held_out_validation",
     lambda s, d: validated(s, d).select(*hkey(), r6("validation_holm_p_value"), "validated"),
@@ -598,5 +596,5 @@ add(
     f"""WITH RECURSIVE {POOLED_SQL}, {critical_cte()}, {agg_sql('pc')}, v1 AS (SELECT *, row_number() OVER (ORDER BY raw_p_value_primary_edge, structure_id, hypothesis, horizon) AS rk, count(*) OVER () AS mm FROM hy),
     v2 AS (SELECT *, max(least(1, (mm - rk + 1) * raw_p_value_primary_edge)) OVER (ORDER BY rk) AS h FROM v1)
     SELECT {', '.join(HKEY)}, event_count, round(mean_net_return_per_trade, 6) AS mean_net_return_per_trade, round(raw_p_value_primary_edge, 6) AS raw_p_value_primary_edge,
-    round(h, 6) AS real_holm_p_value, coalesce({sup('h', 0.999)}, false) AS real_validated FROM v2""",
+    round(h, 6) AS real_holm_p_value, coalesce({sup('h', 0.05)}, false) AS real_validated FROM v2""",
 )

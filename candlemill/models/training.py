@@ -12,8 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from candlemill.operators import classification as C, portfolio as P
-from candlemill.operators.dataset import OUTCOMES, bounded_sample
+from candlemill.operators.dataset import OUTCOMES
 from candlemill.operators.checks import check_features
+from candlemill.sources.series import number_series, written
 
 MISSING, UNKNOWN = "<MISSING>", "<UNKNOWN>"
 
@@ -149,22 +150,21 @@ def importances(spark, model, names: Sequence[str]) -> DataFrame:
 
 
 def permutation_importance(
-    model, prep: Preparation, rows: DataFrame, features: Sequence[str], key: str, label: str, limit: int = 5_000
+    model, prep: Preparation, rows: DataFrame, features: Sequence[str], key: str, label: str
 ) -> DataFrame:
-    """Loss of ranking quality when one input is shuffled, on a bounded uniform sample.
+    """Loss of ranking quality when one input is shuffled, over all ``rows`` (pass held-out ones).
 
-    The sample is the feature (at most ``limit`` rows), so numbering it is a single small sort.
+    The shuffle gives each row the value of the next row in the order of a hash of its key.
     """
     from pyspark.sql import Window
 
-    sample = bounded_sample(rows, limit, key)
-    order = Window.orderBy(F.md5(F.concat_ws("|", F.lit("p"), F.col(key).cast("string"))), key)
-    base = sample.withColumn("_r", F.row_number().over(order))
-    n = sample.agg(F.count(F.lit(1))).scalar()
+    drawn = rows.withColumns({"_all": F.lit(0), "_draw": F.md5(F.concat_ws("|", F.lit("p"), F.col(key).cast("string")))})
+    base = written(number_series(drawn, "_all", ["_draw", key], step="_r").drop("_all", "_draw"), "shuffled")
+    n = base.count()
     scored = lambda df: C.ranking_metrics(predict(model, prep.apply(df)).withColumn("label", F.col(label).cast("long"))).select("roc_auc")
     out = scored(base.drop("_r")).select(F.lit("").alias("feature"), "roc_auc")
     for f in features:
-        moved = base.select((F.col("_r") % n + 1).alias("_r"), F.col(f).alias("_v"))
+        moved = base.select(((F.col("_r") + 1) % n).alias("_r"), F.col(f).alias("_v"))
         mixed = base.join(moved, "_r").withColumn(f, F.col("_v")).drop("_v", "_r")
         out = out.unionByName(scored(mixed).select(F.lit(f).alias("feature"), "roc_auc"))
     # One row per feature: a report-sized frame.
@@ -174,7 +174,7 @@ def permutation_importance(
 
 def train_and_select(
     rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, thresholds: Sequence[float],
-    *, seed: int = 42, rounds: int = 20,
+    *, seed: int = 42, rounds: int = 800, steps: int = 200,
 ) -> tuple[DataFrame, dict, Preparation]:
     """Fit three models on train, choose by validation only, and only then read the test split.
 
@@ -182,14 +182,18 @@ def train_and_select(
     """
     part = lambda n: rows.filter(F.col("split") == n)
     prep = fit_preparation(part("train"), numeric, categorical)
-    train = prep.apply(part("train").withColumn(label, F.col(label).cast("double"))).cache()
+    ready = lambda name: prep.apply(part(name).withColumn(label, F.col(label).cast("double")))
+    train = ready("train").cache()
     n = train.count()
+    # boosting stops when the validation error no longer falls
+    watched = train.withColumn("_watch", F.lit(False)).unionByName(ready("validation").withColumn("_watch", F.lit(True))).cache()
     fits = {
         "logistic": logistic(label, n).fit(train),
-        "boosted_trees": boosted_trees(label, seed, rounds).fit(train),
-        "perceptron": perceptron(label, len(prep.names), seed, rounds).fit(train),
+        "boosted_trees": boosted_trees(label, seed, rounds, "_watch").fit(watched),
+        "perceptron": perceptron(label, len(prep.names), seed, steps).fit(train),
     }
     train.unpersist()
+    watched.unpersist()
 
     def table(split: str, prefix: str) -> DataFrame:
         x = prep.apply(part(split).withColumn(label, F.col(label).cast("double")))

@@ -189,9 +189,9 @@ def running_fingerprint(bars: DataFrame, text: Column, name: str, *, chunk: int
         ":", F.col("bar_index").cast("string"), F.col("_sum").cast("decimal(38,0)").cast("string")), 256).alias(name))
 
 
-def bar_text(columns: Sequence[str], scale: float = 1e6) -> Column:
-    """Position-bound text of a bar: index and scaled whole numbers."""
-    parts = [F.round(F.col(c) * scale).cast("long").cast("string") for c in columns]
+def bar_text(columns: Sequence[str]) -> Column:
+    """Position-bound text of a bar: index and values with all the digits that tell doubles apart."""
+    parts = [F.col(c).cast("string") for c in columns]
     return F.concat_ws("|", F.col("bar_index").cast("string"), *parts)
 
 

@@ -33,14 +33,14 @@ def interval_islands(windows: DataFrame, embargo: float) -> DataFrame:
     return x.withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
 
 
-def dependence_clusters(windows: DataFrame, embargo: float, max_rounds: int = 50) -> DataFrame:
+def dependence_clusters(windows: DataFrame, embargo: float) -> DataFrame:
     """Clusters joined by time overlap or by a shared ``dependence_group``.
 
     Interval islands come first; islands that share a group are then merged by passing on the
     smallest label until nothing changes. Labels are renumbered by first appearance.
     """
     x = written(interval_islands(windows, embargo).withColumn("label", F.col("cluster").cast("long")), "islands")
-    for _ in range(max_rounds):
+    while True:
         groups = x.filter(F.col("dependence_group").isNotNull()).groupBy("dependence_group").agg(F.min("label").alias("_g"))
         y = x.join(groups, "dependence_group", "left").withColumn("_m", F.least("label", F.coalesce("_g", F.col("label"))))
         down = y.groupBy("cluster").agg(F.min("_m").alias("_n"))
@@ -49,8 +49,6 @@ def dependence_clusters(windows: DataFrame, embargo: float, max_rounds: int = 50
         x = z.drop("_moved")
         if not moved:
             break
-    else:
-        raise RuntimeError("cluster labels did not settle")
     order = Window.orderBy("first_seen")
     names = x.groupBy("label").agg(F.min("input_order").alias("first_seen")).withColumn("cluster_id", F.row_number().over(order) - 1)
     return x.drop("cluster").join(names.select("label", "cluster_id"), "label").drop("label")

@@ -6,23 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# fixed values: component names and their aliases
-COMPONENTS = ("random", "rule_based", "emotional", "information", "mean_reversion", "momentum", "regime", "liquidity", "adaptive")
-ALIASES = {
-    "mathematical": "rule_based", "math": "rule_based", "behavioural": "emotional", "behavioral": "emotional",
-    "info": "information", "mean-reversion": "mean_reversion", "meanreversion": "mean_reversion", "trend": "momentum",
-    "regime_switching": "regime", "regime-switching": "regime", "order_flow": "liquidity", "order-flow": "liquidity",
-    "evolutionary": "adaptive",
-}
-
-
-def canonical_name(name: Column) -> Column:
-    """Component name in canonical spelling; NULL when unknown."""
-    key = F.replace(F.lower(F.trim(name)), F.lit(" "), F.lit("_"))
-    table = F.create_map(*[F.lit(x) for kv in {**{c: c for c in COMPONENTS}, **ALIASES}.items() for x in kv])
-    return table[key]
-
-
 def weight_mixes(base: DataFrame, names: Sequence[str], units: int, min_active: int = 1, max_active: int | None = None) -> DataFrame:
     """Every split of ``units`` equal parts over the non-empty subsets of ``names``.
 

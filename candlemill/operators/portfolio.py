@@ -160,7 +160,7 @@ def condition_response(
         F.percentile("value", F.array(*[F.lit(c) for c in cuts])).alias("_e"), F.count(F.lit(1)).alias("_n"),
         F.count_distinct("value").alias("_d")).filter((F.col("_n") >= need) & (F.col("_d") >= 3)).withColumn("_e", F.array_distinct("_e"))
     above = F.size(F.filter("_e", lambda e: e < F.col("value")))
-    binned = long.join(F.broadcast(edges.select(*cell, "_e")), cell).withColumn("condition_bin", F.greatest(F.lit(1), above))
+    binned = long.join(edges.select(*cell, "_e"), cell).withColumn("condition_bin", F.greatest(F.lit(1), above))
     key = [*cell, "condition_bin"]
     flat = binned.groupBy(*key, "structure_id", "run_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("sv"), F.sum("profitable").alias("sp"),

@@ -120,12 +120,17 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.5) -> float:
-    """Least ratio of the unlabelled to the positive share above a score, over scores that keep ``least`` of the positives."""
+    """Least ratio of the unlabelled to the positive share above a score, over scores that keep ``least`` of the positives.
+
+    The least of many noisy ratios lies too low, so each is taken at one standard error above; that fades as samples grow.
+    """
     cuts = np.quantile(positive, np.linspace(0, 1 - least, 101))
     p, u = np.sort(positive), np.sort(unlabelled)
     tail_p = 1 - np.searchsorted(p, cuts, "left") / len(p)
     tail_u = 1 - np.searchsorted(u, cuts, "left") / len(u)
-    return float(np.clip((tail_u / np.maximum(tail_p, 1e-9)).min(), 0.01, 0.99))
+    high = tail_u + np.sqrt(tail_u * (1 - tail_u) / len(u))
+    low = tail_p - np.sqrt(tail_p * (1 - tail_p) / len(p))
+    return float(np.clip((high / np.maximum(low, 1e-9)).min(), 0.01, 0.99))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, penalty: float | None = None, bins: int = 8) -> Model | None:

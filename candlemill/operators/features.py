@@ -135,8 +135,8 @@ def flow_features(ticks: DataFrame, ticks_per_bar: int, lookback_bars: int) -> D
     """Order-flow, spread and impact features over the last ``lookback_bars`` bars of ticks.
 
     Sums per bar come first, so the rolling frame runs over bars, not ticks: the shuffle and the
-    frame are ``ticks_per_bar`` times smaller. A pair or a return whose left tick lies before the
-    frame is taken out again through the first tick of the frame's first bar.
+    frame are ``ticks_per_bar`` times smaller. Of the frame's first bar the moments without its first
+    tick count, as that tick's pair and return reach back over the frame's edge.
     """
     n, last = ticks_per_bar, lookback_bars - 1
     total = F.col("buy_volume") + F.col("sell_volume")
@@ -157,60 +157,62 @@ def flow_features(ticks: DataFrame, ticks_per_bar: int, lookback_bars: int) -> D
     )
     paired = F.col("x").isNotNull()
     t = t.withColumn("yp", F.when(paired, F.col("y")))
+    # Second moments are kept about each bar's own mean and joined about the frame's mean, so that
+    # nearly constant series do not vanish in a difference of large sums.
+    inner = F.col("step") % n != 0
+
+    def pairs(kept: Column) -> Column:
+        x, y = F.when(kept, F.col("x")), F.when(kept, F.col("yp"))
+        size = F.count(x).cast("double")
+        return F.struct(size.alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), (F.var_pop(x) * size).alias("xx"), (F.var_pop(y) * size).alias("yy"),
+                        (F.covar_pop(x, y) * size).alias("xy"), F.sum(F.when(kept, F.col("aret"))).alias("a"))
+
     b = t.groupBy("run_id", "bar_index").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("buy_volume").alias("buy"), F.sum("sell_volume").alias("sell"),
-        F.sum("signed_order_flow").alias("signed"), F.sum("trade_count").alias("trades"),
-        F.sum("vol").alias("v"), F.sum(F.col("vol") * F.col("vol")).alias("v2"),
-        F.sum("sp0").alias("s"), F.sum(F.col("sp0") * F.col("sp0")).alias("s2"),
-        F.max_by("sp1", "step").alias("sp_now"),
-        F.sum("aret").alias("ar"), F.count("aret").alias("nr"),
-        F.count("x").alias("np"), F.sum("x").alias("px"), F.sum("yp").alias("py"),
-        F.sum(F.col("x") * F.col("x")).alias("pxx"), F.sum(F.col("yp") * F.col("yp")).alias("pyy"),
-        F.sum(F.col("x") * F.col("yp")).alias("pxy"),
-        F.min_by(F.struct("x", "yp", "aret"), "step").alias("head"),
+        F.sum("signed_order_flow").alias("signed"), F.sum("trade_count").alias("trades"), F.sum("vol").alias("v"), F.sum("sp0").alias("s"),
+        F.struct(F.avg("vol").alias("mx"), F.var_pop("vol").alias("xx")).alias("vb"), F.struct(F.avg("sp0").alias("mx"), F.var_pop("sp0").alias("xx")).alias("sb"),
+        F.max_by("sp1", "step").alias("sp_now"), pairs(F.lit(True)).alias("full"), pairs(inner).alias("tail"),
     ).filter(F.col("n") == n)
 
     def build(w):
         f = rows(w, last)
         s = lambda c: F.coalesce(F.sum(c).over(f), F.lit(0.0))
-        head = F.first("head").over(f)
-        hx, hy, ha = (F.coalesce(head[c], F.lit(0.0)) for c in ("x", "yp", "aret"))
-        has = F.when(head["x"].isNotNull(), F.lit(1)).otherwise(F.lit(0))
         return [
             {
-                "N": s("n"), "B": s("buy"), "S": s("sell"), "G": s("signed"), "T": s("trades"),
-                "V": s("v"), "V2": s("v2"), "P": s("s"), "P2": s("s2"),
-                "A": s("ar") - ha, "NR": s("nr") - has,
-                "NP": s("np") - has, "X": s("px") - hx, "Y": s("py") - hy,
-                "XX": s("pxx") - hx * hx, "YY": s("pyy") - hy * hy, "XY": s("pxy") - hx * hy,
-            }
+                "N": s("n"), "B": s("buy"), "S": s("sell"), "G": s("signed"), "T": s("trades"), "V": s("v"), "P": s("s"),
+                "VB": F.collect_list("vb").over(f), "SB": F.collect_list("sb").over(f), "F0": F.first("tail").over(f), "FB": F.collect_list("full").over(f),
+            },
+            # the frame's first bar without the pair that reaches back over its edge
+            {"PB": F.filter(F.concat(F.array("F0"), F.slice("FB", 2, F.greatest(F.size("FB") - 1, F.lit(0)))), lambda p: p["n"] > 0)},
         ]
 
     m = over_halo(b, lookback_bars, build)
     c = F.col
     flow = c("B") + c("S")
     vol_mean, sp_mean = c("V") / c("N"), c("P") / c("N")
-
-    def sd(sq, mean):
-        return F.when(c("N") > 1, F.sqrt(F.greatest(F.lit(0.0), (sq - c("N") * mean * mean) / (c("N") - 1)))).otherwise(F.lit(0.0))
-
-    vx = c("XX") - c("X") * c("X") / F.nullif(c("NP"), F.lit(0))
-    vy = c("YY") - c("Y") * c("Y") / F.nullif(c("NP"), F.lit(0))
-    cov = c("XY") - c("X") * c("Y") / F.nullif(c("NP"), F.lit(0))
-    flat = (c("NP") < 2) | vx.isNull() | (vx <= 1e-9) | (vy <= 1e-9)
+    total_of = lambda parts, value: F.aggregate(F.transform(parts, value), F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
+
+    def sd(parts, mean):
+        square = total_of(parts, lambda p: F.lit(float(n)) * (p["xx"] + (p["mx"] - mean) * (p["mx"] - mean)))
+        return F.when(c("N") > 1, F.sqrt(square / (c("N") - 1))).otherwise(F.lit(0.0))
+
+    m = m.withColumn("NP", total_of(c("PB"), lambda p: p["n"]))
+    mean_of = lambda u: F.try_divide(total_of(c("PB"), lambda p: p["n"] * p[f"m{u}"]), c("NP"))
+    m = m.withColumns({"x": mean_of("x"), "y": mean_of("y")})
+    moment = lambda u, v: total_of(c("PB"), lambda p: p[u + v] + p["n"] * (p[f"m{u}"] - c(u)) * (p[f"m{v}"] - c(v)))
+    m = m.withColumns({"vx": moment("x", "x"), "vy": moment("y", "y"), "cov": moment("x", "y")})
+    flat = (c("NP") < 2) | (F.sqrt(F.try_divide(c("vx"), c("NP"))) <= EPS) | (F.sqrt(F.try_divide(c("vy"), c("NP"))) <= EPS)
     return m.select(
         "run_id", "bar_index",
         ratio(c("G"), flow, 0.0).alias("observed_order_flow_imbalance"),
-        F.when(flat, F.lit(0.0)).otherwise(cov / F.sqrt(vx * vy)).alias("observed_order_flow_persistence"),
+        F.when(flat, F.lit(0.0)).otherwise(c("cov") / (F.sqrt("vx") * F.sqrt("vy"))).alias("observed_order_flow_persistence"),
         ratio(c("B"), flow, 0.5).alias("observed_buy_volume_fraction"),
         c("sp_now").alias("observed_spread_bps_current"),
         sp_mean.alias("observed_spread_bps_mean"),
-        sd(c("P2"), sp_mean).alias("observed_spread_bps_std"),
+        sd(c("SB"), sp_mean).alias("observed_spread_bps_std"),
         vol_mean.alias("observed_volume_mean"),
-        (sd(c("V2"), vol_mean) / F.greatest(vol_mean, F.lit(EPS))).alias("observed_volume_cv"),
+        (sd(c("VB"), vol_mean) / F.greatest(vol_mean, F.lit(EPS))).alias("observed_volume_cv"),
         (c("T") / c("N")).alias("observed_trade_count_mean"),
-        F.when(c("NR") > 0, c("A") / c("NR") / F.greatest(vol_mean, F.lit(1.0))).otherwise(F.lit(0.0)).alias(
-            "observed_price_impact_proxy"
-        ),
+        (F.coalesce(F.try_divide(total_of(c("PB"), lambda p: p["a"]), c("NP")), F.lit(0.0)) / F.greatest(vol_mean, F.lit(1.0))).alias("observed_price_impact_proxy"),
     )

@@ -251,8 +251,10 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 def test_words_are_encoded_as_whole_texts_are():
     plain, own = Tokenizer.from_file(TOKENIZER), repair_tokens.WordEncoder(TOKENIZER)
-    texts = ["it's <|endoftext|> ǅa Àé,, x́ b", "", "  ", "A\x00b!!$$ |x|", "ſK ﬁ x y \x85z", "don't 'll 12½ab| straße. ÀÉÎ!!", "́a Å", "日本 語x", LONG[:5000]]
-    assert [x.tolist() for x in own.encode_all(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = ["it's <|endoftext|> ǅa Àé,, x́ b", "", "  ", "A\x00b!!$$ |x|", "ſK ﬁ x y \x85z", "don't 'll 12½ab| straße. ÀÉÎ!!", "́a Å", "日本 語x", LONG[:5000], "a\x1cb \xa0c\u2003d É", "Word WORD word, WORD, THE!! The|"]
+    import pyarrow as pa
+
+    assert [x.tolist() for x in own.encode_all(pa.array(texts))] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_grammar_round_trip():

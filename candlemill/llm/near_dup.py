@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from candlemill.llm.components import components
-from candlemill.llm.text_arrays import mix, shingle_sets, sorted_groups, text_pieces, word_hashes
+from candlemill.llm.text_arrays import mix, release, shingle_sets, sorted_groups, text_pieces, word_hashes
 from candlemill.sources.series import written
 
 ROWS = 4
@@ -96,6 +96,7 @@ _SIGNATURE = pa.schema([
 def _sets_of(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     for row, data, offsets in text_pieces(batch.column(batch.schema.get_field_index("text"))):
         yield row, shingle_sets(*word_hashes(data, offsets), width)
+    release()
 
 
 def signatures(docs: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -206,6 +207,7 @@ def _verified(threshold: tuple[int, int], most: int, key: list[str]):
                     pairs.append((i, j))
             if pairs:
                 yield _edges(pairs, nodes)
+        release()
 
     return run
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from candlemill.llm.columns import id_remainder
-from candlemill.llm.text_arrays import text_pieces, word_hashes
+from candlemill.llm.text_arrays import release, text_pieces, word_hashes
 
 _KIND = np.full(256, 5, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 sentence marks, 4 other symbols, 5 beyond ASCII, 6 space
 _KIND[:128] = 4
@@ -82,6 +82,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def features(column: pa.Array) -> np.ndarray:
     """Text statistics of whole texts, one row a text. An empty or null text has zeros."""
     parts = [_features(data, offsets) for _, data, offsets in text_pieces(column)]
+    release()
     return np.concatenate(parts) if parts else np.zeros((0, WIDTH))
 
 
@@ -101,8 +102,8 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(len(x))
-        for a in range(0, len(x), 4096):
-            out[a : a + 4096] = 1 / (1 + np.exp(-np.clip(self.spread(x[a : a + 4096]) @ self.weights, -40, 40)))
+        for a in range(0, len(x), 1024):
+            out[a : a + 1024] = 1 / (1 + np.exp(-np.clip(self.spread(x[a : a + 1024]) @ self.weights, -40, 40)))
         return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20  # bytes of text handled at once; a longer text is handled alone
+PIECE = 1 << 18  # bytes of text handled at once; a longer text is handled alone
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -19,6 +19,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, np.uint64)
 
 
+def release() -> None:
+    """Give Arrow's freed memory back to the system: a reused Python worker would keep it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+
+
 def _power_table(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
@@ -53,9 +58,15 @@ def text_pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (A-Z lower-cased) and, per text, where its words begin (one entry more at the end)."""
-    n = len(data)
+    hashes, at, _, _ = word_spans(data, offsets)
+    return hashes, at
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and the first byte and the end of every word."""
+    n, none = len(data), np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
     low = _LOWER[data]
     letter = ~_SPACE[low]
     begin = letter.copy()
@@ -64,11 +75,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begin[edges] = letter[edges]
     starts = np.flatnonzero(begin)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
+    closing = letter.copy()
+    closing[:-1] &= ~letter[1:] | begin[1:]
     place = np.arange(n, dtype=np.int64) - starts[np.maximum(np.cumsum(begin) - 1, 0)]
     place[~letter] = 0
     sums = np.add.reduceat(_BYTE[low] * _power_table(int(place.max()) + 1)[place], starts)
-    return mix(sums), np.searchsorted(starts, offsets)
+    return mix(sums), np.searchsorted(starts, offsets), starts, np.flatnonzero(closing) + 1
 
 
 _WEIGHT = np.random.default_rng(7).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -14,12 +14,12 @@ smaller one stays whole.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from candlemill.llm.columns import pack, unpack, utf8
+from candlemill.llm.columns import unpack, utf8
 from candlemill.sources.series import number_series, written
 
 DIM_BITS, TEXT_BITS, ID_BITS = 24, 24, 12
@@ -119,9 +119,9 @@ def text_dimensions(text: Column) -> dict[str, Column]:
 
 def kd_shards(
     docs: DataFrame, shards: int, *, text: str = "text", doc_id: str = "doc_id", overhead: int = 8,
-    dims: Mapping[str, Column] | None = None, slack: float = 0.02,
+    dims: Mapping[str, Column] | None = None, slack: float = 0.02, keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All rows of ``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot``.
+    """All rows of ``docs`` (all columns, or those in ``keep``) with ``size``, ``text_crc32``, ``shard`` and ``slot``.
 
     Shards are the leaves 0 to ``shards`` - 1 of the tree, near equal in bytes (UTF-8 bytes plus ``overhead`` a row).
     ``slot`` numbers a shard's rows from 0 without gaps, by id, then checksum; rows that agree in both are
@@ -146,10 +146,12 @@ def kd_shards(
 
     meta = meta.select("id", "size", "crc", "th", "ih", *[scaled(F.col(r), r).alias(r) for r in raw])
     tree = build_tree(meta, raw, shards, slack)
-    placed = pack(
-        docs, id=F.col(doc_id), size=(F.octet_length(filled) + overhead).cast("long"), crc=F.crc32(utf8(F.col(text))),
-        th=F.shiftrightunsigned(F.xxhash64(filled), 64 - TEXT_BITS), ih=F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.lit(1)), 64 - ID_BITS),
-        **{r: F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0)) for r, c in zip(raw, given.values())})
+    names = [c for c in docs.columns if keep is None or c in keep]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None)
+    placed = docs.select(
+        row.alias("_row"), F.col(doc_id).alias("id"), (F.octet_length(filled) + overhead).cast("long").alias("size"), F.crc32(utf8(F.col(text))).alias("crc"),
+        F.shiftrightunsigned(F.xxhash64(filled), 64 - TEXT_BITS).alias("th"), F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.lit(1)), 64 - ID_BITS).alias("ih"),
+        *[F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0)).alias(r) for r, c in zip(raw, given.values())])
     placed = placed.withColumns({r: scaled(F.col(r), r) for r in raw}).withColumn("shard", _leaf(tree).cast("int"))
     numbered = number_series(placed.select("_row", "id", "size", "crc", "shard"), "shard", ["id", "crc"], step="slot")
-    return unpack(numbered, docs.columns, size=F.col("size"), text_crc32=F.col("crc"), shard=F.col("shard"), slot=F.col("slot"))
+    return unpack(numbered, names, size=F.col("size"), text_crc32=F.col("crc"), shard=F.col("shard"), slot=F.col("slot"))

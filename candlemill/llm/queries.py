@@ -34,7 +34,7 @@ def op6_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = kd_shards.kd_shards(docs, 24)
+    placed = kd_shards.kd_shards(docs, 24, keep=["doc_id"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from candlemill.llm import ann, decontam, katz, kd_shards, mixing, near_dup, pu_quality, repair_tokens, url_filter, warc
 from candlemill.llm.columns import id_remainder
 from candlemill.session import scratch_path
+from candlemill.sources.series import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op6_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n_words"))
+    sized = written(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n_words")), "document-lengths")
     mixed = mixing.mix(sized, length=F.col("n_words"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 

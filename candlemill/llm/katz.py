@@ -35,7 +35,7 @@ REST = 0.1  # what a larger count leaves to the words not seen, so that every co
 HOT = 1000
 SALT = 16
 BLOCK_TOKENS = 2_000_000
-TABLE_TOKENS = 1 << 22
+TABLE_TOKENS = 1 << 21
 END = np.uint64(0x0E5D0E5D0E5D0E5D)
 BOS = np.uint64(0x0B050B050B050B05)
 
@@ -227,27 +227,31 @@ class Pairs:
     def __init__(self, blobs: list[dict[str, np.ndarray]], uni: Unigrams):
         self.sizes = [int(b["docs"][0]) for b in blobs]
         first = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.doc = np.concatenate([b["doc"].astype(np.int64) + f for b, f in zip(blobs, first)])
+        self.doc = np.concatenate([b["doc"].astype(np.int32) + np.int32(f) for b, f in zip(blobs, first)])
         self.first = first
         learns = np.concatenate([np.unpackbits(b["learns"], count=s).astype(bool) for b, s in zip(blobs, self.sizes)])
         words = np.concatenate([np.cumsum(b["w"], dtype=np.uint64) for b in blobs])
         self.words, at = np.unique(words, return_inverse=True)
-        self.w = np.repeat(at.astype(np.int64), np.concatenate([b["n"] for b in blobs]))
+        self.w = np.repeat(at.astype(np.int32), np.concatenate([b["n"] for b in blobs]))
         contexts = [np.cumsum(b["h"], dtype=np.uint64) for b in blobs]
         self.contexts, at = np.unique(np.concatenate(contexts), return_inverse=True)
         shift = np.concatenate(([0], np.cumsum([len(c) for c in contexts])))
-        self.h = at.astype(np.int64)[np.concatenate([b["at"].astype(np.int64) + s for b, s in zip(blobs, shift)])]
+        self.h = at.astype(np.int32)[np.concatenate([b["at"].astype(np.int32) + np.int32(s) for b, s in zip(blobs, shift)])]
+        del contexts, words, at
         train = learns[self.doc]
         self.count = np.bincount(self.w[train], minlength=len(self.words))  # c(w)
         for i in np.flatnonzero(np.isin(self.words, np.array(list(uni.hot), np.uint64))) if uni.hot else ():
             self.count[i] = uni.hot[int(self.words[i])]
-        key = self.w * len(self.contexts) + self.h
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-        group = np.cumsum(new) - 1
-        c = np.bincount(group, weights=train[order], minlength=int(group[-1]) + 1).astype(np.int64)
-        self.c = np.empty(len(key), np.int64)  # c(h, w) of every occurrence
+        key = self.w.astype(np.int64) * len(self.contexts) + self.h
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        del key
+        group = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        c = np.add.reduceat(train[order].astype(np.int32), np.flatnonzero(new))
+        self.c = np.empty(len(group), np.int32)  # c(h, w) of every occurrence
         self.c[order] = c[group]
+        del group
         self.pair_w, self.pair_h, self.pair_c = self.w[order][new], self.h[order][new], c
         n = np.bincount(np.minimum(c, CUTOFF + 2), minlength=CUTOFF + 3)
         self.d = discounts(n[: CUTOFF + 2].tolist())
@@ -269,16 +273,18 @@ def _tables(uni: Unigrams, kinds: str, parts: int):
                 continue
             t = Pairs([_unpack(blobs[i]) for i in mine.tolist()], uni)
             own = blocks[mine]
+            del group, blobs
             if kinds == "documents":
-                c = t.count[t.w]
-                value = np.where(t.c > 0, np.log10(np.maximum(discounted(t.c, t.d), 1e-300)), uni.log10(t.count)[t.w])
+                value = np.log10(np.maximum(discounted(t.c, t.d), 1e-300))
+                value[t.c == 0] = uni.log10(t.count)[t.w[t.c == 0]]
                 is_end = t.words == END
                 as_context = np.where((t.count > 0) & ~is_end, np.log10(np.maximum(t.count, 1)), 0.0)
                 value -= as_context[t.w]
                 total = int(t.first[-1])
                 score = np.bincount(t.doc, weights=value, minlength=total)
-                base = np.bincount(t.doc, weights=np.log10(c + 0.5), minlength=total)
-                n, known = np.bincount(t.doc, minlength=total), np.bincount(t.doc, weights=c > 0, minlength=total).astype(np.int64)
+                del value
+                base = np.bincount(t.doc, weights=np.log10(t.count + 0.5)[t.w], minlength=total)
+                n, known = np.bincount(t.doc, minlength=total), np.bincount(t.doc, weights=(t.count > 0)[t.w], minlength=total).astype(np.int64)
                 for b, x, y in zip(own.tolist(), t.first[:-1].tolist(), t.first[1:].tolist()):
                     yield _row(b, 0, b, _pack(score=score[x:y], base=base[x:y], n=_slim(n[x:y]), known=_slim(known[x:y])))
                 continue
@@ -388,7 +394,7 @@ def katz_scores(
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), (id_remainder(F.col(doc_id), divisor) != held_out).alias("learns"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     uni = Unigrams(unigram_table(rows, 64))
     tables = tables or max(16, 1 << math.ceil(math.log2(max(1, uni.n / TABLE_TOKENS))))
-    sent = rows.mapInArrow(_send(uni, tables), _DDL).repartition(tables, "part").sortWithinPartitions("part")
+    sent = rows.mapInArrow(_send(uni, tables), _DDL).repartition(tables, "part").sortWithinPartitions("part", "block")
     sums = sent.mapInArrow(_tables(uni, "documents", tables), _DDL)
     contexts = sent.mapInArrow(_tables(uni, "contexts", tables), _DDL).repartition(tables, "part").sortWithinPartitions("part")
     parts = sums.unionByName(contexts.mapInArrow(_back_off, _DDL)).repartition("part").sortWithinPartitions("part")

@@ -19,24 +19,26 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from candlemill.llm.text_arrays import release, text_pieces, word_spans
+
 BLOCK = 1 << 19
 ROUNDS = 6
 LEAST = 6
-CACHED = 1_000_000
+CACHED = 1_500_000
 
 # --- tokenizing ---------------------------------------------------------------------------------------------------
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _MARKS = ".,;:!?|$%&#*"
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([" + re.escape(_MARKS) + "]*)")
+AT_ONCE = 8 << 20  # bytes of text whose words are learnt together
 
 
 class WordEncoder:
-    """Encodes whole texts through the tokenizers library, each distinct word once.
+    """Encodes whole texts through the tokenizers library, each distinct word once for a run of texts.
 
     For a tokenizer that drops white space and never merges across it, the ids of a text are those of its words. Plain
-    Latin words with marks behind them are further split into lower-cased word and marks. The two tables are emptied
-    when they reach ``CACHED`` entries; that costs time, never results.
+    Latin words with marks behind them are further split into lower-cased word and marks, whose ids are remembered over
+    all runs. That table is emptied when it reaches ``CACHED`` entries, which costs time, never results.
     """
 
     def __init__(self, path: str):
@@ -47,8 +49,7 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
         self.first_free = size
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -57,49 +58,77 @@ class WordEncoder:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_parts(self, parts: list[str]) -> None:
-        groups = [parts[i : i + 64] for i in range(0, len(parts), 64)]
-        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            pieces = np.split(ids, cuts)[:-1] if len(cuts) and cuts[-1] == len(ids) else []
-            if len(pieces) != len(group):
-                pieces = self._ids(group)
-            self.parts.update((w, p.tobytes()) for w, p in zip(group, pieces))
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > CACHED:
-            self.words.clear()
+        width = np.dtype(self.dtype).itemsize
+        for a in range(0, len(parts), 1 << 14):
+            groups = [parts[i : i + 256] for i in range(a, min(a + (1 << 14), len(parts)), 256)]
+            for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
+                cuts = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+                if len(cuts) == len(group) and cuts[-1] == len(ids) * width:
+                    raw, last = ids.tobytes(), 0
+                    for w, cut in zip(group, cuts):
+                        self.parts[w] = raw[last:cut]
+                        last = cut
+                else:
+                    self.parts.update((w, p.tobytes()) for w, p in zip(group, self._ids(group)))
+
+    def _table(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of distinct words."""
         if len(self.parts) > CACHED:
-            self.parts.clear()
-        plain, other, parts = {}, [], set()
+            self.parts = {"": b""}
+        known = self.parts
+        table, rest = {}, []
         for w in words:
             bare = w.rstrip(_MARKS)
-            if bare and _PLAIN.fullmatch(bare):
-                split = (bare.lower(), w[len(bare) :])
-                plain[w] = split
-                parts.update(p for p in split if p and p not in self.parts)
+            ids = known.get(bare.lower())
+            mark = known.get(w[len(bare) :])
+            if ids is None or mark is None or not bare:
+                rest.append(w)
+            else:
+                table[w] = ids + mark
+        # what is left holds a part not met before, or is no plain word
+        plain, other = [], []
+        for w in rest:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                plain.append((w, m[1].lower(), m[2]))
             else:
                 other.append(w)
-        if parts:
-            letters, marks = [p for p in parts if p[0].isalpha()], [p for p in parts if not p[0].isalpha()]
-            self._learn_parts(letters)
-            self.parts.update((w, p.tobytes()) for w, p in zip(marks, self._ids(marks)))
-        for w, (bare, marks) in plain.items():
-            self.words[w] = self.parts[bare] + (self.parts[marks] if marks else b"")
-        self.words.update((w, p.tobytes()) for w, p in zip(other, self._ids(other)))
-
-    def encode(self, text: str) -> np.ndarray:
-        words = _WORD.findall(text)
-        missing = set(words).difference(self.words)
-        if missing:
-            if len(missing) > CACHED // 2:  # one text with more distinct words than the table should hold
-                return self._ids([text])[0]
-            self._learn(missing)
-            if len(self.words) < len(missing) or any(w not in self.words for w in words[:1]):
-                self._learn(set(words).difference(self.words))
-        try:
-            return np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype=self.dtype)
-        except KeyError:  # the table was emptied on the way
-            return self._ids([text])[0]
+        self._learn_parts(list({x[1] for x in plain}.difference(known)))
+        marks = list({x[2] for x in plain}.difference(known))
+        known.update((w, p.tobytes()) for w, p in zip(marks, self._ids(marks)))
+        for w, bare, mark in plain:
+            table[w] = known[bare] + known[mark]
+        table.update((w, p.tobytes()) for w, p in zip(other, self._ids(other)))
+        return table
+
+    def encode_all(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a run. Words are told apart by 64-bit hashes; only distinct ones become strings."""
+        hashes, starts, ends, at, blobs, base, words = [], [], [], [np.zeros(1, np.int64)], [], 0, 0
+        for _, data, offsets in text_pieces(column):
+            h, w, a, b = word_spans(data, offsets)
+            hashes.append(h)
+            starts.append(a + base)
+            ends.append(b + base)
+            at.append(w[1:] + words)
+            blobs.append(data)
+            base, words = base + len(data), words + len(h)
+        if not blobs:
+            return []
+        at = np.concatenate(at)
+        _, first, where = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        raw = np.concatenate(blobs).tobytes()
+        spans = zip(np.concatenate(starts)[first].tolist(), np.concatenate(ends)[first].tolist())
+        distinct = [raw[a:b].decode() for a, b in spans]
+        table = self._table(set(distinct))
+        ids = [table[w] for w in distinct]
+        width = np.dtype(self.dtype).itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        begin = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(sizes) else sizes
+        each = sizes[where]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        flat = np.frombuffer(b"".join(ids), self.dtype)[np.repeat(begin[where] - upto[:-1], each) + np.arange(upto[-1])]
+        cuts = upto[at].tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -115,25 +144,35 @@ def encoder(path: str) -> WordEncoder:
 # --- grammar ------------------------------------------------------------------------------------------------------
 
 
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """20 bits of a multiplicative hash."""
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(12)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, first_free: int, rounds: int = ROUNDS, least: int = LEAST) -> dict:
     """Grammar of a block. ``starts``: where each document's ids begin. At most 2**16 symbols where the vocabulary allows."""
-    seq = ids.astype(np.int64)
+    room = (1 << 16) - first_free if first_free < 1 << 16 else 1 << 20
+    # pairs of two-byte symbols are sorted as four-byte numbers
+    kind, shift = (np.uint32, np.uint32(16)) if first_free + room <= 1 << 16 else (np.uint64, np.uint64(32))
+    seq = ids.astype(kind)
     last = np.zeros(len(seq) + 1, bool)  # the symbol ends a document
     last[starts[1:] - 1] = True
     last = last[: len(seq)]
-    room = (1 << 16) - first_free if first_free < 1 << 16 else 1 << 20
     left, right, bounds = [], [], [first_free]
     counts_docs = starts
     for _ in range(rounds):
         if len(seq) < 2 or room <= 0:
             break
-        keys = (seq[:-1] << 32) | seq[1:]
-        keys[last[:-1]] = -1
-        order = np.sort(keys)
+        keys = (seq[:-1] << shift) | seq[1:]
+        order = np.sort(keys[~last[:-1]])
+        if not len(order):
+            break
         cut = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
         n = np.diff(np.concatenate((cut, [len(order)])))
         distinct = order[cut]
-        good = (n >= least) & (distinct >= 0)
+        good = n >= least
         distinct, n = distinct[good], n[good]
         if not len(distinct):
             break
@@ -142,15 +181,15 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_free: int, rounds: int =
             top = np.sort(np.argsort(-n, kind="stable")[:most])
             distinct, n = distinct[top], n[top]
         # a table of pairs by a multiplicative hash; of pairs that collide the more frequent one waits for no round
-        slot = ((distinct.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        slot = _slots(distinct)
         rank = np.argsort(n, kind="stable")
-        table = np.full(1 << 20, -1, np.int64)
+        table = np.full(1 << 20, -1, np.int32)
         table[slot[rank]] = rank
         kept = np.flatnonzero(table[slot] == np.arange(len(distinct)))
         new = np.full(len(distinct), -1, np.int64)
         new[kept] = np.arange(len(kept))
-        found = table[((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)]
-        hit = (found >= 0) & (distinct[found] == keys)
+        found = table[_slots(keys)]
+        hit = (found >= 0) & (distinct[found] == keys) & ~last[:-1]
         # of overlapping pairs every second one, from the left
         at = np.flatnonzero(hit)
         if not len(at):
@@ -162,15 +201,17 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_free: int, rounds: int =
         used, rule = np.unique(rule, return_inverse=True)
         pairs = distinct[kept[used]]
         base = bounds[-1]
-        left.append(pairs >> 32)
-        right.append(pairs & 0xFFFFFFFF)
-        seq[at] = base + rule
+        left.append((pairs >> shift).astype(np.int64))
+        right.append((pairs & kind((1 << int(shift)) - 1)).astype(np.int64))
+        seq[at] = (base + rule).astype(kind)
         last[at] |= last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
         bounds.append(base + len(pairs))
         room -= len(pairs)
+        if len(at) < len(seq) // 200:  # pairs that are still frequent shorten the block no more
+            break
     left = np.concatenate(left) if left else np.zeros(0, np.int64)
     right = np.concatenate(right) if right else np.zeros(0, np.int64)
     lengths = np.ones(bounds[-1], np.int64)
@@ -252,18 +293,21 @@ def write_shards(
 
         held = 0
         for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1)):
-                got = words.encode(content.as_py() or "")
-                ids += [got, end]
-                sizes.append(len(got) + 1)
-                names.append(name.as_py())
-                held += len(got) + 1
-                if held >= block:
-                    yield flush()
-                    number, held = number + 1, 0
-                    ids, sizes, names = [], [], []
+            texts, keys = batch.column(1), batch.column(0).to_pylist()
+            per = max(1, AT_ONCE * len(keys) // max(1, texts.nbytes))
+            for a in range(0, len(keys), per):
+                for name, got in zip(keys[a : a + per], words.encode_all(texts.slice(a, per))):
+                    ids += [got, end]
+                    sizes.append(len(got) + 1)
+                    names.append(name)
+                    held += len(got) + 1
+                    if held >= block:
+                        yield flush()
+                        number, held = number + 1, 0
+                        ids, sizes, names = [], [], []
         if sizes:
             yield flush()
+        release()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from candlemill.llm.components import components
 from candlemill.llm.text_arrays import mix, release, shingle_sets, sorted_groups, text_pieces, word_hashes
@@ -31,7 +31,7 @@ BITS = 512
 BLOCK = 128
 PIVOTS = 16
 SMALL_BUCKET = 256
-BROADCAST_ROWS = 1_000_000  # 16 bytes each: a side of up to 16 MB is broadcast
+BROADCAST_ROWS = 1_000_000  # 24 bytes each: a side of up to 24 MB is broadcast
 
 
 def bands_for(threshold: float) -> int:
@@ -215,12 +215,13 @@ def _verified(threshold: tuple[int, int], most: int, key: list[str]):
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5,
 ) -> DataFrame:
-    """One row per document: ``doc_id``, ``th`` (hash of the text), ``node``, ``n_shingles``, ``component_id``, ``kept``.
+    """One row per document: ``doc_id``, ``th`` (hash of the text), ``node``, ``root``, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their sets of distinct ``width``-word
     shingles (words lower-cased in A-Z; a shorter text is one shingle). ``component_id`` is the smallest id that can be
     reached. Null and wordless texts have no shingles and stand alone, each under its own id. Repeated rows are one
     node; ``kept`` marks every row whose id is its component's. Ids that are null are never the smallest unless all are.
+    ``root`` tells components apart where ids do not (null or shared ids); it is null for wordless texts.
     Set elements and nodes are 64-bit hashes; two sets with one node hash are told apart by a second hash and raise.
     """
     threshold = percent / 100
@@ -231,7 +232,7 @@ def near_duplicates(
     signed = written(signatures(base, threshold, width), "near-signatures")
     nodes = written(
         signed.filter("n > 0").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("proof").alias("p0"), F.max("proof").alias("p1")),
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("row"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("proof").alias("p0"), F.max("proof").alias("p1")),
         "near-nodes")
     if nodes.filter("p0 != p1").head(1):
         raise ValueError("two shingle sets share a 64-bit fingerprint")
@@ -244,10 +245,10 @@ def near_duplicates(
     clusters = written(components(small.mapInArrow(_bucket_forests(most), "a long, b long").unionByName(stars)), "near-clusters")
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     # the texts of clustered nodes once more, for their full sets
-    wanted = clusters.join(nodes.select("node", "doc_id"), "node").select("node", "doc_id")
+    wanted = clusters.join(nodes.select("node", "row.doc_id", "row.th"), "node").select("node", "doc_id", "th")
     if clusters.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    again = base.join(wanted, base["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
+    again = base.join(wanted, base["doc_id"].eqNullSafe(wanted["doc_id"]) & (base["th"] == wanted["th"])).select("node", "text")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,31 +287,36 @@ def near_duplicates(
         more = crossed.mapInArrow(_verified(bounds, most, keys), "a long, b long")
         links = links.unionByName(more)
     found = components(links)
-    grouped = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = nodes.select("node", "row.doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = grouped.join(least, "root").select("node", "component_id")
+    named = grouped.join(least, "root").select("node", "root", "component_id")
     out = signed.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     out = out.join(named, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "th", "node", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "th", "node", "root", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that with the smallest id, one of repeated rows.
 
-    Wordless texts all stay. Rows keep all their columns.
+    Of unequal texts of one group that share the smallest id (or have none), that with the smallest hash stays. Wordless
+    texts all stay. Rows keep all their columns.
     """
     th = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     told = near_duplicates(docs, doc_id=doc_id, text=text, percent=percent, width=width)
-    told = written(told.select("doc_id", "th", "node", "component_id", "kept"), "near-told")
-    gone = told.filter("NOT kept").select("doc_id", "th").distinct()
-    twice = told.filter("kept AND node IS NOT NULL").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("rows"), F.min("th").alias("th")).filter("rows > 1")
-    kept = docs.alias("d").join(gone.alias("g"), F.col(f"d.{doc_id}").cast("long").eqNullSafe(F.col("g.doc_id")) & (th == F.col("g.th")), "left_anti")
+    told = written(told.select("doc_id", "th", "root", "kept"), "near-told")
+    worded = told.filter("kept AND root IS NOT NULL")
+    several = worded.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min("th").alias("least")).filter("rows > 1")
+    several = written(worded.join(several, "root").groupBy("doc_id", "th", "least").agg(F.count(F.lit(1)).alias("rows")), "near-several")
+    gone = told.filter("NOT kept").select("doc_id", "th").unionByName(several.filter("th != least").select("doc_id", "th")).distinct()
+    twice = several.filter("th = least AND rows > 1").select("doc_id", "th")
+    rows = docs.withColumn("_th", th)
+
+    def same(other: str) -> Column:
+        return F.col(f"d.{doc_id}").cast("long").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("d._th") == F.col(f"{other}.th"))
+
+    kept = rows.alias("d").join(gone.alias("g"), same("g"), "left_anti")
     if not twice.head(1):
-        return kept
-    # rows that repeat an id within a component: of equal texts one row, of unequal ones that with the smaller hash
-    rows = kept.withColumn("_th", th)
-    once = rows.alias("d").join(twice.alias("t"), F.col(f"d.{doc_id}").cast("long").eqNullSafe(F.col("t.doc_id")), "left_anti")
-    again = rows.alias("d").join(twice.alias("t"), F.col(f"d.{doc_id}").cast("long").eqNullSafe(F.col("t.doc_id")) & (F.col("d._th") == F.col("t.th")), "left_semi")
-    other = rows.alias("d").join(twice.alias("t"), F.col(f"d.{doc_id}").cast("long").eqNullSafe(F.col("t.doc_id")), "left_semi").alias("d").join(
-        told.filter("kept AND node IS NULL").select("doc_id", "th").distinct().alias("w"), F.col(f"d.{doc_id}").cast("long").eqNullSafe(F.col("w.doc_id")) & (F.col("d._th") == F.col("w.th")), "left_semi")
-    return once.unionByName(again.dropDuplicates([doc_id, "_th"])).unionByName(other).drop("_th")
+        return kept.drop("_th")
+    once = kept.alias("d").join(twice.alias("t"), same("t"), "left_anti")
+    again = kept.alias("d").join(twice.alias("t"), same("t"), "left_semi")
+    return once.unionByName(again.dropDuplicates([doc_id, "_th"])).drop("_th")

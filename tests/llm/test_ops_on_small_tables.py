@@ -111,6 +111,18 @@ def test_keep_one_of_each_group(spark):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_keep_one_does_not_mix_groups_without_an_id_of_their_own(spark):
+    """Unrelated texts stay, whether they have no id or share one; of near copies among them one stays."""
+    copy = " ".join(f"c{i}" for i in range(60))
+    rows = [(None, "first text that has no id", "a"), (None, "second and wholly other text without one", "a"), (None, "third text, unlike both", "a"), (None, "third text, unlike both", "a"),
+            (5, "a text under the id five", "b"), (5, "something else that is numbered alike", "b"), (5, "", "b"), (None, None, "b"), (None, copy, "c"), (None, copy + " more", "c"), (5, copy + " most", "c")]
+    kept = near_dup.keep_one(docs(spark, rows), percent=80).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted({(i, t) for i, t, _ in rows} - {(None, copy), (None, copy + " more")}, key=str)
+    alone = near_dup.keep_one(docs(spark, [r for r in rows if r[0] is None]), percent=80).collect()
+    texts = [r.text for r in alone]
+    assert len(texts) == 5 and set(texts) > {r[1] for r in rows[:4]} and len({copy, copy + " more"} & set(texts)) == 1
+
+
 def test_screen_and_bands():
     assert (1 - 0.85**4) ** near_dup.bands_for(0.85) <= 1e-7
     sets = [np.arange(300, dtype=np.uint64) * np.uint64(7919), np.arange(12, 300, dtype=np.uint64) * np.uint64(7919)]

@@ -4,7 +4,8 @@ A text becomes a row of tokens (runs of letters, numbers, names), and its templa
 a number by ``1`` and names (capitalised words inside a sentence, several in a row as one) by ``2``. Windows of ``width``
 template tokens are hashed and joined with the benchmark's. Windows of one alignment of a document and an item must
 fill their placeholders consistently: one value of the item always meets one value of the document. So a question with
-other numbers is found, and a chance meeting of bare patterns is not.
+other numbers is found, and a chance meeting of bare patterns is not. Of an alignment that is not consistent, the windows
+whose values equal the item's still count: a copy with one of two equal numbers edited is a copy.
 """
 
 from __future__ import annotations
@@ -69,7 +70,8 @@ def find_leaks(
     """One row per document and benchmark item that it leaks: ``doc_id``, ``th`` (hash of the text), ``item_id``,
     ``matched``, ``windows``.
 
-    A leak covers at least ``coverage`` of the item's windows in alignments with consistent slots. Items with fewer
+    A leak covers at least ``coverage`` of the item's windows in alignments with consistent slots, or by windows that
+    hold the item's own values. Items with fewer
     than ``width`` tokens are one window of all their tokens; with fewer than ``shortest`` they are never met. Null and
     empty texts leak nothing. Repeated rows of one id and text give one row, as do repeated items. Ids may be null.
     """
@@ -116,12 +118,13 @@ def find_leaks(
     aligned = met(again.distinct(), True).select("doc_id", "th", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), both.alias("slots"))
     keys = ["doc_id", "th", "item", "shift"]
     pairs = aligned.select(*keys, F.explode("slots").alias("s")).select(*keys, "s.theirs", "s.ours").distinct()
-    bad = pairs.groupBy(*keys, "theirs").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys).distinct()
+    bad = pairs.groupBy(*keys, "theirs").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys, F.lit(True).alias("theirs_differ")).distinct()
     a, b = aligned.alias("a"), bad.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
     for k in keys[1:]:
         same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    fine = a.join(b, same, "left_anti").groupBy("doc_id", "th", "item").agg(F.count_distinct("item_at").alias("matched"))
+    fine = a.join(b, same, "left").filter(F.col("b.theirs_differ").isNull() | F.forall("a.slots", lambda s: s["theirs"] == s["ours"]))
+    fine = fine.select("a.doc_id", "a.th", "a.item", "a.item_at").groupBy("doc_id", "th", "item").agg(F.count_distinct("item_at").alias("matched"))
     kept = fine.join(sizes, "item").filter("slots").filter(enough)
     return plain.unionByName(kept.select("doc_id", "th", "item_id", "matched", "windows")).distinct()
 

@@ -361,6 +361,15 @@ def test_template_leaks(spark):
     assert decontam.find_leaks(docs(spark, held), bench.limit(0)).count() == 0
 
 
+def test_a_copy_with_one_of_two_equal_values_edited_leaks(spark):
+    text = "A tank holds 120 litres of water at noon and a pump then drains it slowly until only half is left, so how many of the 120 litres remain?"
+    held = [(1, "Intro. " + text.replace("the 120", "the 130") + " end", None), (2, "Intro. " + text + " end", None), (3, "It held 120 litres of water, then 130 litres of it.", None)]
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.find_leaks(docs(spark, held), bench).collect()}
+    assert set(got) == {1, 2} and got[2].matched == got[2].windows
+    assert got[1].matched == got[1].windows - 3  # those over the edited number, the third token from the end
+
+
 # --- quality ------------------------------------------------------------------------------------------------------
 
 

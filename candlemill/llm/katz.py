@@ -11,7 +11,7 @@ The sums meet by context, where the backoff weight is normalised exactly:
 P(w) is the discounted unigram; its free mass is the probability of one unknown word. Only sums per (document, table)
 and pairs that back off travel on. Tables are chosen by the hash of the word. A word that holds over 1/``HOT`` of all tokens is
 spread over the tables by its contexts, and a context that frequent over ``SALT`` places. Good-Turing statistics of pairs
-are taken per table.
+are summed over all tables before any discount is taken (``pooled``), or taken per table.
 """
 
 from __future__ import annotations
@@ -224,7 +224,7 @@ def _send(uni: Unigrams, tables: int):
 class Pairs:
     """Complete pair counts of one table, from the blocks' blobs."""
 
-    def __init__(self, blobs: list[dict[str, np.ndarray]], uni: Unigrams):
+    def __init__(self, blobs: list[dict[str, np.ndarray]], uni: Unigrams, pooled: list[int] | None = None):
         self.sizes = [int(b["docs"][0]) for b in blobs]
         first = np.concatenate(([0], np.cumsum(self.sizes)))
         self.doc = np.concatenate([b["doc"].astype(np.int32) + np.int32(f) for b, f in zip(blobs, first)])
@@ -253,8 +253,21 @@ class Pairs:
         self.c[order] = c[group]
         del group
         self.pair_w, self.pair_h, self.pair_c = self.w[order][new], self.h[order][new], c
-        n = np.bincount(np.minimum(c, CUTOFF + 2), minlength=CUTOFF + 3)
-        self.d = discounts(n[: CUTOFF + 2].tolist())
+        self.n = np.bincount(np.minimum(c, CUTOFF + 2), minlength=CUTOFF + 3)[: CUTOFF + 2]  # of counts
+        self.d = discounts(self.n.tolist() if pooled is None else pooled)
+
+
+def _counts_of_counts(uni: Unigrams):
+    """One row of each table: how many of its pairs have count 1 to CUTOFF + 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["part"]):
+            blobs = [b for k, b in zip(group["kind"].to_pylist(), group["blob"].to_pylist()) if k == 0]
+            if blobs:
+                n = Pairs([_unpack(b) for b in blobs], uni).n
+                yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in n[1:]], names=[f"n{r}" for r in range(1, CUTOFF + 2)])
+
+    return run
 
 
 def _tables(uni: Unigrams, kinds: str, parts: int):
@@ -271,7 +284,8 @@ def _tables(uni: Unigrams, kinds: str, parts: int):
             mine = np.flatnonzero(kind == 0)
             if not len(mine):
                 continue
-            t = Pairs([_unpack(blobs[i]) for i in mine.tolist()], uni)
+            pooled = [0, *group["n"][0].as_py()] if "n" in group.column_names else None
+            t = Pairs([_unpack(blobs[i]) for i in mine.tolist()], uni, pooled)
             own = blocks[mine]
             del group, blobs
             if kinds == "documents":
@@ -380,7 +394,7 @@ def _gather(uni: Unigrams):
 
 
 def katz_scores(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", divisor: int = 5, held_out: int = 1, tables: int | None = None,
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", divisor: int = 5, held_out: int = 1, tables: int | None = None, pooled: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
@@ -388,13 +402,19 @@ def katz_scores(
     crc32(id as text) mod ``divisor`` is not ``held_out`` are learnt from; a null id counts as the empty text. Repeated
     rows are learnt from and scored one by one. ``score`` is log10 of the text's probability. With nothing to learn from,
     every token is the unknown word with probability 1. ``tables`` defaults to one for each ``TABLE_TOKENS`` tokens
-    learnt from (16 at least); the pairs' Good-Turing statistics are per table, so scores depend on it a little.
+    learnt from (16 at least). With ``pooled`` the pairs' Good-Turing statistics are those of all tables, and scores do not
+    depend on ``tables``; else they are taken per table, which saves one reading of the tables.
     Words are 64-bit hashes.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), (id_remainder(F.col(doc_id), divisor) != held_out).alias("learns"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     uni = Unigrams(unigram_table(rows, 64))
     tables = tables or max(16, 1 << math.ceil(math.log2(max(1, uni.n / TABLE_TOKENS))))
-    sent = rows.mapInArrow(_send(uni, tables), _DDL).repartition(tables, "part").sortWithinPartitions("part", "block")
+    sent = rows.mapInArrow(_send(uni, tables), _DDL).repartition(tables, "part")
+    if pooled:  # one row, met by every table; the exchange below it is the same one
+        names = [f"n{r}" for r in range(1, CUTOFF + 2)]
+        n = sent.sortWithinPartitions("part", "block").mapInArrow(_counts_of_counts(uni), ", ".join(f"{x} long" for x in names)).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names])
+        sent = sent.crossJoin(F.broadcast(n.select(F.array(*names).alias("n"))))
+    sent = sent.sortWithinPartitions("part", "block")  # behind the join, which would drop an order below it
     sums = sent.mapInArrow(_tables(uni, "documents", tables), _DDL)
     contexts = sent.mapInArrow(_tables(uni, "contexts", tables), _DDL).repartition(tables, "part").sortWithinPartitions("part")
     parts = sums.unionByName(contexts.mapInArrow(_back_off, _DDL)).repartition("part").sortWithinPartitions("part")

@@ -154,4 +154,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 @query
 def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return katz.katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), pooled=True)

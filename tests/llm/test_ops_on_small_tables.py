@@ -314,6 +314,17 @@ def test_katz_matches_dictionaries(spark):
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
 
 
+@pytest.mark.parametrize("tables", [None, 3])
+def test_katz_of_pooled_statistics_does_not_depend_on_tables(spark, tables):
+    rows = [(i, t) for i, t, _ in CASES] + [(100 + i, "the cat " * (i % 4) + f"ran off {i % 9} and sat on {i % 5} by {i % 7}") for i in range(60)]
+    got = katz.katz_scores(docs(spark, [(*r, "s") for r in rows]), tables=tables, pooled=True).collect()
+    want = katz_brute(rows, tables=1)  # one table: statistics of all pairs
+    order = lambda r: (str(r[0]), r[1:])
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=order)
+    for one, other in zip(got, sorted(((rows[i][0], *x) for i, x in want.items()), key=order), strict=True):
+        assert one[:4] == other[:4] and one[4:] == pytest.approx(other[4:], rel=1e-9)
+
+
 def test_katz_sums_to_one():
     """Over the words seen and the unknown one, after any context."""
     uni = katz.Unigrams.__new__(katz.Unigrams)

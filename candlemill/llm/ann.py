@@ -121,18 +121,18 @@ def nearest(
             lifted = _lifted(x[rows], top, query)
             raw = x.astype("<f4" if pa.types.is_float32(batch.schema.field(1).type.value_type) else "<f8")
             blobs = pa.array([raw[i].tobytes() for i in range(len(x))], pa.binary()).take(pa.array(rows))
-            reps = batch.column(0).take(pa.array(rows))
+            reps, leasts = batch.column(0).take(pa.array(rows)), batch.column(3).take(pa.array(rows))
             for c in range(curves):
                 p = (lifted @ turns[c] - center[c]) / spread[c]
                 cells = np.clip(((p + 3) / 8 + shifts[c] / 4) * (1 << bits), 0, (1 << bits) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c, np.int32)), pa.array(hilbert_keys(cells.astype(np.int64), bits)), reps, pa.array(query.astype(np.int32)), blobs],
-                                                 names=["curve", "key", "rep", "query", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c, np.int32)), pa.array(hilbert_keys(cells.astype(np.int64), bits)), reps, pa.array(query.astype(np.int32)), blobs, leasts],
+                                                 names=["curve", "key", "rep", "query", "v", "least"])
 
-    placed = entries.select("rep", "v", "query").mapInArrow(place, "curve int, key long, rep long, query int, v binary")
+    placed = entries.select("rep", "v", "query", F.element_at("ids", 1).alias("least")).mapInArrow(place, "curve int, key long, rep long, query int, v binary, least long")
     ranked = number_series(placed, "curve", ["key", "rep", "query"], step="step")
     own = F.floor(F.col("step") / window).cast("long")
     blocks = ranked.withColumn("block", F.explode(F.when(F.col("query") == 1, F.array(own - 1, own, own + 1)).otherwise(F.array(own))))
-    blocks = blocks.repartition("curve", "block").sortWithinPartitions("curve", "block").select("curve", "block", "query", "rep", "v")
+    blocks = blocks.repartition("curve", "block").sortWithinPartitions("curve", "block").select("curve", "block", "query", "rep", "v", "least")
     width = 4 if "float" in entries.schema["v"].dataType.simpleString() else 8
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,16 +142,22 @@ def nearest(
                 continue
             x = np.frombuffer(b"".join(group["v"].to_pylist()), "<f4" if width == 4 else "<f8").reshape(-1, size).astype(np.float64)
             reps = group["rep"].to_numpy()
-            q, v, theirs = x[asks], x[~asks], reps[~asks]
-            most = min(k + 12, len(v))  # beyond k + 2: room for the rounding of the matrix product
-            for a in range(0, len(q), 256):
-                rough = q[a : a + 256] @ v.T
-                best = np.argpartition(-rough, most - 1, axis=1)[:, :most]
-                exact = np.cumsum(q[a : a + 256][:, None, :] * v[best], axis=2)[:, :, -1]
-                order = np.argsort(-exact, axis=1, kind="stable")[:, : k + 2]
-                best, exact = np.take_along_axis(best, order, 1), np.take_along_axis(exact, order, 1)
+            q, v, theirs, least = x[asks], x[~asks], reps[~asks], group["least"].to_numpy()[~asks]
+            most, step = min(k + 2, len(v)), max(1, (1 << 21) // len(v))
+            longest = np.sqrt((v * v).sum(1).max())
+            for a in range(0, len(q), step):
+                own = q[a : a + step]
+                rough = own @ v.T
+                # the matrix product may add in any order: all within its rounding of the last place are taken
+                slack = 8 * size * np.finfo(float).eps * longest * np.sqrt((own * own).sum(1))
+                last = np.partition(rough, len(v) - most, axis=1)[:, len(v) - most] - slack
+                row, col = np.nonzero(rough >= last[:, None])
+                exact = np.concatenate([np.cumsum(own[row[i : i + (1 << 15)]] * v[col[i : i + (1 << 15)]], axis=1)[:, -1] for i in range(0, len(row), 1 << 15)])
+                order = np.lexsort((least[col], -exact, row))
+                first = np.searchsorted(row, np.arange(len(own)))  # rows come in order
+                order = order[np.arange(len(row)) - first[row[order]] < most]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(reps[asks][a : a + 256], best.shape[1])), pa.array(theirs[best.ravel()]), pa.array(exact.ravel())], names=["rep", "other", "score"])
+                    pa.array(reps[asks][a : a + step][row[order]]), pa.array(theirs[col[order]]), pa.array(exact[order])], names=["rep", "other", "score"])
 
     met = blocks.mapInArrow(rerank, "rep long, other long, score double").groupBy("rep", "other").agg(F.max("score").alias("score"))
     ids = entries.select(F.col("rep").alias("other"), "ids", F.element_at("ids", 1).alias("least"))

@@ -470,6 +470,17 @@ def test_neighbours(spark):
     assert [(r.vec_id, r.rank) for r in ann.nearest(few).collect()] == [(1, 1)]
 
 
+def test_equal_scores_go_to_the_smaller_ids(spark):
+    """Small-integer vectors: far more equal scores at the last place than a list has places."""
+    draw = np.random.default_rng(21)
+    vectors = sorted({tuple(v) for v in draw.integers(0, 2, (900, 12)).tolist() if any(v)})
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(draw.permutation(len(vectors)), vectors)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == exact_neighbours(rows, 5)
+
+
 def test_recall_with_small_windows(spark):
     """Fixed windows over more vectors than they cover still find nine of ten clustered neighbours."""
     draw = np.random.default_rng(12)

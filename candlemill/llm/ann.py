@@ -5,6 +5,9 @@ a Hilbert curve. The orders are range-partitioned and numbered by Spark, cut int
 query meets its own block and the two beside it on every curve. Each block keeps a query's best, the curves' lists are
 merged, and scores are inner products of the original vectors in double precision, summed from the first component on.
 
+With ``recall`` the window is doubled until enough of the true neighbours of a bounded set of queries (brute force, one pass
+over the vectors) lie in the windows; a window as long as the table holds all.
+
 Largest inner products become nearest neighbours by one more coordinate that lifts all vectors to one norm; queries
 have 0 there. Equal vectors are one entry on the curves with their smallest ids, so copies cannot fill a block.
 """
@@ -21,6 +24,7 @@ from candlemill.llm.text_arrays import sorted_groups
 from candlemill.sources.series import number_series, written
 
 CURVES, DIMS, BITS, WINDOW = 16, 8, 6, 1024
+SAMPLE = 128  # queries by which recall is measured
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -68,16 +72,59 @@ def _lifted(x: np.ndarray, top: float, query: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.where(query, 0.0, rest)[:, None]], axis=1)
 
 
+def _true_neighbours(entries: DataFrame, size: int, k: int) -> list[tuple[int, int]]:
+    """(query, neighbour) pairs of ``SAMPLE`` queries chosen by hash: their best ``k`` other vectors, by brute force."""
+    asked = entries.filter("query").orderBy(F.xxhash64("rep", F.lit(3))).select("rep", "v").head(SAMPLE)
+    if not asked:
+        return []
+    names, q = np.array([r["rep"] for r in asked]), np.array([r["v"] for r in asked], np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, score = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        for batch in batches:
+            own = np.asarray(batch.column(0))
+            new = q @ _matrix(batch.column(1), size).T
+            new[names[:, None] == own] = -np.inf
+            score, reps = np.concatenate([score, new], axis=1), np.concatenate([reps, np.broadcast_to(own, new.shape)], axis=1)
+            if score.shape[1] > k:
+                best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                score, reps = np.take_along_axis(score, best, 1), np.take_along_axis(reps, best, 1)
+        at = np.repeat(names, score.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(reps.ravel()), pa.array(score.ravel())], names=["rep", "other", "score"])
+
+    found = entries.select("rep", "v").mapInArrow(run, "rep long, other long, score double").filter(F.col("score") > float("-inf"))
+    best = Window.partitionBy("rep").orderBy(F.desc("score"), "other")
+    return [(r["rep"], r["other"]) for r in found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("rep", "other").collect()]
+
+
+def _window_for(recall: float, ranked: DataFrame, pairs: list[tuple[int, int]], curves: int, window: int) -> int:
+    """The least doubling of ``window`` with ``recall`` of ``pairs``, less two standard errors over the queries."""
+    if not pairs:
+        return window
+    wanted = ranked.sparkSession.createDataFrame([(r,) for r in sorted({r for p in pairs for r in p})], "rep long")
+    step = {(r["rep"], r["query"], r["curve"]): r["step"] for r in ranked.join(F.broadcast(wanted), "rep").select("rep", "query", "curve", "step").collect()}
+    asks = np.array([[step[q, 1, c] for c in range(curves)] for q, _ in pairs])
+    there = np.array([[step[o, 0, c] for c in range(curves)] for _, o in pairs])
+    _, query = np.unique([q for q, _ in pairs], return_inverse=True)
+    while True:
+        met = (np.abs(asks // window - there // window) <= 1).any(axis=1)
+        each = np.bincount(query, weights=met) / np.bincount(query)
+        if each.mean() - 2 * each.std() / np.sqrt(len(each)) >= recall:
+            return window
+        window *= 2
+
+
 def nearest(
     vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, curves: int = CURVES,
-    dims: int = DIMS, bits: int = BITS, window: int = WINDOW, seed: int = 17,
+    dims: int = DIMS, bits: int = BITS, window: int = WINDOW, seed: int = 17, recall: float | None = None,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` for every id divisible by ``every``.
 
     Candidates are all vectors but those of the query's own id; ties go to the smaller id. Null ids, null or zero
     vectors, vectors with null or non-finite components, and vectors whose length is not the most frequent one (the
     larger of equally frequent) take no part. Repeated rows count once. A query has fewer than ``k`` rows only if
-    there are fewer candidates on its windows. An empty table gives an empty result.
+    there are fewer candidates on its windows. An empty table gives an empty result. ``recall`` raises ``window`` until it is
+    met; a block of a window is held in one task.
     """
     spark = vectors.sparkSession
     ok = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -130,6 +177,8 @@ def nearest(
 
     placed = entries.select("rep", "v", "query", F.element_at("ids", 1).alias("least")).mapInArrow(place, "curve int, key long, rep long, query int, v binary, least long")
     ranked = number_series(placed, "curve", ["key", "rep", "query"], step="step")
+    if recall is not None:
+        window = _window_for(recall, ranked, _true_neighbours(entries, size, k), curves, window)
     own = F.floor(F.col("step") / window).cast("long")
     blocks = ranked.withColumn("block", F.explode(F.when(F.col("query") == 1, F.array(own - 1, own, own + 1)).otherwise(F.array(own))))
     blocks = blocks.repartition("curve", "block").sortWithinPartitions("curve", "block").select("curve", "block", "query", "rep", "v", "least")

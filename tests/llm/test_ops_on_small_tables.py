@@ -494,3 +494,19 @@ def test_recall_with_small_windows(spark):
     s[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
     best = np.argsort(-s, axis=1)[:, :10]
     assert np.mean([len(got[20 * i] & set(b.tolist())) / 10 for i, b in enumerate(best)]) >= 0.9
+
+
+def test_recall_raises_the_window(spark):
+    """Vectors without structure: fixed windows of 16 miss most neighbours, measured recall widens them."""
+    x = np.random.default_rng(13).normal(size=(3000, 24)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    s = x[::20].astype(float) @ x.T.astype(float)
+    s[np.arange(150), np.arange(0, 3000, 20)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :10]
+    found = {}
+    for recall in (None, 0.9):
+        got = defaultdict(set)
+        for r in ann.nearest(table, k=10, window=16, recall=recall).collect():
+            got[r.query_id].add(r.vec_id)
+        found[recall] = np.mean([len(got[20 * i] & set(b.tolist())) / 10 for i, b in enumerate(best)])
+    assert found[None] < 0.8 and found[0.9] >= 0.9

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from candlemill.llm import ann, decontam, katz, kd_shards, mixing, near_dup, pu_quality, repair_tokens, url_filter, warc
+from candlemill.llm import ann, decontam, dense_rank, katz, kd_shards, mixing, near_dup, page_text, pu_quality, repair_tokens, url_filter, variants, warc
 from candlemill.llm.columns import id_remainder
 from candlemill.session import scratch_path
 from candlemill.sources.series import written
@@ -155,3 +155,55 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 @query
 def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.katz_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), pooled=True)
+
+
+@query
+def op11_dense_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense_rank.rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SQL["op11_dense_rank"] = f"""
+WITH d AS (SELECT doc_id, terms, len(terms) AS n FROM (SELECT doc_id, {_TERMS} AS terms FROM documents) WHERE len(terms) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+q AS MATERIALIZED (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, docs),
+r AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // total))))) AS BIGINT) AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20"""
+
+
+@query
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_text.extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op13_trie_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_forms(variants.corpus_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+# crc32 by its table of 256 remainders; near words meet by what is left when one character is taken out.
+SQL["op13_trie_variants"] = r"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+             FROM range(256) AS r(i))),
+runs AS MATERIALIZED (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, count(*) AS n FROM (SELECT doc_id,
+             unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY 1, 2),
+coded AS (SELECT id, run, n, hex(encode(id || ':' || run)) AS h FROM runs),
+crc AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INT), 2) AS BIGINT))),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM coded, t),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % len(run) AS INT)) || substr(run, CAST(h % len(run) AS INT) + 2)
+             ELSE run END AS word FROM crc) WHERE len(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cuts AS MATERIALIZED (SELECT word, n, CAST(i AS INT) AS i, substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS rest FROM words, unnest(range(1, len(word) + 1)) AS r(i)),
+near AS MATERIALIZED (SELECT DISTINCT word, other, other_n FROM (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION ALL SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word)),
+best AS (SELECT word, count(*) AS n_near, min({'n': -other_n, 'w': other}) AS b FROM near GROUP BY word),
+formed AS MATERIALIZED (SELECT w.word, CASE WHEN -b.n >= 2 * w.n THEN b.w END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.n >= 2 * w.n THEN -b.n END AS form_n
+             FROM words w LEFT JOIN best ON best.word = w.word),
+walk(word, place) AS (SELECT word, word FROM formed UNION ALL SELECT walk.word, form FROM walk JOIN formed ON formed.word = walk.place WHERE form IS NOT NULL)
+SELECT f.word, form, place AS root, n, n_near, form_n FROM formed f JOIN walk ON walk.word = f.word WHERE walk.place IN (SELECT word FROM formed WHERE form IS NULL)"""

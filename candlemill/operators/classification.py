@@ -7,16 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candlemill.functions.windows import bucketed_scan
+from candlemill.operators.quantiles import exact_quantiles
+from candlemill.sources.series import ordered
 
 CALIBRATION_EDGES = tuple(i * 0.1 for i in range(11))
 
 
-def score_curve(rows: DataFrame, keys: Sequence[str] = (), *, buckets: int = 4096) -> DataFrame:
-    """Positives and rows at or above each distinct score. Scores are pre-aggregated, then scanned
-    by buckets of the unit interval, so many distinct scores are not sorted in one task."""
+def score_curve(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Positives and rows at or above each distinct score.
+
+    Scores are pre-aggregated, so a heavy score is one row, and scanned over ranges of equal row numbers: scores of a rare
+    event, all next to zero, spread over all tasks.
+    """
     g = rows.groupBy(*keys, "probability").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
-    g = g.withColumn("_b", F.floor(F.col("probability") * buckets).cast("long"))
-    return bucketed_scan(g, keys, "_b", [F.col("probability").desc()], {"tp": ("sum", "pos"), "seen": ("sum", "n")}, reverse=True)
+    g = ordered(g, [*keys, "probability"])
+    return bucketed_scan(g, keys, "_pid", [F.col("_pos").desc()], {"tp": ("sum", "pos"), "seen": ("sum", "n")}, reverse=True)
 
 
 def ranking_metrics(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -88,8 +93,8 @@ def calibration_table(rows: DataFrame, bins: int = 10) -> DataFrame:
 def quantile_calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
     """Calibration by score quantiles (inner edges from exact percentiles, empty bins dropped)."""
     cuts = [i / bins for i in range(1, bins)]
-    edges = rows.agg(F.percentile("probability", F.array(*[F.lit(c) for c in cuts]))).scalar()
-    x = rows.withColumn("_e", edges)
+    edges = exact_quantiles(rows, [], "probability", cuts, "_e")
+    x = rows.crossJoin(F.broadcast(edges))  # one row
     x = x.withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col("probability"))))
     return x.groupBy("bin").agg(F.count(F.lit(1)).alias("count"), F.avg("probability").alias("mean_predicted_probability"),
                                 F.avg("label").alias("observed_success_rate"))

@@ -1,9 +1,7 @@
 """Control entries: the unconditional population and state-matched nulls.
 
 The matched pool of a trade is a nearest-neighbour search in (volatility, spread) over all other
-entries of its run. No trade is paired with a whole run: entries are ranked by volatility inside
-narrow spread bands, each trade reads only the rank blocks around its own place, and a bound proves
-that nothing outside can be nearer. Trades where the bound is not met are searched in full.
+entries of its run, through a packed tree of boxes (``neighbours``): no trade is paired with a whole run.
 """
 
 from __future__ import annotations
@@ -15,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from candlemill.config import PatternConfig, ProcedureConfig
 from candlemill.functions.columns import EPS
 from candlemill.functions.windows import bucketed_scan
+from candlemill.operators.neighbours import nearest_points
 from candlemill.sources.series import written
 
 POOL = ["run_id", "horizon", "min_entry"]
@@ -91,60 +90,19 @@ def state_distance(vol: Column, spread: Column, vol0: Column, spread0: Column) -
     return F.abs(F.log((vol + EPS) / (vol0 + EPS))) + 0.25 * F.abs(F.log((spread + EPS) / (spread0 + EPS)))
 
 
-def nearest_pool(
-    pool: DataFrame, targets: DataFrame, size: int, *, band: float = 0.05, vol_bucket: float = 0.02
-) -> DataFrame:
+def nearest_pool(pool: DataFrame, targets: DataFrame, size: int) -> DataFrame:
     """The ``size`` nearest pool entries of every target by (distance, index), exactly.
 
-    ``targets``: run_id, horizon, min_entry, target, trailing_vol, entry_spread (distinct rows).
+    ``targets``: run_id, horizon, min_entry, target, trailing_vol, entry_spread (distinct rows). Only pools with targets
+    are indexed, and targets of equal state are searched for once.
     """
     u, v = F.log(F.col("trailing_vol") + EPS), 0.25 * F.log(F.col("entry_spread") + EPS)
-    banded = [*POOL, "_band"]
-    p = pool.select(*POOL, F.col("entry_index").alias("_idx"), u.alias("_u"), v.alias("_v")).withColumn(
-        "_band", F.floor(F.col("_v") / band).cast("long"))
-    q = targets.select(*POOL, "target", u.alias("_u"), v.alias("_v0"))
-    bands = p.groupBy(*banded).agg(F.count(F.lit(1)).alias("_size"), F.min("_v").alias("_v_lo"), F.max("_v").alias("_v_hi"))
-    qb = q.join(bands, POOL).select(
-        *banded, "target", "_u", "_v0", "_size",
-        F.greatest(F.lit(0.0), F.col("_v_lo") - F.col("_v0"), F.col("_v0") - F.col("_v_hi")).alias("_gap"))
-    both = p.select(*banded, "_idx", "_u", "_v", F.lit(1).cast("long").alias("_is_pool")).unionByName(
-        qb.withColumn("_is_pool", F.lit(0).cast("long")), allowMissingColumns=True
-    ).withColumn("_ub", F.floor(F.col("_u") / vol_bucket).cast("long"))
-    ranked = bucketed_scan(both, banded, "_ub", ["_u", "_is_pool", "_idx", "target"], {"_rank": ("sum", "_is_pool")})
-    block = lambda rank: F.floor(rank / size).cast("long")
-    members = ranked.filter("_is_pool = 1").select(
-        *banded, "_idx", F.col("_u").alias("_pu"), F.col("_v").alias("_pv"), "_rank", block(F.col("_rank") - 1).alias("_block"))
-    places = ranked.filter("_is_pool = 0").select(
-        *banded, "target", F.col("_u").alias("_qu"), "_v0", "_gap", "_size", F.col("_rank").alias("_pos"))
-    lo, hi = F.greatest(F.col("_pos") - size, F.lit(0)), F.least(F.col("_pos") + size, F.col("_size")) - 1
-    near = (
-        places.withColumn("_block", F.explode(F.sequence(block(lo), block(hi))))
-        .join(members, [*banded, "_block"])
-        .filter((F.col("_rank") - 1 >= lo) & (F.col("_rank") - 1 <= hi))
-        .withColumn("distance", F.abs(F.col("_pu") - F.col("_qu")) + F.abs(F.col("_pv") - F.col("_v0")))
-    )
-    one = [*POOL, "target"]
-    du = F.abs(F.col("_pu") - F.col("_qu"))
-    whole = Window.partitionBy(*one)
-    # Ranks follow volatility, so the first and last member of a band are its furthest on each side.
-    near = near.withColumn("_edge", F.when(
-        ((F.col("_rank") - 1 == lo) & (F.col("_pos") > size)) | ((F.col("_rank") - 1 == hi) & (F.col("_size") - F.col("_pos") > size)),
-        du + F.col("_gap")))
-    # One shuffle and one sort on the target serve all three windows.
-    scored = near.select(*one, "_idx", "distance", "_edge").withColumn(
-        "pool_rank", F.row_number().over(whole.orderBy("distance", "_idx"))
-    ).withColumn("_r", F.max(F.when(F.col("pool_rank") <= size, F.col("distance"))).over(whole))
-    # A side that was cut is covered only when its edge lies beyond the radius.
-    scored = scored.withColumn("_open", F.coalesce(F.max(F.col("_edge") <= F.col("_r")).over(whole), F.lit(False))).filter(
-        F.col("pool_rank") <= size)
-    scored = written(scored.select(*one, F.col("_idx").alias("entry_index"), "distance", "pool_rank", "_open"), "nearest")
-    open_ended = scored.filter("_open").select(*one).distinct()
-    sure = scored.filter("NOT _open").drop("_open")
-    again = q.withColumnRenamed("_u", "_qu").join(open_ended, one, "left_semi").join(p, POOL).select(
-        *one, F.col("_idx").alias("entry_index"),
-        (F.abs(F.col("_u") - F.col("_qu")) + F.abs(F.col("_v") - F.col("_v0"))).alias("distance"))
-    again = again.withColumn("pool_rank", F.row_number().over(Window.partitionBy(*one).orderBy("distance", "entry_index")))
-    return sure.unionByName(again.filter(F.col("pool_rank") <= size))
+    group = F.struct(*POOL).alias("g")
+    q = written(targets.select(group, "target", u.alias("pu"), v.alias("pv")).dropna(), "nearest-targets")
+    points = pool.select(group, F.col("entry_index").alias("id"), u.alias("u"), v.alias("v")).dropna().join(q.select("g").distinct(), "g", "left_semi")
+    found = nearest_points(points, q.select("g", "pu", "pv").distinct(), size)
+    return q.join(found, ["g", "pu", "pv"]).select(
+        "g.*", "target", F.col("id").alias("entry_index"), "distance", F.col("rank").alias("pool_rank"))
 
 
 def draw_controls(pool: DataFrame, draws: DataFrame, count: int) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from candlemill.config import ALL_PATTERNS, PATTERN_NAMES, ProcedureConfig
 from candlemill.functions.student_t import NORMAL_975, mean_ci, positive_mean_p
 from candlemill.functions.windows import bucketed_scan
+from candlemill.operators.quantiles import exact_medians
+from candlemill.sources.series import ordered
 
 HYPOTHESES = (*PATTERN_NAMES, ALL_PATTERNS)
 
@@ -35,7 +37,6 @@ def run_metrics(grid: DataFrame, trades: DataFrame, observations: DataFrame) ->
         F.sum("total_transaction_cost").alias("total_transaction_cost"),
         F.sum("net_return").alias("total_net_return"),
         F.avg("net_return").alias("mean_net_return"),
-        F.median("net_return").alias("median_net_return"),
         F.avg(on(F.col("net_return") - F.col("matched_null_mean_net_return"))).alias("mean_effect_vs_matched"),
         F.avg(F.col("net_return") - F.col("unconditional_mean_net_return")).alias("mean_effect_vs_unconditional"),
         F.avg(on(F.col("matched_null_mean_net_return"))).alias("mean_matched_null_net_return"),
@@ -45,7 +46,8 @@ def run_metrics(grid: DataFrame, trades: DataFrame, observations: DataFrame) ->
         F.avg(on(F.col("matched_null_direction_accuracy"))).alias("matched_null_direction_accuracy"),
         F.avg(on(hit)).alias("matched_event_direction_accuracy"),
     )
-    out = grid.join(lost, keys, "left").join(agg, keys, "left")
+    middle = exact_medians(observations, keys, "net_return", "median_net_return")
+    out = grid.join(lost, keys, "left").join(agg, keys, "left").join(middle, keys, "left")
     zero_long = ["skipped_overlap_count", "untradeable_event_count", "event_count", "matched_null_event_count", "direction_correct_count"]
     zero_double = ["total_gross_return", "total_transaction_cost", "total_net_return", "mean_net_return", "median_net_return"]
     return out.withColumns(
@@ -134,11 +136,10 @@ def wilson_interval(hits: Column, trials: Column, z: float = NORMAL_975) -> tupl
 
 
 def _ranked(rows: DataFrame, p: str, keys: Sequence[str]) -> DataFrame:
-    """Rank p-values by buckets of the unit interval; equal ones at 1 are spread by their key."""
+    """Rows in the order of their p-value over ranges of equal row numbers; many equal ones are spread by their key."""
     clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(p)))
-    x = rows.withColumn("_p", clipped).withColumn(
-        "_b", F.when(F.col("_p") >= 1.0, 4096 + F.pmod(F.xxhash64(*keys), F.lit(64))).otherwise(F.floor(F.col("_p") * 4096)).cast("long"))
-    return bucketed_scan(x.withColumn("_one", F.lit(1).cast("long")), [], "_b", ["_p", *keys], {"_rank": ("sum", "_one")})
+    x = ordered(rows.withColumn("_p", clipped), ["_p", *keys]).withColumn("_one", F.lit(1).cast("long"))
+    return bucketed_scan(x, [], "_pid", ["_pos"], {"_rank": ("sum", "_one")})
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, out: str, keys: Sequence[str]) -> DataFrame:
@@ -146,8 +147,8 @@ def benjamini_hochberg(rows: DataFrame, p: str, out: str, keys: Sequence[str]) -
     x = _ranked(rows, p, keys)
     m = rows.agg(F.count(F.lit(1))).scalar()
     x = x.withColumn("_m", m).withColumn("_raw", F.col("_p") * F.col("_m") / F.col("_rank"))
-    s = bucketed_scan(x, [], "_b", [F.col("_rank").desc()], {"_q": ("min", "_raw")}, reverse=True)
-    return s.withColumn(out, F.least(F.lit(1.0), F.col("_q"))).drop("_p", "_b", "_one", "_rank", "_m", "_raw", "_q")
+    s = bucketed_scan(x, [], "_pid", [F.col("_rank").desc()], {"_q": ("min", "_raw")}, reverse=True)
+    return s.withColumn(out, F.least(F.lit(1.0), F.col("_q"))).drop("_p", "_pid", "_pos", "_one", "_rank", "_m", "_raw", "_q")
 
 
 def holm(rows: DataFrame, p: str, out: str, keys: Sequence[str]) -> DataFrame:
@@ -156,8 +157,8 @@ def holm(rows: DataFrame, p: str, out: str, keys: Sequence[str]) -> DataFrame:
     m = rows.agg(F.count(F.lit(1))).scalar()
     x = x.withColumn("_m", m).withColumn(
         "_raw", F.least(F.lit(1.0), (F.col("_m") - F.col("_rank") + 1) * F.col("_p")))
-    s = bucketed_scan(x, [], "_b", [F.col("_rank")], {"_adj": ("max", "_raw")})
-    return s.withColumn(out, F.col("_adj")).drop("_p", "_b", "_one", "_rank", "_m", "_raw", "_adj")
+    s = bucketed_scan(x, [], "_pid", [F.col("_rank")], {"_adj": ("max", "_raw")})
+    return s.withColumn(out, F.col("_adj")).drop("_p", "_pid", "_pos", "_one", "_rank", "_m", "_raw", "_adj")
 
 
 KEYS = ("structure_id", "hypothesis", "horizon")
@@ -210,11 +211,13 @@ def structure_rankings(validated: DataFrame) -> DataFrame:
         c("b.validation_holm_p_value").alias("best_validation_holm_p_value"), c("b.event_count").alias("best_event_count"),
         c("f.horizon").alias("best_portfolio_horizon"),
         c("f.mean_net_return_points_per_seed").alias("best_portfolio_mean_net_return_points_per_seed"))
-    # One row per structure that survived validation: a report-sized frame.
-    order = Window.orderBy(
-        c("best_portfolio_mean_net_return_points_per_seed").desc_nulls_last(), c("best_mean_net_return_per_trade").desc(),
-        "best_validation_holm_p_value", "structure_id")
-    return out.withColumn("rank", F.row_number().over(order))
+    order = ["_folio", "_net", "best_validation_holm_p_value", "structure_id"]
+    worst = F.lit(float("inf"))
+    x = ordered(out.withColumns({
+        "_folio": F.coalesce(-c("best_portfolio_mean_net_return_points_per_seed"), worst), "_net": F.coalesce(-c("best_mean_net_return_per_trade"), worst),
+        "_one": F.lit(1).cast("long")}), order)
+    ranked = bucketed_scan(x, [], "_pid", ["_pos"], {"rank": ("sum", "_one")})
+    return ranked.select(*out.columns, c("rank").cast("int").alias("rank"))
 
 
 def pool_clusters(metrics: DataFrame, cluster: str = "cluster") -> DataFrame:

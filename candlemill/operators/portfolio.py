@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from candlemill.functions.student_t import mean_ci, positive_mean_p
 from candlemill.functions.windows import CHUNK, bucketed_scan
 from candlemill.operators.overlap import select_trades
+from candlemill.operators.quantiles import exact_medians, exact_quantiles
 from candlemill.sources.series import written
 
 
@@ -55,19 +56,19 @@ def economic_metrics(rows: DataFrame, universe: DataFrame, thresholds: Sequence[
     keys = ["threshold"]
     every = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
     grid = universe.select("run_id", "structure_id").withColumn("threshold", every)
-    per_run = run_totals(universe, picked, keys, grid)
+    per_run = written(run_totals(universe, picked, keys, grid), "run-totals")
     ci = unit_interval(structure_units(per_run, "run_return", keys), keys)
     runs = per_run.groupBy("threshold").agg(
         F.count(F.when(F.col("run_trades") > 0, 1)).alias("selected_runs"),
-        F.median("run_return").alias("median_run_net_return_points"),
         F.avg("max_drawdown").alias("mean_run_max_drawdown_return_points"))
     all_rows = rows.agg(F.count(F.lit(1))).scalar()
     cand = scored.groupBy("threshold").agg(
         F.count(F.lit(1)).alias("candidate_selected_trades"),
         F.count(F.when(F.col("executed"), 1)).alias("selected_trades"),
         F.avg(F.when(F.col("executed"), F.col("profitable"))).alias("selected_success_rate"),
-        F.avg(F.when(F.col("executed"), F.col("net_directional_return"))).alias("mean_selected_net_return"),
-        F.median(F.when(F.col("executed"), F.col("net_directional_return"))).alias("median_selected_net_return"))
+        F.avg(F.when(F.col("executed"), F.col("net_directional_return"))).alias("mean_selected_net_return"))
+    cand = cand.join(exact_medians(picked, keys, "net_directional_return", "median_selected_net_return"), keys, "left")
+    runs = runs.join(exact_medians(per_run, keys, "run_return", "median_run_net_return_points"), keys)
     out = runs.join(ci, keys).join(cand, keys, "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     return out.select(
@@ -156,9 +157,9 @@ def condition_response(
     cell = ["pattern_scope", "feature"]
     need = F.when(F.col("pattern_scope") == all_label, min_all).otherwise(min_one)
     cuts = [i / bins for i in range(bins + 1)]
-    edges = long.groupBy(*cell).agg(
-        F.percentile("value", F.array(*[F.lit(c) for c in cuts])).alias("_e"), F.count(F.lit(1)).alias("_n"),
-        F.count_distinct("value").alias("_d")).filter((F.col("_n") >= need) & (F.col("_d") >= 3)).withColumn("_e", F.array_distinct("_e"))
+    edges = long.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("value").alias("_d"))
+    edges = edges.filter((F.col("_n") >= need) & (F.col("_d") >= 3)).join(exact_quantiles(long, cell, "value", cuts, "_e"), cell)
+    edges = edges.withColumn("_e", F.array_distinct("_e"))
     above = F.size(F.filter("_e", lambda e: e < F.col("value")))
     binned = long.join(edges.select(*cell, "_e"), cell).withColumn("condition_bin", F.greatest(F.lit(1), above))
     key = [*cell, "condition_bin"]

@@ -55,6 +55,23 @@ def number_series(
     return out.select(*df.columns, step, *running)
 
 
+def ordered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` written in the order of ``order``, with ``_pid`` and ``_pos``: part and place inside it.
+
+    The parts are ranges whose borders come from a sample of the rows, so they hold about equally many whatever the values;
+    end ``order`` with a key to let many equal values spread over parts. Together (``_pid``, ``_pos``) is the bucket and order
+    of a bucketed scan.
+    """
+    staged = scratch_path(df.sparkSession, "ordered")
+    (
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        .write.parquet(staged)
+    )
+    return df.sparkSession.read.parquet(staged)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table to the shared scratch folder and read it back."""
     path = scratch_path(df.sparkSession, name)

@@ -28,14 +28,14 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
 
 
+def base32(digits: Column) -> Column:
+    """Bare upper-case base32 of a SHA-1 given as 40 hex digits: 15 hex digits are 12 digits of base 32."""
+    parts = [F.lpad(F.conv(F.substring(digits, at, n), 16, 32), n * 4 // 5, "0") for at, n in ((1, 15), (16, 15), (31, 10))]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
+
+
 def sha1_base32(text: Column) -> Column:
-    """Bare upper-case base32 of a text's SHA-1: 40 hex digits in groups of five make four characters each."""
-    digits = F.sha1(text.cast("binary"))
-    out = []
-    for g in range(8):
-        bits = F.conv(F.substring(digits, 1 + 5 * g, 5), 16, 10).cast("int")
-        out += [F.substring(F.lit(BASE32), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*out)
+    return base32(F.sha1(text.cast("binary")))
 
 
 def _uuid(seed: Column) -> Column:
@@ -64,7 +64,7 @@ def write_captures(
     payload = F.coalesce(F.col(html), F.lit(""))
     link = F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A")
     own = pages.select(F.col(page_id).cast("string").alias("page"), F.col(page_id).isNull().alias("no_page"), F.col(page_id).alias("page_id"), link.alias("url"),
-                       sha1_base32(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"), F.uuid().alias("cid"))
+                       F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"), F.uuid().alias("cid"))
     # Written once: the ids are random, and every record of a capture must carry the same ones.
     own = written(own, "warc-captures")
     least = F.min(F.struct("no_page", "page_id", "cid"))
@@ -72,19 +72,19 @@ def write_captures(
     own = own.alias("c").join(firsts.alias("f"), (F.col("c.digest") == F.col("f.digest")) & (F.col("c.bytes") >= at_least), "left").select(
         "c.*", F.when(F.col("f.first_cid") != F.col("c.cid"), F.col("f.first_cid")).alias("refers_to"))
     own = written(own, "warc-links")
-    bodies = pages.select(sha1_base32(payload).alias("digest"), F.octet_length(payload).alias("n"), payload.alias("html"))
+    bodies = pages.select(F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"), payload.alias("html"))
     shared = bodies.filter(F.col("n") >= at_least).groupBy("digest").agg(F.first("html").alias("html"))
     shared = own.filter("refers_to IS NULL").filter(F.col("bytes") >= at_least).join(shared, "digest")
     responses = shared
     if at_least > 0:  # short payloads are never shared, and are as many as their rows
         short = pages.select(F.col(page_id).alias("page_id"), link.alias("url"), payload.alias("html"), F.uuid().alias("cid")).filter(F.octet_length("html") < at_least)
         short = short.select(F.col("page_id").cast("string").alias("page"), F.col("page_id").isNull().alias("no_page"), "page_id", "url",
-                             sha1_base32(F.col("html")).alias("digest"), F.octet_length("html").cast("long").alias("bytes"), "cid", F.lit(None).cast("string").alias("refers_to"), "html")
+                             F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("bytes"), "cid", F.lit(None).cast("string").alias("refers_to"), "html")
         short = written(short, "warc-short")
         responses = responses.select(*short.columns).unionByName(short)
         own = own.filter(F.col("bytes") >= at_least).unionByName(short.drop("html"))
     stamp, target = ("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))
-    digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
+    digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest"))))
     together = ("WARC-Concurrent-To", F.concat(F.lit("<urn:uuid:"), F.col("cid"), F.lit(">")))
     http = ("Content-Type", F.lit("application/http;msgtype=response"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
@@ -194,12 +194,20 @@ def read_records(spark: SparkSession, path: str, *, payloads: bool = True) -> Da
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: the response or revisit with the request and metadata records concurrent to it.
 
-    A capture without a request or metadata record keeps a null there. A revisit also names the page it refers to.
+    ``records`` is read once: the three records of a capture meet in one grouping on the id they share. A capture without a
+    request or metadata record keeps a null there, and records concurrent to nothing that is there go. Of repeated records of
+    one kind the one with the smallest id counts. A revisit also names the page it refers to. No records give no rows.
     """
     own = ("record_id", "record_type", "refers_to", "target_uri", "payload_digest", "payload_bytes", "payload")
-    main = records.filter(F.col("record_type").isin("response", "revisit")).select("record_id", F.struct(*own).alias("response"))
-    ask = records.filter("record_type = 'request'").select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "target_uri", "request").alias("request"))
-    notes = records.filter("record_type = 'metadata'").select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("id"), "page_id", "payload_bytes").alias("metadata"))
-    nested = main.join(ask, "record_id", "left").join(notes, "record_id", "left")
-    pages = notes.select(F.col("record_id").alias("refers_id"), F.col("metadata.page_id").alias("refers_to_page"))
+    kind = F.col("record_type")
+
+    def least(wanted: Column, *fields: Column | str) -> Column:
+        return F.min_by(F.when(wanted, F.struct(*fields)), F.when(wanted, F.col("record_id")))
+
+    nested = records.groupBy(F.when(kind.isin("response", "revisit"), F.col("record_id")).otherwise(F.col("concurrent_to")).alias("capture")).agg(
+        least(kind.isin("response", "revisit"), *own).alias("response"),
+        least(kind == "request", F.col("record_id").alias("id"), "target_uri", "request").alias("request"),
+        least(kind == "metadata", F.col("record_id").alias("id"), "page_id", "payload_bytes").alias("metadata"))
+    nested = written(nested.filter("response IS NOT NULL").withColumnRenamed("capture", "record_id"), "warc-nested")
+    pages = nested.select(F.col("record_id").alias("refers_id"), F.col("metadata.page_id").alias("refers_to_page"))
     return nested.withColumn("refers_id", F.col("response.refers_to")).join(pages, "refers_id", "left").drop("refers_id")

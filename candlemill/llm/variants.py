@@ -7,7 +7,8 @@ the two neighbours.
 
 The branches of a level come from the same walk: the unedited states at a node are the words below it, and the common
 beginning of the least and the greatest word behind a first character is that branch's label. So a level is a few
-aggregates and joins, and the number of levels is that of branchings on a path, not the length of the longest word.
+aggregates and joins, and the number of levels is that of branchings on a path, not the length of the longest word. They go
+one level ahead of the edited ones, which therefore stay only where their next character leads on.
 
 The trie of the words holds edits in the second half of a word, the trie of the reversed words those in the first half: an edit
 is tried only where half of the word has matched, where few branches are left.
@@ -26,7 +27,7 @@ from candlemill.session import scratch_path
 from candlemill.sources.series import written
 
 RUN = "[A-Za-zÀ-ÿ]+"
-FEW_BRANCHES, FEW_BYTES = 20_000, 2 << 20  # a level with fewer branches is broadcast
+FEW_BRANCHES, FEW_BYTES = 50_000, 2 << 20  # a level with fewer branches is broadcast
 HOT_SHARE = 256  # a node with more than this share of the states is joined by broadcast: at most so many nodes
 
 
@@ -57,11 +58,11 @@ def _from(text: Column, start: Column) -> Column:
 
 
 def _branches(states: DataFrame) -> DataFrame:
-    """Branches of the nodes at which unedited states stand: ``way``, ``node``, ``first``, ``label``, ``ends``, ``leaf``.
+    """Branches of the nodes at which the unedited ``states`` stand: ``way``, ``node``, ``first``, ``label``, ``ends``, ``leaf``.
 
     ``ends`` is the count of the word that ends where the branch does, null if none does; behind a leaf there is no other word.
     """
-    below = states.filter("edits = 0 AND at < length").groupBy("way", "node", F.col("word").substr(F.col("at") + 1, F.lit(1)).alias("first"))
+    below = states.filter("at < length").groupBy("way", "node", F.col("word").substr(F.col("at") + 1, F.lit(1)).alias("first"))
     spans = below.agg(F.min(F.struct("word", "n")).alias("least"), F.max("word").alias("last"))
     spans = spans.withColumn("stop", _common(F.col("least.word"), F.col("last")))
     child = F.col("least.word").substr(F.lit(1), F.col("stop"))
@@ -80,24 +81,44 @@ def _met(states: DataFrame, branches: DataFrame, hot: DataFrame | None, keys: li
     return states.join(few, keys).select(*cold.columns).unionByName(cold)
 
 
-def _step(states: DataFrame, branches: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """The states one branch further. ``word``, ``length``, ``n`` and ``open`` go along; ``at`` counts read characters."""
-    keep = ["way", "word", "length", "n", "open"]
+_STATE = ("way", "word", "length", "at", "node")
+
+
+def _first(states: DataFrame) -> DataFrame:
+    return states.withColumn("first", F.col("word").substr(F.col("at") + 1, F.lit(1)))
+
+
+def _rest() -> Column:
+    return _from(F.col("word"), F.col("at"))
+
+
+def _on(states: DataFrame, branches: DataFrame, hot: DataFrame | None, *more: str) -> DataFrame:
+    """States behind the branch that goes on as their word does."""
+    met = _met(_first(states.filter("at < length")), branches, hot, ["way", "node", "first"])
     k = F.char_length("label")
-    rest, tail = _from(F.col("word"), F.col("at")), _from(F.col("label"), F.lit(1))
-    going = states.withColumn("first", F.col("word").substr(F.col("at") + 1, F.lit(1)))
-    same = _met(going.filter("at < length"), branches, hot, ["way", "node", "first"]).filter(rest.substr(F.lit(1), k) == F.col("label"))
-    same = same.select(*keep, (F.col("at") + k).alias("at"), F.concat("node", "label").alias("node"), "edits", "ends", "leaf")
+    met = met.filter(_rest().substr(F.lit(1), k) == F.col("label"))
+    return met.select("way", "word", "length", (F.col("at") + k).alias("at"), F.concat("node", "label").alias("node"), "ends", *more)
+
 
-    ready = going.filter("edits = 0 AND at >= open").withColumnRenamed("first", "next")
+def _edited(states: DataFrame, branches: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """States behind every other branch after one edit, where half of the word has matched."""
+    ready = _first(states.filter("at >= open")).withColumnRenamed("first", "next")
     other = _met(ready, branches, hot, ["way", "node"]).filter("first != next")
+    k, rest, tail = F.char_length("label"), _rest(), _from(F.col("label"), F.lit(1))
     read = F.array_compact(F.array(
         F.when((F.col("next") != "") & (rest.substr(F.lit(2), k - 1) == tail), k),  # replaced
         F.when(rest.substr(F.lit(1), k - 1) == tail, k - 1),  # inserted
         F.when(rest.substr(F.lit(2), k) == F.col("label"), k + 1)))  # deleted
-    edited = other.withColumn("read", F.explode(read)).select(
-        *keep, (F.col("at") + F.col("read")).alias("at"), F.concat("node", "label").alias("node"), F.lit(1).alias("edits"), "ends", "leaf")
-    return same.unionByName(edited)
+    return other.withColumn("read", F.explode(read)).select(
+        "way", "word", "length", (F.col("at") + F.col("read")).alias("at"), F.concat("node", "label").alias("node"), "ends", "nexts")
+
+
+def _looking_ahead(branches: DataFrame, further: DataFrame) -> DataFrame:
+    """``branches`` with ``nexts``, the first characters of the branches behind each; empty behind a leaf."""
+    behind = further.groupBy("way", "node").agg(F.concat_ws("", F.collect_list("first")).alias("nexts"))  # one entry per letter
+    child = F.concat("b.node", "b.label")
+    met = branches.alias("b").join(behind.alias("f"), (F.col("b.way") == F.col("f.way")) & (child == F.col("f.node")), "left")
+    return met.select("b.*", F.coalesce("f.nexts", F.lit("")).alias("nexts"))
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -110,23 +131,36 @@ def near_words(words: DataFrame) -> DataFrame:
     half = F.floor(length / 2).cast("int")
     start = words.select(F.explode(F.array(
         F.struct(F.lit(0).alias("way"), F.col("word"), half.alias("open")), F.struct(F.lit(1).alias("way"), F.reverse("word").alias("word"), (length - half).alias("open")))).alias("s"), "n")
-    states = written(start.select("s.way", "s.word", F.char_length("s.word").alias("length"), "n", "s.open", F.lit(0).alias("at"), F.lit("").alias("node"), F.lit(0).alias("edits")), "trie-states")
-    paths: list[str] = []
-    n_states = states.count()
-    while n_states:
-        branches = written(_branches(states), "trie-branches")
+    plain = written(start.select("s.way", "s.word", F.char_length("s.word").alias("length"), F.lit(0).alias("at"), F.lit("").alias("node"), "n", "s.open"), "trie-plain")
+    branches = written(_branches(plain), "trie-branches")
+    used = plain.select(*_STATE).filter("false")
+    plain_paths: list[str] = []
+    used_paths: list[str] = []
+    n_plain, n_used = plain.count(), 0
+    while n_plain or n_used:
         n_branches, size = branches.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("label") + F.octet_length("node")), F.lit(0))).head()
         hot = None
         if n_branches > FEW_BRANCHES or size > FEW_BYTES:
-            hot = written(states.groupBy("way", "node").count().filter(F.col("count") > n_states / HOT_SHARE).select("way", "node"), "trie-hot")
-        paths.append(scratch_path(spark, "trie-moved"))
-        _step(states, branches, hot).write.parquet(paths[-1])
-        states = spark.read.parquet(paths[-1]).filter("NOT leaf AND (at < length OR edits = 0)").drop("ends", "leaf")
-        n_states = states.count()
-    if not paths:
+            count = plain.select("way", "node").unionByName(used.select("way", "node")).groupBy("way", "node").count()
+            hot = written(count.filter(F.col("count") > (n_plain + n_used) / HOT_SHARE).select("way", "node"), "trie-hot")
+        plain_paths.append(scratch_path(spark, "trie-plain"))
+        _on(plain, branches.filter("NOT leaf"), hot, "n", "open").write.parquet(plain_paths[-1])
+        further = spark.read.parquet(plain_paths[-1])
+        below = written(_branches(further), "trie-branches")
+        seen = written(_looking_ahead(branches, below), "trie-seen")
+        moved = _on(used, seen, hot, "nexts").unionByName(_edited(plain, seen, hot))
+        # a word read to its end must end there; another must find its next character
+        alive = F.when(F.col("at") == F.col("length"), F.col("ends").isNotNull()).otherwise(F.instr("nexts", F.col("word").substr(F.col("at") + 1, F.lit(1))) > 0)
+        used_paths.append(scratch_path(spark, "trie-used"))
+        moved.filter(alive).drop("nexts").write.parquet(used_paths[-1])
+        plain, branches = further.drop("ends"), below
+        used = spark.read.parquet(used_paths[-1]).filter("at < length").drop("ends")
+        n_plain, n_used = plain.count(), used.count()
+    if not plain_paths:
         return words.select("word", F.col("word").alias("near"), F.col("n").alias("near_n")).filter("false")
-    # one edit and the word read to its end where another ends; or all but the last character read there
-    found = spark.read.parquet(*paths).filter("ends IS NOT NULL AND (edits = 1 AND at = length OR edits = 0 AND at = length - 1 AND at >= open)")
+    # the whole word read where another ends; or all but its last character, unedited
+    found = spark.read.parquet(*used_paths).filter("at = length").select("way", "word", "node", "ends").unionByName(
+        spark.read.parquet(*plain_paths).filter("ends IS NOT NULL AND at = length - 1 AND at >= open").select("way", "word", "node", "ends"))
 
     def forward(name: str) -> Column:
         return F.when(F.col("way") == 1, F.reverse(name)).otherwise(F.col(name)).alias(name)

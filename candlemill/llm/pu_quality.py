@@ -100,6 +100,13 @@ class Model:
         steps = (x[:, :, None] > self.edges[None]).reshape(len(x), -1)
         return np.concatenate([np.ones((len(x), 1)), z, steps], axis=1)
 
+    def spread_rows(self, x: np.ndarray) -> np.ndarray:
+        """``spread`` of a whole table in single precision, built in blocks: the double form never stands as a whole."""
+        out = np.empty((len(x), 1 + x.shape[1] + self.edges.size), np.float32)
+        for a in range(0, len(x), 1024):
+            out[a : a + 1024] = self.spread(x[a : a + 1024])
+        return out
+
     def score(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(len(x))
         for a in range(0, len(x), 1024):
@@ -147,18 +154,22 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, penalty: float | None = No
     # tails hold the rare kinds of text
     tails = np.quantile(unlabelled, [0.01, 0.03, 0.06, 0.94, 0.97, 0.99], axis=0).T
     model = Model(unlabelled.mean(0), np.where(scale > 1e-9, scale, 1.0), np.concatenate([edges, tails], axis=1), np.zeros(0), 0.5)
-    xp, xu = model.spread(positive).astype(np.float32), model.spread(unlabelled).astype(np.float32)
-    size = xp.shape[1]
-    fitted, judged = xp[::2], xp[1::2] if len(xp) > 1 else xp
-
-    def apart(w: np.ndarray) -> np.ndarray:
+    # every other positive fits the first model, the others judge it; products stay in single precision, sums are means
+    order = np.concatenate([np.arange(0, len(positive), 2), np.arange(1, len(positive), 2)])
+    xp, xu = model.spread_rows(positive[order]), model.spread_rows(unlabelled)
+    size, half = xp.shape[1], (len(xp) + 1) // 2
+    fitted, judged = xp[:half], xp[half:] if len(xp) > 1 else xp
+
+    def apart(weights: np.ndarray) -> np.ndarray:
+        w = weights.astype(np.float32)
         gp, gu = _sigmoid(fitted @ w) - 1, _sigmoid(xu @ w)
         return fitted.T @ gp / len(fitted) + xu.T @ gu / len(xu) + penalty * w
 
-    w = _descend(apart, size, 200)
+    w = _descend(apart, size, 200).astype(np.float32)
     model.prior = prior = estimate_prior(judged @ w, xu @ w)
 
-    def risk(w: np.ndarray) -> np.ndarray:
+    def risk(weights: np.ndarray) -> np.ndarray:
+        w = weights.astype(np.float32)
         zp, zu = xp @ w, xu @ w
         sp, su = _sigmoid(zp), _sigmoid(zu)
         # logistic loss; the loss of a negative is log(1 + exp(z))

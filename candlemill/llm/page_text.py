@@ -27,6 +27,7 @@ from candlemill.llm.text_arrays import release
 from candlemill.sources.series import number_series, written
 
 REACH = 3  # pages looked at on each side
+CHUNK = 256  # pages of a host that are windowed together
 COPY = 0.8  # a partner with this share of equal lines on both sides is a copy and shows no template
 TABLE_BITS = 1 << 24  # alignments beyond it are split
 BROADCAST_ROWS = 200_000
@@ -294,7 +295,7 @@ def template_lines(pages: DataFrame) -> DataFrame:
     def near(w):
         return {f"_{side}{k}": f("lines", k).over(w) for side, f in (("b", F.lag), ("f", F.lead)) for k in range(1, REACH + 1)}
 
-    beside = over_halo(placed, REACH, near, ahead=REACH, run=("host",), index="place")
+    beside = over_halo(placed, REACH, near, ahead=REACH, run=("host",), index="place", chunk=CHUNK)
     order = [(f"_{side}{k}", side) for k in range(1, REACH + 1) for side in "bf"]
     beside = beside.filter("open").select("host", "digest", "lines", *[c for c, _ in order])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from candlemill.catalog import sql as S
 from candlemill.catalog.bars_and_features import r6
-from candlemill.catalog.pattern_rows import ONE, PIVOTS
+from candlemill.catalog.pattern_rows import ALL, PIVOTS, _key
 from candlemill.catalog.registry import add
 from candlemill.catalog.trading import EV_SQL, PROC, events, plan_sql, proc_trades
 from candlemill.models import training as M
@@ -160,9 +160,9 @@ add("STR2_streaming_count_bars",
     f"""WITH {S.TICKS}, b AS (SELECT run_id, step // 5 AS bar_index, arg_min(price, step) AS open, max(price) AS high, min(price) AS low, arg_max(price, step) AS close, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS n FROM ticks GROUP BY 1, 2)
     SELECT run_id, bar_index, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM b WHERE n = 5""")
 add("STR3_streaming_shapes",
-    lambda s, d: Q.run_to_end(Q.detect_shapes(price_stream(s, d), ONE), "shapes").select("run_id", "window_end", r6("noise", digits=8), F.col("pivots").cast("long").alias("pivots"), "last_pivot"),
-    f"""WITH RECURSIVE {PIVOTS} SELECT pv.run_id, pv.we AS window_end, round(max(noise), 8) AS noise, count(*) AS pivots, CASE WHEN arg_max(kd, i) = 1 THEN 'max' ELSE 'min' END AS last_pivot
-    FROM pv JOIN nz ON nz.run_id = pv.run_id AND nz.we = pv.we GROUP BY 1, 2""")
+    lambda s, d: Q.run_to_end(Q.detect_shapes(price_stream(s, d), ALL), "shapes").select("run_id", F.col("core_length").cast("long").alias("core_length"), "window_end", r6("noise", digits=8), F.col("pivots").cast("long").alias("pivots"), "last_pivot"),
+    f"""WITH RECURSIVE {PIVOTS} SELECT {_key("pv")}, pv.we AS window_end, round(max(noise), 8) AS noise, count(*) AS pivots, CASE WHEN arg_max(kd, i) = 1 THEN 'max' ELSE 'min' END AS last_pivot
+    FROM pv JOIN nz ON nz.run_id = pv.run_id AND nz.we = pv.we GROUP BY 1, 2, 3""")
 
 
 def guarded(s, d) -> DataFrame:

@@ -1,4 +1,4 @@
-"""PAT rows. The shortest scale is checked end to end against SQL; all scales run in PAT20 and up."""
+"""PAT rows, over all scales. In the SQL a run and a scale together are one run, ``run#core``, so that a scale is one more series."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from candlemill.catalog import sql as S
 from candlemill.catalog.bars_and_features import r6
 from candlemill.catalog.registry import add
 from candlemill.catalog.trading import _digits
-from candlemill.config import PATTERN_NAMES, PatternConfig
+from candlemill.config import PATTERN_NAMES, PatternConfig, settings_hash
 from candlemill.functions.columns import canonical_hash
 from candlemill.operators import controls as N, features as T, trades as X
 from candlemill.patterns import detect as D, matchers as M, smoothing as SM
@@ -25,12 +25,37 @@ ONE = PatternConfig(core_lengths=(35,))
 ALL = PatternConfig()
 
 
-def windows35(s, d) -> DataFrame:
-    return stored(s, ("windows35", d), lambda: SM.pivot_windows(V.walk_bars(s, d), ONE))
+def windows(s, d) -> DataFrame:
+    return stored(s, ("windows", d), lambda: SM.pivot_windows(V.walk_bars(s, d), ALL, every=True))
 
 
-def matched35(s, d) -> DataFrame:
-    return stored(s, ("matched35", d), lambda: M.match_patterns(windows35(s, d), ONE))
+def matched(s, d) -> DataFrame:
+    return stored(s, ("matched", d), lambda: M.match_patterns(windows(s, d), ALL))
+
+
+SCALE = F.col("core_length").cast("long").alias("core_length")
+
+
+def _scales() -> str:
+    rows = []
+    for c in ALL.core_lengths:
+        near, far = ALL.double_spacing(c)
+        rows.append(f"({c}, {ALL.observation_length(c)}, {ALL.context(c)}, {ALL.context(c) + c - 1}, {ALL.max_age(c)}, {near}, {far})")
+    widths = [f"({c}, {b!r}::DOUBLE)" for c in ALL.core_lengths for b in ALL.bandwidths(c)]
+    return f"sc(core, ob, lead, last, age, near, far) AS (VALUES {', '.join(rows)}), bw(core, b) AS (VALUES {', '.join(widths)})"
+
+
+LONGEST = max(ALL.observation_length(c) for c in ALL.core_lengths)
+RUN, CORE = "split_part({0}.run_id, '#', 1) AS run_id", "CAST(split_part({0}.run_id, '#', 2) AS BIGINT)"
+
+
+def _key(t: str) -> str:
+    """Run and scale of a row of ``t``."""
+    return f"{RUN.format(t)}, {CORE.format(t)} AS core_length"
+
+
+def _with_scale(t: str) -> str:
+    return f"JOIN sc ON sc.core = {CORE.format(t)}"
 
 
 def found(s, d) -> D.Detection:
@@ -49,16 +74,16 @@ add(
     FROM n, (VALUES (35, 43), (55, 67), (80, 96)) v(core_length, observation_length) WHERE n >= observation_length""",
 )
 
-SMOOTH = f"""{S.WALK},
-rl AS (SELECT run_id, bar_index, ln(close) - ln(first_value(close) OVER (PARTITION BY run_id ORDER BY bar_index)) AS x FROM bars),
-bw(b) AS (VALUES (1.5::DOUBLE), (1.575::DOUBLE), (1.7325::DOUBLE)),
-k0 AS (SELECT b, i, j, (j - i)::DOUBLE AS d, exp(-0.5::DOUBLE * power((j - i) / b, 2)) AS k FROM bw, range(43) p(i), range(43) q(j)),
-k1 AS (SELECT b, i, sum(k) AS m0, sum(k * d) AS m1, sum(k * d * d) AS m2 FROM k0 GROUP BY 1, 2),
-k2 AS (SELECT k0.b, k0.i, j, k * (m2 - m1 * d) / (m0 * m2 - m1 * m1) AS w FROM k0 JOIN k1 ON k1.b = k0.b AND k1.i = k0.i),
-wt AS MATERIALIZED (SELECT b, i, j, w / sum(w) OVER (PARTITION BY b, i) AS w FROM k2),
-wn AS MATERIALIZED (SELECT e.run_id, e.bar_index AS we, r.bar_index - e.bar_index + 42 AS j, r.x FROM rl e
-  JOIN rl r ON r.run_id = e.run_id AND r.bar_index BETWEEN e.bar_index - 42 AND e.bar_index WHERE e.bar_index >= 42),
-cv AS (SELECT run_id, we, i, b, sum(x * w) AS v FROM wn JOIN wt ON wt.j = wn.j GROUP BY ALL),
+SMOOTH = f"""{S.WALK}, {_scales()},
+rl0 AS (SELECT run_id, bar_index, ln(close) - ln(first_value(close) OVER (PARTITION BY run_id ORDER BY bar_index)) AS x FROM bars),
+rl AS (SELECT run_id || '#' || core AS run_id, core, ob, bar_index, x FROM rl0, sc),
+k0 AS (SELECT core, b, i, j, (j - i)::DOUBLE AS d, exp(-0.5::DOUBLE * power((j - i) / b, 2)) AS k FROM bw JOIN sc USING (core), range({LONGEST}) p(i), range({LONGEST}) q(j) WHERE i < ob AND j < ob),
+k1 AS (SELECT core, b, i, sum(k) AS m0, sum(k * d) AS m1, sum(k * d * d) AS m2 FROM k0 GROUP BY 1, 2, 3),
+k2 AS (SELECT core, b, i, j, k * (m2 - m1 * d) / (m0 * m2 - m1 * m1) AS w FROM k0 JOIN k1 USING (core, b, i)),
+wt AS MATERIALIZED (SELECT core, b, i, j, w / sum(w) OVER (PARTITION BY core, b, i) AS w FROM k2),
+wn AS MATERIALIZED (SELECT e.run_id, e.core, e.bar_index AS we, r.bar_index - e.bar_index + e.ob - 1 AS j, r.x FROM rl e
+  JOIN rl r ON r.run_id = e.run_id AND r.bar_index BETWEEN e.bar_index - e.ob + 1 AND e.bar_index WHERE e.bar_index >= e.ob - 1),
+cv AS (SELECT run_id, we, i, b, sum(x * w) AS v FROM wn JOIN wt ON wt.core = wn.core AND wt.j = wn.j GROUP BY ALL),
 sm AS MATERIALIZED (SELECT run_id, we, i, median(v) AS v FROM cv GROUP BY ALL),
 rs AS MATERIALIZED (SELECT sm.run_id, sm.we, sm.i, sm.v, wn.x, wn.x - sm.v AS res FROM sm JOIN wn ON wn.run_id = sm.run_id AND wn.we = sm.we AND wn.j = sm.i),
 rmd AS (SELECT run_id, we, median(res) AS md FROM rs GROUP BY 1, 2),
@@ -66,14 +91,14 @@ nz AS MATERIALIZED (SELECT rs.run_id, rs.we, 1.4826::DOUBLE * median(abs(res - m
 
 add(
     "PAT2_local_linear_smoother",
-    lambda s, d: SM.smoothed_windows(V.walk_bars(s, d), ONE).select("run_id", "window_end", r6("smooth_middle", digits=8), r6("smooth_end", digits=8)),
-    f"""WITH {SMOOTH} SELECT run_id, we AS window_end, round(max(CASE WHEN i = 21 THEN v END), 8) AS smooth_middle,
-    round(max(CASE WHEN i = 42 THEN v END), 8) AS smooth_end FROM sm GROUP BY 1, 2""",
+    lambda s, d: SM.smoothed_windows(V.walk_bars(s, d), ALL).select("run_id", SCALE, "window_end", r6("smooth_middle", digits=8), r6("smooth_end", digits=8)),
+    f"""WITH {SMOOTH} SELECT {_key("sm")}, we AS window_end, round(max(CASE WHEN i = ob // 2 THEN v END), 8) AS smooth_middle,
+    round(max(CASE WHEN i = ob - 1 THEN v END), 8) AS smooth_end FROM sm {_with_scale("sm")} GROUP BY 1, 2, 3""",
 )
 add(
     "PAT3_residual_noise",
-    lambda s, d: SM.smoothed_windows(V.walk_bars(s, d), ONE).select("run_id", "window_end", r6("noise", digits=8)),
-    f"WITH {SMOOTH} SELECT run_id, we AS window_end, round(noise, 8) AS noise FROM nz",
+    lambda s, d: SM.smoothed_windows(V.walk_bars(s, d), ALL).select("run_id", SCALE, "window_end", r6("noise", digits=8)),
+    f"WITH {SMOOTH} SELECT {_key('nz')}, we AS window_end, round(noise, 8) AS noise FROM nz",
 )
 
 PIVOTS = f"""{SMOOTH},
@@ -98,7 +123,7 @@ tv AS (SELECT run_id, we, p.i AS i, p.v AS v, p.kd AS kd, p.pr AS pr, p.ri AS ri
 tw AS (SELECT *, sum(CASE WHEN pk IS NULL OR pk <> kd THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, we ORDER BY i) AS g FROM tv),
 tx AS (SELECT *, row_number() OVER (PARTITION BY run_id, we, g ORDER BY kd * v DESC, i) AS z FROM tw),
 pv0 AS MATERIALIZED (SELECT run_id, we, i, v, kd, pr, ri, row_number() OVER (PARTITION BY run_id, we ORDER BY i) AS n FROM tx WHERE z = 1),
-hold AS (SELECT DISTINCT a.run_id, a.we FROM pv0 a JOIN pv0 b ON b.run_id = a.run_id AND b.we = a.we AND b.n = a.n + 2 WHERE a.i >= 4 AND b.i <= 38 AND 38 - b.i <= 5),
+hold AS (SELECT DISTINCT a.run_id, a.we FROM pv0 a JOIN pv0 b ON b.run_id = a.run_id AND b.we = a.we AND b.n = a.n + 2 {_with_scale("a")} WHERE a.i >= lead AND b.i <= last AND last - b.i <= age),
 pv AS MATERIALIZED (SELECT pv0.* FROM pv0 JOIN hold ON hold.run_id = pv0.run_id AND hold.we = pv0.we)"""
 
 
@@ -108,40 +133,41 @@ def _pivot_text(part):
 
 add(
     "PAT4_pivot_prominence",
-    lambda s, d: windows35(s, d).select("run_id", "window_end", F.explode("pivots").alias("p")).select(
-        "run_id", "window_end", F.col("p.idx").cast("long").alias("idx"), r6("prominence", F.col("p.prominence"), 8)),
-    f"WITH RECURSIVE {PIVOTS} SELECT run_id, we AS window_end, i AS idx, round(pr, 8) AS prominence FROM pv",
+    lambda s, d: windows(s, d).select("run_id", SCALE, "window_end", F.explode("pivots").alias("p")).select(
+        "run_id", "core_length", "window_end", F.col("p.idx").cast("long").alias("idx"), r6("prominence", F.col("p.prominence"), 8)),
+    f"WITH RECURSIVE {PIVOTS} SELECT {_key('pv0')}, we AS window_end, i AS idx, round(pr, 8) AS prominence FROM pv0",
 )
 add(
     "PAT5_pivot_sequences",
-    lambda s, d: windows35(s, d).select(
-        "run_id", "window_end", F.size("pivots").cast("long").alias("n"),
+    lambda s, d: windows(s, d).filter(F.size("pivots") > 0).select(
+        "run_id", SCALE, "window_end", F.size("pivots").cast("long").alias("n"),
         _pivot_text(lambda p: p["idx"].cast("string")).alias("idx"), _pivot_text(lambda p: p["raw_idx"].cast("string")).alias("raw_idx"),
         _pivot_text(lambda p: F.when(p["is_max"], "1").otherwise("-1")).alias("kinds")),
-    f"""WITH RECURSIVE {PIVOTS} SELECT run_id, we AS window_end, count(*) AS n, string_agg(i, ',' ORDER BY i) AS idx, string_agg(ri, ',' ORDER BY i) AS raw_idx,
-    string_agg(kd, ',' ORDER BY i) AS kinds FROM pv GROUP BY 1, 2""",
+    f"""WITH RECURSIVE {PIVOTS} SELECT {_key("pv0")}, we AS window_end, count(*) AS n, string_agg(i, ',' ORDER BY i) AS idx, string_agg(ri, ',' ORDER BY i) AS raw_idx,
+    string_agg(kd, ',' ORDER BY i) AS kinds FROM pv0 GROUP BY 1, 2, 3""",
 )
 
 _lead5 = ", ".join(f"lead(i, {k}) OVER w AS x{k + 1}, lead(v, {k}) OVER w AS y{k + 1}" for k in range(1, 5))
 BLOCKS = f"""{PIVOTS},
-bl AS (SELECT run_id, we, i AS x1, v AS y1, kd, {_lead5} FROM pv WINDOW w AS (PARTITION BY run_id, we ORDER BY i)),
-b5 AS (SELECT * FROM bl WHERE x1 >= 4 AND x5 <= 38 AND 38 - x5 <= 5 AND x5 - x1 + 1 >= 5),
-b3 AS (SELECT * FROM bl WHERE x1 >= 4 AND x3 <= 38 AND 38 - x3 <= 5 AND x3 - x1 + 1 >= 5)"""
+bl0 AS (SELECT run_id, we, i AS x1, v AS y1, kd, {_lead5} FROM pv WINDOW w AS (PARTITION BY run_id, we ORDER BY i)),
+bl AS (SELECT bl0.*, ob, lead, last, age, near, far FROM bl0 {_with_scale("bl0")}),
+b5 AS (SELECT * FROM bl WHERE x1 >= lead AND x5 <= last AND last - x5 <= age AND x5 - x1 + 1 >= 5),
+b3 AS (SELECT * FROM bl WHERE x1 >= lead AND x3 <= last AND last - x3 <= age AND x3 - x1 + 1 >= 5)"""
 
 
 def _blocks(s, d):
-    five = M.pivot_blocks(windows35(s, d), 5, ONE).select("run_id", "window_end", F.lit(5).alias("size"), F.col("p1.idx").alias("first"), F.col("p5.idx").alias("last"))
-    three = M.pivot_blocks(windows35(s, d), 3, ONE).select("run_id", "window_end", F.lit(3).alias("size"), F.col("p1.idx").alias("first"), F.col("p3.idx").alias("last"))
+    five = M.pivot_blocks(windows(s, d), 5, ALL).select("run_id", SCALE, "window_end", F.lit(5).alias("size"), F.col("p1.idx").alias("first"), F.col("p5.idx").alias("last"))
+    three = M.pivot_blocks(windows(s, d), 3, ALL).select("run_id", SCALE, "window_end", F.lit(3).alias("size"), F.col("p1.idx").alias("first"), F.col("p3.idx").alias("last"))
     return five.unionByName(three).withColumns({c: F.col(c).cast("long") for c in ("size", "first", "last")})
 
 
 add("PAT6_pivot_blocks", _blocks,
-    f"""WITH RECURSIVE {BLOCKS} SELECT run_id, we AS window_end, 5 AS size, x1 AS first, x5 AS last FROM b5
-    UNION ALL SELECT run_id, we, 3, x1, x3 FROM b3""")
+    f"""WITH RECURSIVE {BLOCKS} SELECT {_key("b5")}, we AS window_end, 5 AS size, x1 AS first, x5 AS last FROM b5
+    UNION ALL SELECT {_key("b3")}, we, 3, x1, x3 FROM b3""")
 
 
 def wide5(s, d) -> DataFrame:
-    return M.channel_columns(M.shoulder_columns(M._points(M.pivot_blocks(windows35(s, d), 5, ONE), 5)))
+    return M.channel_columns(M.shoulder_columns(M._points(M.pivot_blocks(windows(s, d), 5, ALL), 5)))
 
 
 def _line_sql(p, ks):
@@ -170,40 +196,40 @@ g4 AS (SELECT *, CASE WHEN kd=1 THEN os ELSE es END AS us, CASE WHEN kd=1 THEN o
 g5 AS (SELECT *, (us*x2+ui)-(ls*x2+li) AS w0, (us*x4+ui)-(ls*x4+li) AS w1, (li-ui)/nullif(us-ls,0) AS ax, kd*(y1-(nk*x1+n0)) AS c1, kd*(y3-(nk*x3+n0)) AS hd, kd*(y5-(nk*x5+n0)) AS c5 FROM g4), """
 GEO += """
 m AS (
- SELECT run_id, we, kd, x1, x5 AS xe, 5 AS sz, CASE WHEN kd=1 THEN 'head_and_shoulders' ELSE 'inverse_head_and_shoulders' END AS pattern_name, hd AS pattern_height,
+ SELECT run_id, we, ob, lead, last, kd, x1, x5 AS xe, 5 AS sz, CASE WHEN kd=1 THEN 'head_and_shoulders' ELSE 'inverse_head_and_shoulders' END AS pattern_name, hd AS pattern_height,
    0.30*(1-least(1,abs(c1-c5)/hd/0.75))+0.18*(1-least(1,abs(y4-y2)/hd/1.25))+0.24*least(1,(hd-0.5*(c1+c5))/hd)+0.18*tsc+0.10*least(1,least(c1,c5)/hd) AS fit,
    nk AS usl, n0 AS uin, nk AS lsl, n0 AS lin, NULL::DOUBLE AS apex, CASE WHEN kd=1 THEN 'down' ELSE 'up' END AS rule FROM g5
  WHERE kd*y3>kd*y1 AND kd*y3>kd*y5 AND hd>1e-12 AND least(c1,c5)>=0.05*hd AND hd>greatest(c1,c5) AND (hd-0.5*(c1+c5))/hd>=0.15 AND abs(c1-c5)/hd<=0.75 AND abs(y4-y2)/hd<=1.25 AND asy<=3
- UNION ALL SELECT run_id, we, kd, x1, x5, 5, 'broadening_formation', fh, 0.30*"or"+0.30*er+0.30*least(1,(w1/w0-1)/0.3)+0.10*(1-rp), us, ui, ls, li, NULL, 'expanding' FROM g5
+ UNION ALL SELECT run_id, we, ob, lead, last, kd, x1, x5, 5, 'broadening_formation', fh, 0.30*"or"+0.30*er+0.30*least(1,(w1/w0-1)/0.3)+0.10*(1-rp), us, ui, ls, li, NULL, 'expanding' FROM g5
    WHERE us>0 AND ls<0 AND w0>1e-12 AND w1>w0 AND w1/w0-1>=0.10
- UNION ALL SELECT run_id, we, kd, x1, x5, 5, 'rectangle', rh, 0.5*(1-least(1,(CASE WHEN kd=1 THEN og ELSE eg END)/rh/0.35))+0.5*(1-least(1,(CASE WHEN kd=1 THEN eg ELSE og END)/rh/0.35)),
+ UNION ALL SELECT run_id, we, ob, lead, last, kd, x1, x5, 5, 'rectangle', rh, 0.5*(1-least(1,(CASE WHEN kd=1 THEN og ELSE eg END)/rh/0.35))+0.5*(1-least(1,(CASE WHEN kd=1 THEN eg ELSE og END)/rh/0.35)),
    0, CASE WHEN kd=1 THEN omy ELSE emy END, 0, CASE WHEN kd=1 THEN emy ELSE omy END, NULL, 'horizontal' FROM g5 WHERE rh>1e-12 AND og/rh<=0.35 AND eg/rh<=0.35
- UNION ALL SELECT run_id, we, kd, x1, x5, 5, 'symmetrical_triangle', fh, 0.35*(0.5*"or"+0.5*er)+0.35*least(1,(1-w1/w0)/0.36)+0.20*greatest(0,1-(ax-x4)/greatest(1,x5-x1)/2.5)+0.10*(1-rp),
+ UNION ALL SELECT run_id, we, ob, lead, last, kd, x1, x5, 5, 'symmetrical_triangle', fh, 0.35*(0.5*"or"+0.5*er)+0.35*least(1,(1-w1/w0)/0.36)+0.20*greatest(0,1-(ax-x4)/greatest(1,x5-x1)/2.5)+0.10*(1-rp),
    us, ui, ls, li, ax, 'converging' FROM g5 WHERE us<0 AND ls>0 AND w0>1e-12 AND w1>0 AND w1<w0 AND 1-w1/w0>=0.12 AND ax>x4 AND ax-x4<=2.5*greatest(1,x5-x1)
- UNION ALL SELECT run_id, we, kd, x1, x3, 3, CASE WHEN kd=1 THEN 'double_top' ELSE 'double_bottom' END, least(kd*y1,kd*y3)-kd*y2,
-   0.80*(1-least(1,abs(y1-y3)/(least(kd*y1,kd*y3)-kd*y2)/0.75))+0.20*exp(-0.5*power(((x3-x1)-16.5)/11.5,2)), 0, y2, 0, y2, NULL, CASE WHEN kd=1 THEN 'down' ELSE 'up' END FROM b3
-   WHERE least(kd*y1,kd*y3)-kd*y2>1e-12 AND x3-x1>=5 AND x3-x1<=28 AND abs(y1-y3)/(least(kd*y1,kd*y3)-kd*y2)<=0.75),
+ UNION ALL SELECT run_id, we, ob, lead, last, kd, x1, x3, 3, CASE WHEN kd=1 THEN 'double_top' ELSE 'double_bottom' END, least(kd*y1,kd*y3)-kd*y2,
+   0.80*(1-least(1,abs(y1-y3)/(least(kd*y1,kd*y3)-kd*y2)/0.75))+0.20*exp(-0.5*power(((x3-x1)-0.5*(near+far))/greatest(1,0.5*(far-near)),2)), 0, y2, 0, y2, NULL, CASE WHEN kd=1 THEN 'down' ELSE 'up' END FROM b3
+   WHERE least(kd*y1,kd*y3)-kd*y2>1e-12 AND x3-x1>=near AND x3-x1<=far AND abs(y1-y3)/(least(kd*y1,kd*y3)-kd*y2)<=0.75),
 mc AS MATERIALIZED (SELECT m.*, greatest(1e-10, 2*noise) AS thr FROM m JOIN nz ON nz.run_id=m.run_id AND nz.we=m.we WHERE pattern_height>=greatest(1e-10, 2*noise))"""
 
 add(
     "PAT7_boundary_line_fit",
-    lambda s, d: wide5(s, d).select("run_id", "window_end", F.col("p1.idx").cast("long").alias("first"),
+    lambda s, d: wide5(s, d).select("run_id", SCALE, "window_end", F.col("p1.idx").cast("long").alias("first"),
                                     r6("slope", F.col("odd_slope"), 8), r6("icpt", F.col("odd_icpt"), 7), r6("r2", F.col("odd_r2"), 5), r6("nrmse", F.col("odd_nrmse"))),
-    f'''WITH RECURSIVE {GEO} SELECT run_id, we AS window_end, x1 AS first, round(os, 8) AS slope, round(oi, 7) AS icpt, round("or", 5) AS r2, round(oe, 6) AS nrmse FROM g5''',
+    f'''WITH RECURSIVE {GEO} SELECT {_key("g5")}, we AS window_end, x1 AS first, round(os, 8) AS slope, round(oi, 7) AS icpt, round("or", 5) AS r2, round(oe, 6) AS nrmse FROM g5''',
 )
 add(
     "PAT8_time_symmetry",
-    lambda s, d: wide5(s, d).select("run_id", "window_end", F.col("p1.idx").cast("long").alias("first"), r6("score", F.col("time_score")), r6("ratio", F.col("asym"))),
-    f"WITH RECURSIVE {GEO} SELECT run_id, we AS window_end, x1 AS first, round(tsc, 6) AS score, round(asy, 6) AS ratio FROM g5",
+    lambda s, d: wide5(s, d).select("run_id", SCALE, "window_end", F.col("p1.idx").cast("long").alias("first"), r6("score", F.col("time_score")), r6("ratio", F.col("asym"))),
+    f"WITH RECURSIVE {GEO} SELECT {_key('g5')}, we AS window_end, x1 AS first, round(tsc, 6) AS score, round(asy, 6) AS ratio FROM g5",
 )
 
 
 def _family(name: str, names: tuple[str, ...]) -> None:
     listed = ", ".join(f"'{n}'" for n in names)
     add(name,
-        lambda s, d: matched35(s, d).filter(F.col("pattern_name").isin(*names)).select(
-            "run_id", "window_end", "pattern_name", F.col("block")[0]["idx"].cast("long").alias("first"), r6("pattern_height"), r6("fit", F.col("geometry_fit_score"))),
-        f"""WITH RECURSIVE {GEO} SELECT run_id, we AS window_end, pattern_name, x1 AS first, round(pattern_height, 6) AS pattern_height,
+        lambda s, d: matched(s, d).filter(F.col("pattern_name").isin(*names)).select(
+            "run_id", SCALE, "window_end", "pattern_name", F.col("block")[0]["idx"].cast("long").alias("first"), r6("pattern_height"), r6("fit", F.col("geometry_fit_score"))),
+        f"""WITH RECURSIVE {GEO} SELECT {_key("mc")}, we AS window_end, pattern_name, x1 AS first, round(pattern_height, 6) AS pattern_height,
         round(greatest(0, least(1, fit)), 6) AS fit FROM mc WHERE pattern_name IN ({listed})""")
 
 
@@ -215,15 +241,15 @@ _family("PAT13_double_top_bottom", ("double_top", "double_bottom"))
 _family("PAT14_all_families", PATTERN_NAMES)
 add(
     "PAT15_height_and_age_filter",
-    lambda s, d: matched35(s, d).groupBy("run_id", "pattern_name").agg(
+    lambda s, d: matched(s, d).groupBy("run_id", SCALE, "pattern_name").agg(
         F.count(F.lit(1)).alias("n"), r6("min_over_threshold", F.min(F.col("pattern_height") / F.col("pattern_height_threshold")), 5),
-        F.max(38 - F.element_at("block", -1)["idx"]).cast("long").alias("max_age")),
-    f"""WITH RECURSIVE {GEO} SELECT run_id, pattern_name, count(*) AS n, round(min(pattern_height / thr), 5) AS min_over_threshold, max(38 - xe) AS max_age FROM mc GROUP BY 1, 2""",
+        F.max(M.by_core(ALL, ALL.context) + F.col("core_length") - 1 - F.element_at("block", -1)["idx"]).cast("long").alias("max_age")),
+    f"""WITH RECURSIVE {GEO} SELECT {_key("mc")}, pattern_name, count(*) AS n, round(min(pattern_height / thr), 5) AS min_over_threshold, max(last - xe) AS max_age FROM mc GROUP BY 1, 2, 3""",
 )
 add(
     "PAT16_breakouts",
-    lambda s, d: M.find_breakouts(matched35(s, d), ONE).select(
-        "run_id", "window_end", "pattern_name", F.col("block")[0]["idx"].cast("long").alias("first"), "breakout_confirmed", "breakout_direction",
+    lambda s, d: M.find_breakouts(matched(s, d), ALL).select(
+        "run_id", SCALE, "window_end", "pattern_name", F.col("block")[0]["idx"].cast("long").alias("first"), "breakout_confirmed", "breakout_direction",
         "breakout_index", r6("breakout_strength_height"), r6("breakout_strength_volatility", digits=5)),
     f"""WITH RECURSIVE {GEO},
     bt AS (SELECT mc.*, wn.j AS t, wn.x AS val, usl*wn.j+uin AS up, lsl*wn.j+lin AS lo FROM mc JOIN wn ON wn.run_id=mc.run_id AND wn.we=mc.we AND wn.j>mc.xe),
@@ -234,28 +260,64 @@ add(
     dd AS (SELECT hit.run_id, hit.we, pattern_name, x1, a.x-b.x AS df FROM hit JOIN wn a ON a.run_id=hit.run_id AND a.we=hit.we AND a.j BETWEEN greatest(0,t-10)+1 AND t JOIN wn b ON b.run_id=a.run_id AND b.we=a.we AND b.j=a.j-1),
     dm AS (SELECT *, median(df) OVER (PARTITION BY run_id, we, pattern_name, x1) AS md FROM dd),
     sg AS (SELECT run_id, we, pattern_name, x1, 1.4826*median(abs(df-md)) AS sigma FROM dm GROUP BY 1,2,3,4)
-    SELECT mc.run_id, mc.we AS window_end, mc.pattern_name, mc.x1 AS first, hit.t IS NOT NULL AS breakout_confirmed, CASE hit.st WHEN 1 THEN 'bullish' WHEN -1 THEN 'bearish' END AS breakout_direction,
-      mc.we - 42 + hit.t AS breakout_index, round(abs(val - CASE WHEN hit.st=1 THEN up ELSE lo END)/greatest(mc.pattern_height,1e-12),6) AS breakout_strength_height,
+    SELECT {_key("mc")}, mc.we AS window_end, mc.pattern_name, mc.x1 AS first, hit.t IS NOT NULL AS breakout_confirmed, CASE hit.st WHEN 1 THEN 'bullish' WHEN -1 THEN 'bearish' END AS breakout_direction,
+      mc.we - mc.ob + 1 + hit.t AS breakout_index, round(abs(val - CASE WHEN hit.st=1 THEN up ELSE lo END)/greatest(mc.pattern_height,1e-12),6) AS breakout_strength_height,
       round(CASE WHEN sigma>1e-12 THEN abs(val - CASE WHEN hit.st=1 THEN up ELSE lo END)/sigma END,5) AS breakout_strength_volatility
     FROM mc LEFT JOIN hit ON hit.run_id=mc.run_id AND hit.we=mc.we AND hit.pattern_name=mc.pattern_name AND hit.x1=mc.x1
     LEFT JOIN sg ON sg.run_id=mc.run_id AND sg.we=mc.we AND sg.pattern_name=mc.pattern_name AND sg.x1=mc.x1""",
 )
 
-# --- rows-only: checked by properties and brute force in tests -----------------------------------
+# --- candidates, events and clusters of the whole detector ------------------------------------------
 
 
 def _txt(c: str):
     return F.concat_ws(",", F.transform(c, lambda v: v.cast("string"))).alias(c)
 
 
-add("PAT17_wick_refined_pivots", lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", _txt("pivot_indices"), _txt("pivot_wick_refined"), _txt("pivot_close_refined")))
 CONTEXT = ["pre_pattern_log_return", "pre_pattern_trend_slope", "pre_pattern_log_volatility", "pre_pattern_robust_log_volatility",
            "pattern_log_volatility", "pattern_robust_log_volatility", "pattern_to_pre_volume_ratio", "pattern_to_pre_log_volume_ratio", "pattern_mean_log_high_low_range"]
-add("PAT18_context_features", lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", *[r6(c) for c in CONTEXT]))
-add("PAT19_global_coordinates", lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", r6("upper_intercept_global"), r6("lower_intercept_global"), r6("apex_global")))
 PUBLIC = ["start_index", "end_index", "available_at_index", "entry_index", "core_start_index", "core_end_index", "pattern_span_bars",
           "pattern_age_at_availability_bars", "pattern_age_at_core_end_bars", "observation_window_length", "core_window_length"]
-add("PAT20_public_candidates", lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", "pattern_name", "expected_direction", "phase_start", *PUBLIC, r6("geometry_fit_score"), "config_hash"))
+SHORT = ALL.core_lengths[0]
+
+# A candidate of the SQL: its run and scale, first bar ``o`` of its window, first and last bar ``a`` and ``z``, and its id.
+CAND = f"""{GEO}, cd AS MATERIALIZED (SELECT mc.*, split_part(run_id, '#', 1) AS run, CAST(split_part(run_id, '#', 2) AS BIGINT) AS core, we - ob + 1 AS o, we - ob + 1 + x1 AS a, we - ob + 1 + xe AS z,
+  'C-' || substr(sha256('{{"run_id":"' || split_part(run_id, '#', 1) || '","core_length":' || split_part(run_id, '#', 2) || ',"window_end":' || we || ',"pattern_name":"' || pattern_name
+    || '","start_index":' || (we - ob + 1 + x1) || '}}'), 1, 20) AS cid FROM mc)"""
+WICKS = f"""{CAND}, wk AS (SELECT cd.run, cd.core, cd.we, pattern_name, a, cid, pv.i, b.bar_index, row_number() OVER (PARTITION BY cid, pv.i ORDER BY CASE WHEN pv.kd = 1 THEN -b.high ELSE b.low END, b.bar_index) AS k
+      FROM cd JOIN pv ON pv.run_id = cd.run_id AND pv.we = cd.we AND pv.i BETWEEN cd.x1 AND cd.xe
+      JOIN bars b ON b.run_id = cd.run AND b.bar_index BETWEEN greatest(a, cd.o + pv.i - 1) AND least(z, cd.o + pv.i + 1)),
+wo AS (SELECT run, core, we, pattern_name, a, cid, string_agg(bar_index, ',' ORDER BY i) AS wicks FROM wk WHERE k = 1 GROUP BY ALL)"""
+AROUND = f"""{CAND}, cj AS (SELECT cd.run, cd.core, cd.we, pattern_name, a, cid, b.bar_index, b.bar_index < a AS pre, rl0.x, b.volume, ln(b.high / b.low) AS rg
+      FROM cd JOIN bars b ON b.run_id = cd.run AND b.bar_index BETWEEN a - 10 AND z JOIN rl0 ON rl0.run_id = b.run_id AND rl0.bar_index = b.bar_index),
+dj AS (SELECT *, x - lag(x) OVER (PARTITION BY cid, pre ORDER BY bar_index) AS df FROM cj),
+mj AS (SELECT *, median(df) OVER (PARTITION BY cid, pre) AS md FROM dj),
+g AS (SELECT run, core, we, pattern_name, a, cid, pre, arg_max(x, bar_index) - arg_min(x, bar_index) AS ret, regr_slope(x, bar_index) AS sl, stddev_pop(df) AS sd, 1.4826 * median(abs(df - md)) AS rb,
+      avg(volume) AS v, avg(rg) AS rg FROM mj GROUP BY 1, 2, 3, 4, 5, 6, 7)"""
+CONTEXT_SQL = """round(p.ret, 6) AS pre_pattern_log_return, round(p.sl, 6) AS pre_pattern_trend_slope, round(p.sd, 6) AS pre_pattern_log_volatility,
+      round(p.rb, 6) AS pre_pattern_robust_log_volatility, round(i.sd, 6) AS pattern_log_volatility, round(i.rb, 6) AS pattern_robust_log_volatility, round(i.v / p.v, 6) AS pattern_to_pre_volume_ratio,
+      round(ln(i.v / p.v), 6) AS pattern_to_pre_log_volume_ratio, round(i.rg, 6) AS pattern_mean_log_high_low_range
+    FROM g i JOIN g p ON p.cid = i.cid AND p.pre AND NOT i.pre"""
+ALIKE = "CASE WHEN kd = 1 THEN 'high' ELSE 'low' END AS phase_start"
+
+add("PAT17_wick_refined_pivots",
+    lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", _txt("pivot_indices"), _txt("pivot_wick_refined"), _txt("pivot_close_refined")),
+    f"""WITH RECURSIVE {WICKS}, po AS (SELECT cid, string_agg(o + pv.i, ',' ORDER BY pv.i) AS idx, string_agg(o + pv.ri, ',' ORDER BY pv.i) AS raw FROM cd
+      JOIN pv ON pv.run_id = cd.run_id AND pv.we = cd.we AND pv.i BETWEEN cd.x1 AND cd.xe GROUP BY 1)
+    SELECT run AS run_id, cid AS candidate_id, idx AS pivot_indices, wicks AS pivot_wick_refined, raw AS pivot_close_refined FROM wo JOIN po USING (cid)""")
+add("PAT18_context_features", lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", *[r6(c) for c in CONTEXT]),
+    f"WITH RECURSIVE {AROUND} SELECT i.run AS run_id, i.cid AS candidate_id, {CONTEXT_SQL}")
+add("PAT19_global_coordinates",
+    lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", r6("upper_intercept_global", digits=5), r6("lower_intercept_global", digits=5), r6("apex_global", digits=4)),
+    f"""WITH RECURSIVE {CAND} SELECT run AS run_id, cid AS candidate_id, round(uin - usl * o, 5) AS upper_intercept_global, round(lin - lsl * o, 5) AS lower_intercept_global,
+    round(apex + o, 4) AS apex_global FROM cd""")
+add("PAT20_public_candidates",
+    lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", "pattern_name", "expected_direction", "phase_start", *[F.col(c).cast("long").alias(c) for c in PUBLIC],
+                                               r6("geometry_fit_score"), "config_hash"),
+    f"""WITH RECURSIVE {CAND} SELECT run AS run_id, cid AS candidate_id, pattern_name, CASE rule WHEN 'down' THEN 'bearish' WHEN 'up' THEN 'bullish' ELSE 'neutral' END AS expected_direction, {ALIKE},
+    a AS start_index, z AS end_index, we AS available_at_index, we + 1 AS entry_index, o + lead AS core_start_index, o + last AS core_end_index, xe - x1 + 1 AS pattern_span_bars,
+    ob - 1 - xe AS pattern_age_at_availability_bars, last - xe AS pattern_age_at_core_end_bars, ob AS observation_window_length, core AS core_window_length,
+    round(greatest(0, least(1, fit)), 6) AS geometry_fit_score, '{settings_hash(ALL, D.DETECTOR_RULES)}' AS config_hash FROM cd""")
 
 
 def geometry_prefix(s, d, bars=V.walk_bars):
@@ -323,39 +385,27 @@ add(
 )
 add("PAT35_event_listing", lambda s, d: D.event_listing(found(s, d).events))
 
-# --- the shortest scale again, with SQL, for the rows that describe single candidates ------------------
+# --- the same for one scale alone: what a detector of only that scale finds -------------------------------
 
 
 def short(s, d) -> DataFrame:
-    return stored(s, ("short", d), lambda: D.public_candidates(M.find_breakouts(matched35(s, d), ONE), ONE))
+    """Candidates of a detector that knows the shortest scale only."""
+    alone = lambda: SM.pivot_windows(V.walk_bars(s, d), ONE)
+    return stored(s, ("short", d), lambda: D.public_candidates(M.find_breakouts(M.match_patterns(alone(), ONE), ONE), ONE))
 
 
-CAND = f"""{GEO}, cd AS (SELECT mc.*, we - 42 + x1 AS a, we - 42 + xe AS z FROM mc)"""
 add("PAT20_short_scale_candidates",
     lambda s, d: short(s, d).select("run_id", "pattern_name", "start_index", "end_index", "available_at_index", "entry_index", "phase_start",
         *[F.col(c).cast("long").alias(c) for c in ("pattern_span_bars", "pattern_age_at_availability_bars", "pattern_age_at_core_end_bars")]),
-    f"""WITH RECURSIVE {CAND} SELECT run_id, pattern_name, a AS start_index, z AS end_index, we AS available_at_index, we + 1 AS entry_index, CASE WHEN kd = 1 THEN 'high' ELSE 'low' END AS phase_start,
-    xe - x1 + 1 AS pattern_span_bars, 42 - xe AS pattern_age_at_availability_bars, 38 - xe AS pattern_age_at_core_end_bars FROM cd""")
+    f"""WITH RECURSIVE {CAND} SELECT run AS run_id, pattern_name, a AS start_index, z AS end_index, we AS available_at_index, we + 1 AS entry_index, {ALIKE},
+    xe - x1 + 1 AS pattern_span_bars, ob - 1 - xe AS pattern_age_at_availability_bars, last - xe AS pattern_age_at_core_end_bars FROM cd WHERE core = {SHORT}""")
 add("PAT19_short_scale_coordinates",
     lambda s, d: short(s, d).select("run_id", "window_end", "pattern_name", "start_index", r6("upper_intercept_global", digits=5), r6("lower_intercept_global", digits=5), r6("apex_global", digits=4)),
-    f"""WITH RECURSIVE {CAND} SELECT run_id, we AS window_end, pattern_name, a AS start_index, round(uin - usl * (we - 42), 5) AS upper_intercept_global,
-    round(lin - lsl * (we - 42), 5) AS lower_intercept_global, round(apex + we - 42, 4) AS apex_global FROM cd""")
+    f"""WITH RECURSIVE {CAND} SELECT run AS run_id, we AS window_end, pattern_name, a AS start_index, round(uin - usl * o, 5) AS upper_intercept_global,
+    round(lin - lsl * o, 5) AS lower_intercept_global, round(apex + o, 4) AS apex_global FROM cd WHERE core = {SHORT}""")
 add("PAT17_short_scale_wicks",
     lambda s, d: D.refine_pivots(short(s, d), V.walk_bars(s, d), ONE).select("run_id", "window_end", "pattern_name", "start_index", _txt("pivot_wick_refined")),
-    f"""WITH RECURSIVE {CAND}, wk AS (SELECT cd.run_id, cd.we, pattern_name, a, pv.i, b.bar_index, row_number() OVER (PARTITION BY cd.run_id, cd.we, pattern_name, a, pv.i
-      ORDER BY CASE WHEN pv.kd = 1 THEN -b.high ELSE b.low END, b.bar_index) AS k
-      FROM cd JOIN pv ON pv.run_id = cd.run_id AND pv.we = cd.we AND pv.i BETWEEN cd.x1 AND cd.xe
-      JOIN bars b ON b.run_id = cd.run_id AND b.bar_index BETWEEN greatest(a, cd.we - 42 + pv.i - 1) AND least(z, cd.we - 42 + pv.i + 1))
-    SELECT run_id, we AS window_end, pattern_name, a AS start_index, string_agg(bar_index, ',' ORDER BY i) AS pivot_wick_refined FROM wk WHERE k = 1 GROUP BY 1, 2, 3, 4""")
+    f"WITH RECURSIVE {WICKS} SELECT run AS run_id, we AS window_end, pattern_name, a AS start_index, wicks AS pivot_wick_refined FROM wo WHERE core = {SHORT}")
 add("PAT18_short_scale_context",
     lambda s, d: D.context_features(short(s, d), V.walk_bars(s, d), ONE).select("run_id", "window_end", "pattern_name", "start_index", *[r6(c) for c in CONTEXT]),
-    f"""WITH RECURSIVE {CAND}, cj AS (SELECT cd.run_id, cd.we, pattern_name, a, b.bar_index, b.bar_index < a AS pre, rl.x, b.volume, ln(b.high / b.low) AS rg
-      FROM cd JOIN bars b ON b.run_id = cd.run_id AND b.bar_index BETWEEN a - 10 AND z JOIN rl ON rl.run_id = b.run_id AND rl.bar_index = b.bar_index),
-    dj AS (SELECT *, x - lag(x) OVER (PARTITION BY run_id, we, pattern_name, a, pre ORDER BY bar_index) AS df FROM cj),
-    mj AS (SELECT *, median(df) OVER (PARTITION BY run_id, we, pattern_name, a, pre) AS md FROM dj),
-    g AS (SELECT run_id, we, pattern_name, a, pre, arg_max(x, bar_index) - arg_min(x, bar_index) AS ret, regr_slope(x, bar_index) AS sl, stddev_pop(df) AS sd, 1.4826 * median(abs(df - md)) AS rb,
-      avg(volume) AS v, avg(rg) AS rg FROM mj GROUP BY 1, 2, 3, 4, 5)
-    SELECT i.run_id, i.we AS window_end, i.pattern_name, i.a AS start_index, round(p.ret, 6) AS pre_pattern_log_return, round(p.sl, 6) AS pre_pattern_trend_slope, round(p.sd, 6) AS pre_pattern_log_volatility,
-      round(p.rb, 6) AS pre_pattern_robust_log_volatility, round(i.sd, 6) AS pattern_log_volatility, round(i.rb, 6) AS pattern_robust_log_volatility, round(i.v / p.v, 6) AS pattern_to_pre_volume_ratio,
-      round(ln(i.v / p.v), 6) AS pattern_to_pre_log_volume_ratio, round(i.rg, 6) AS pattern_mean_log_high_low_range
-    FROM g i JOIN g p ON p.run_id = i.run_id AND p.we = i.we AND p.pattern_name = i.pattern_name AND p.a = i.a AND p.pre AND NOT i.pre""")
+    f"WITH RECURSIVE {AROUND} SELECT i.run AS run_id, i.we AS window_end, i.pattern_name, i.a AS start_index, {CONTEXT_SQL} WHERE i.core = {SHORT}")

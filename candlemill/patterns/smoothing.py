@@ -174,7 +174,7 @@ def _may_hold_pattern(kept, size, idx, core, config):
     return (live & (start >= lead) & (end <= last) & (last - end <= config.max_age(core))).any(axis=1)
 
 
-def chunk_windows(pdf: pd.DataFrame, config: PatternConfig) -> pd.DataFrame:
+def chunk_windows(pdf: pd.DataFrame, config: PatternConfig, every: bool = False) -> pd.DataFrame:
     pdf = pdf.sort_values("bar_index", kind="mergesort")
     x = pdf["rel_log"].to_numpy(dtype=float)
     bar = pdf["bar_index"].to_numpy()
@@ -191,7 +191,7 @@ def chunk_windows(pdf: pd.DataFrame, config: PatternConfig) -> pd.DataFrame:
         for lo in range(0, len(ends), 2048):
             block, block_ends = windows[lo: lo + 2048], ends[lo: lo + 2048]
             noise, kept, size, c = window_pivots(block, config, core)
-            keep = np.flatnonzero(_may_hold_pattern(kept, size, c["idx"], core, config))
+            keep = np.arange(len(block)) if every else np.flatnonzero(_may_hold_pattern(kept, size, c["idx"], core, config))
             if not len(keep):
                 continue
             tail = tail_length(config, core)
@@ -214,11 +214,12 @@ def chunk_windows(pdf: pd.DataFrame, config: PatternConfig) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
-def pivot_windows(bars: DataFrame, config: PatternConfig = PatternConfig(), *, chunk: int = DETECT_CHUNK) -> DataFrame:
-    """Windows of every scale with their noise, pivots and raw tail, known at ``window_end``."""
+def pivot_windows(bars: DataFrame, config: PatternConfig = PatternConfig(), *, chunk: int = DETECT_CHUNK, every: bool = False) -> DataFrame:
+    """Windows of every scale with their noise, pivots and raw tail, known at ``window_end``: those that can still hold a fresh
+    pattern, or ``every`` one."""
     rel = relative_log_price(bars).select("run_id", "bar_index", "rel_log")
     halo = spread_halo(rel, config.warmup_bars - 1, chunk=chunk)
-    return spread_chunks(halo, "run_id", "_chunk").groupBy("run_id", "_chunk").applyInPandas(lambda pdf: chunk_windows(pdf, config), WINDOW_SCHEMA)
+    return spread_chunks(halo, "run_id", "_chunk").groupBy("run_id", "_chunk").applyInPandas(lambda pdf: chunk_windows(pdf, config, every), WINDOW_SCHEMA)
 
 
 SMOOTH_SCHEMA = T.StructType([

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from candlemill.catalog import sql as S
 from candlemill.catalog.bars_and_features import r6
 from candlemill.catalog.registry import add
-from candlemill.catalog.trading import _digits
-from candlemill.config import PATTERN_NAMES, PatternConfig, settings_hash
+from candlemill.catalog.trading import PREFIX_SQL, _digits
+from candlemill.config import NEUTRAL_PATTERNS, PATTERN_NAMES, PatternConfig, settings_hash
 from candlemill.functions.columns import canonical_hash
 from candlemill.operators import controls as N, features as T, trades as X
 from candlemill.patterns import detect as D, matchers as M, smoothing as SM
@@ -246,12 +246,7 @@ add(
         F.max(M.by_core(ALL, ALL.context) + F.col("core_length") - 1 - F.element_at("block", -1)["idx"]).cast("long").alias("max_age")),
     f"""WITH RECURSIVE {GEO} SELECT {_key("mc")}, pattern_name, count(*) AS n, round(min(pattern_height / thr), 5) AS min_over_threshold, max(last - xe) AS max_age FROM mc GROUP BY 1, 2, 3""",
 )
-add(
-    "PAT16_breakouts",
-    lambda s, d: M.find_breakouts(matched(s, d), ALL).select(
-        "run_id", SCALE, "window_end", "pattern_name", F.col("block")[0]["idx"].cast("long").alias("first"), "breakout_confirmed", "breakout_direction",
-        "breakout_index", r6("breakout_strength_height"), r6("breakout_strength_volatility", digits=5)),
-    f"""WITH RECURSIVE {GEO},
+BREAKS = """
     bt AS (SELECT mc.*, wn.j AS t, wn.x AS val, usl*wn.j+uin AS up, lsl*wn.j+lin AS lo FROM mc JOIN wn ON wn.run_id=mc.run_id AND wn.we=mc.we AND wn.j>mc.xe),
     bs AS (SELECT *, CASE WHEN rule='down' THEN CASE WHEN val<lo THEN -1 ELSE 0 END WHEN rule='up' THEN CASE WHEN val>up THEN 1 ELSE 0 END
        WHEN rule='converging' AND (t+1e-9>=apex OR up<=lo) THEN 2 WHEN rule='expanding' AND up<=lo THEN 0 WHEN val>up THEN 1 WHEN val<lo THEN -1 ELSE 0 END AS st FROM bt),
@@ -259,7 +254,14 @@ add(
     hit AS (SELECT * FROM bf WHERE k=1 AND st<>2),
     dd AS (SELECT hit.run_id, hit.we, pattern_name, x1, a.x-b.x AS df FROM hit JOIN wn a ON a.run_id=hit.run_id AND a.we=hit.we AND a.j BETWEEN greatest(0,t-10)+1 AND t JOIN wn b ON b.run_id=a.run_id AND b.we=a.we AND b.j=a.j-1),
     dm AS (SELECT *, median(df) OVER (PARTITION BY run_id, we, pattern_name, x1) AS md FROM dd),
-    sg AS (SELECT run_id, we, pattern_name, x1, 1.4826*median(abs(df-md)) AS sigma FROM dm GROUP BY 1,2,3,4)
+    sg AS (SELECT run_id, we, pattern_name, x1, 1.4826*median(abs(df-md)) AS sigma FROM dm GROUP BY 1,2,3,4)"""
+
+add(
+    "PAT16_breakouts",
+    lambda s, d: M.find_breakouts(matched(s, d), ALL).select(
+        "run_id", SCALE, "window_end", "pattern_name", F.col("block")[0]["idx"].cast("long").alias("first"), "breakout_confirmed", "breakout_direction",
+        "breakout_index", r6("breakout_strength_height"), r6("breakout_strength_volatility", digits=5)),
+    f"""WITH RECURSIVE {GEO}, {BREAKS}
     SELECT {_key("mc")}, mc.we AS window_end, mc.pattern_name, mc.x1 AS first, hit.t IS NOT NULL AS breakout_confirmed, CASE hit.st WHEN 1 THEN 'bullish' WHEN -1 THEN 'bearish' END AS breakout_direction,
       mc.we - mc.ob + 1 + hit.t AS breakout_index, round(abs(val - CASE WHEN hit.st=1 THEN up ELSE lo END)/greatest(mc.pattern_height,1e-12),6) AS breakout_strength_height,
       round(CASE WHEN sigma>1e-12 THEN abs(val - CASE WHEN hit.st=1 THEN up ELSE lo END)/sigma END,5) AS breakout_strength_volatility
@@ -346,7 +348,54 @@ add("PAT22_series_fingerprints", series_fingerprints,
     f"""WITH {S.LI}, rl AS (SELECT *, ln(close) - ln(first_value(close) OVER (PARTITION BY run_id ORDER BY bar_index)) AS x FROM bars)
     SELECT run_id, count(*) AS bars, sha256(max(bar_index) || ':' || CAST(sum({_MD}) AS VARCHAR)) AS market_fingerprint,
       sha256(max(bar_index) || ':' || CAST(sum({_GD}) AS VARCHAR)) AS geometry_fingerprint FROM rl GROUP BY 1""")
-add("PAT23_event_identity", lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", "own_event_id", "event_id"))
+_ALIGNED = "len(list_filter(list_zip({x}, {y}, {kx}, {ky}), lambda p: abs(p[1] - p[2]) <= {t} AND p[3] = p[4])) = len({x})"
+
+
+def _dropped(name: str, k: str) -> str:
+    return f"list_concat({name}[1:{k} - 1], {name}[{k} + 1:])"
+
+
+# Shapes of neutral families have five pivots: they share four in order when some four of each stand in line.
+_FOUR = _ALIGNED.format(x=_dropped("a.pl", "(k // 5 + 1)"), y=_dropped("b.pl", "(k % 5 + 1)"), kx=_dropped("a.kl", "(k // 5 + 1)"), ky=_dropped("b.kl", "(k % 5 + 1)"), t=ALL.cluster_pivot_tolerance)
+_NEUTRAL = ", ".join(f"'{n}'" for n in NEUTRAL_PATTERNS)
+_SHARED = "greatest(0, least({a}.z, {b}.z) - greatest({a}.a, {b}.a) + 1) / (least({a}.z - {a}.a, {b}.z - {b}.a) + 1)::DOUBLE"
+_PIVOTS = f"""CASE WHEN b.pattern_name IN ({_NEUTRAL}) THEN CASE WHEN {_ALIGNED.format(x="a.pl", y="b.pl", kx="a.kl", ky="b.kl", t=ALL.cluster_pivot_tolerance)} THEN 1.0::DOUBLE
+    WHEN len(list_filter(range(25), lambda k: {_FOUR})) > 0 THEN 0.8::DOUBLE ELSE 0 END
+  WHEN a.kl = b.kl THEN len(list_filter(list_zip(a.pl, b.pl), lambda p: abs(p[1] - p[2]) <= {ALL.cluster_pivot_tolerance})) / len(a.pl)::DOUBLE ELSE 0 END"""
+
+# Members: candidates in causal order, their links to earlier ones, first members by a walk, and the best of these for each.
+EVENTS = f"""{CAND}, {PREFIX_SQL},
+pk AS (SELECT cid, list(o + pv.i ORDER BY pv.i) AS pl, list(CASE WHEN pv.kd = 1 THEN 'max' ELSE 'min' END ORDER BY pv.i) AS kl FROM cd
+   JOIN pv ON pv.run_id = cd.run_id AND pv.we = cd.we AND pv.i BETWEEN cd.x1 AND cd.xe GROUP BY 1),
+id AS MATERIALIZED (SELECT cd.run, cd.core, cd.we, cd.pattern_name, cd.a, cd.z, cd.cid, cd.fit, cd.x1, cd.run_id, pl, kl, 'EV-' || substr(sha256('{{"available_at_index":' || cd.we || ',"config_hash":"{settings_hash(ALL, D.DETECTOR_RULES)}","end_index":' || z
+   || ',"pattern_name":"' || pattern_name || '","pivot_indices":[' || array_to_string(pl, ',') || '],"pivot_kinds":["' || array_to_string(kl, '","') || '"],"prefix":"' || prefix || '","run_id":"' || run
+   || '","start_index":' || a || '}}'), 1, 18) AS own FROM cd JOIN pk ON pk.cid = cd.cid JOIN pf ON pf.run_id = cd.run AND pf.bar_index = cd.we),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run, pattern_name ORDER BY we, -greatest(0, least(1, fit)), a, z, core, cid) AS step FROM id),
+l0 AS (SELECT b.run, b.pattern_name, b.step, a.step AS other, {_SHARED.format(a="a", b="b")} AS ov, {_PIVOTS} AS pm,
+   greatest(0, 1 - abs((a.a + a.z) - (b.a + b.z)) / 2.0::DOUBLE / greatest({ALL.cluster_center_tolerance} * greatest(1, least(a.z - a.a, b.z - b.a)), 1)) AS ce
+   FROM rk a JOIN rk b ON a.run = b.run AND a.pattern_name = b.pattern_name AND a.step < b.step AND a.z >= b.a AND a.z >= b.we - {ALL.warmup_bars}),
+lk AS MATERIALIZED (SELECT *, {D.SIMILARITY_WEIGHTS["overlap"]}::DOUBLE * ov + {D.SIMILARITY_WEIGHTS["pivots"]}::DOUBLE * pm + {D.SIMILARITY_WEIGHTS["centre"]}::DOUBLE * ce AS sim FROM l0
+   WHERE ov >= {ALL.cluster_min_overlap} AND pm >= CASE WHEN pattern_name IN ({_NEUTRAL}) THEN {ALL.cluster_min_pivot_match_neutral} ELSE {ALL.cluster_min_pivot_match} END),
+bk AS MATERIALIZED (SELECT rk.run, rk.pattern_name, rk.step, list(other) FILTER (other IS NOT NULL) AS back FROM rk LEFT JOIN lk ON lk.run = rk.run AND lk.pattern_name = rk.pattern_name AND lk.step = rk.step GROUP BY 1, 2, 3),
+fm AS (SELECT run, pattern_name, step, [step] AS firsts FROM bk WHERE step = 1
+   UNION ALL SELECT k.run, k.pattern_name, k.step, CASE WHEN list_has_any(w.firsts, coalesce(k.back, [])) THEN w.firsts ELSE list_append(w.firsts, k.step) END
+   FROM fm w JOIN bk k ON k.run = w.run AND k.pattern_name = w.pattern_name AND k.step = w.step + 1),
+fs AS MATERIALIZED (SELECT run, pattern_name, unnest(arg_max(firsts, step)) AS step FROM fm GROUP BY 1, 2),
+ba AS (SELECT lk.*, row_number() OVER (PARTITION BY lk.run, lk.pattern_name, lk.step ORDER BY sim DESC, other) AS n FROM lk
+   JOIN fs ON fs.run = lk.run AND fs.pattern_name = lk.pattern_name AND fs.step = lk.other),
+mb AS MATERIALIZED (SELECT b.*, coalesce(a.own, b.own) AS ev, a.own IS NULL AS prime, ba.sim, coalesce(ba.ov, 1) AS ov, coalesce(ba.pm, 1) AS pm,
+   CASE WHEN a.own IS NULL THEN 'primary' WHEN b.pattern_name IN ({_NEUTRAL}) AND a.kl <> b.kl THEN 'phase_shift_extension' ELSE 'same_structure_view' END AS relation
+   FROM rk b LEFT JOIN ba ON ba.run = b.run AND ba.pattern_name = b.pattern_name AND ba.step = b.step AND ba.n = 1
+   LEFT JOIN rk a ON a.run = ba.run AND a.pattern_name = ba.pattern_name AND a.step = ba.other)"""
+EV = "WITH RECURSIVE " + EVENTS
+# Members with their breakouts, and the earliest confirmed member of each event.
+BROKEN = f"""{EVENTS}, {BREAKS},
+br AS MATERIALIZED (SELECT mb.*, st FROM mb LEFT JOIN hit ON hit.run_id = mb.run_id AND hit.we = mb.we AND hit.pattern_name = mb.pattern_name AND hit.x1 = mb.x1),
+cf AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run, ev ORDER BY we, a, z, -greatest(0, least(1, fit)), cid) AS n FROM br WHERE st IS NOT NULL)"""
+_SIDE = "CASE st WHEN 1 THEN 'bullish' WHEN -1 THEN 'bearish' END"
+
+add("PAT23_event_identity", lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", "own_event_id", "event_id"),
+    f"""{EV} SELECT run AS run_id, cid AS candidate_id, own AS own_event_id, ev AS event_id FROM mb""")
 
 
 def primary_pairs(s, d):
@@ -358,32 +407,51 @@ def primary_pairs(s, d):
 
 
 add("PAT24_interval_overlap", lambda s, d: primary_pairs(s, d).select("run_id", "candidate_id", r6("overlap", D.interval_overlap(
-    F.col("start_index"), F.col("end_index"), F.col("p_start"), F.col("p_end")))))
+    F.col("start_index"), F.col("end_index"), F.col("p_start"), F.col("p_end")))),
+    f"""{EV} SELECT run AS run_id, cid AS candidate_id, round(ov, 6) AS overlap FROM mb""")
 
 
-def _agreement(s, d):
-    same = F.size(F.filter(F.zip_with("pivot_indices", "p_pivots", lambda a, b: F.abs(a - b) <= ALL.cluster_pivot_tolerance), lambda v: v))
-    aligned = (F.size("pivot_indices") == F.size("p_pivots")) & (F.col("pivot_kinds") == F.col("p_kinds"))
-    return primary_pairs(s, d).select("run_id", "candidate_id", "relation", r6("positional_match", F.when(aligned, same / F.size("p_pivots")).otherwise(F.lit(0.0))))
-
-
-add("PAT25_pivot_agreement", _agreement)
-add("PAT26_structural_similarity", lambda s, d: found(s, d).candidates.filter("NOT is_primary").select("run_id", "candidate_id", "event_id", r6("anchor_similarity")))
-add("PAT27_causal_clusters", lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", "event_id", "is_primary"))
-add("PAT28_member_relation", lambda s, d: found(s, d).candidates.groupBy("run_id", "pattern_name", "relation").agg(F.count(F.lit(1)).alias("members")))
-add("PAT29_competition", lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", "competing_pattern", _txt("competing_event_ids"), _txt("competing_patterns")))
-add("PAT30_cluster_summary", lambda s, d: found(s, d).clusters.select("run_id", "event_id", "pattern_name", "members", _txt("supporting_core_windows"), "first_available_at_index", "last_available_at_index"))
-add("PAT31_confirmed_view", lambda s, d: D.confirmed_events(found(s, d).candidates).select("run_id", "event_id", "pattern_name", "available_at_index", "entry_index", "breakout_direction"))
+def _parts(s, d):
+    """Every member beside the first member of its event, with the parts of their similarity."""
+    c = found(s, d).candidates
+    a = c.filter("is_primary").select("run_id", "event_id", F.struct(*D.SHAPE).alias("a"))
+    return D.pair_parts(c.select("run_id", "event_id", "candidate_id", "pattern_name", "relation", F.struct(*D.SHAPE).alias("b")).join(a, ["run_id", "event_id"]), ALL)
+
+
+add("PAT25_pivot_agreement", lambda s, d: _parts(s, d).select("run_id", "candidate_id", "relation", r6("pivot_match", F.col("pivots"))),
+    f"""{EV} SELECT run AS run_id, cid AS candidate_id, relation, round(pm, 6) AS pivot_match FROM mb""")
+add("PAT26_structural_similarity", lambda s, d: found(s, d).candidates.filter("NOT is_primary").select("run_id", "candidate_id", "event_id", r6("anchor_similarity")),
+    f"""{EV} SELECT run AS run_id, cid AS candidate_id, ev AS event_id, round(sim, 6) AS anchor_similarity FROM mb WHERE NOT prime""")
+add("PAT27_causal_clusters", lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", "event_id", "is_primary"),
+    f"""{EV} SELECT run AS run_id, cid AS candidate_id, ev AS event_id, prime AS is_primary FROM mb""")
+add("PAT28_member_relation", lambda s, d: found(s, d).candidates.groupBy("run_id", "pattern_name", "relation").agg(F.count(F.lit(1)).alias("members")),
+    f"""{EV} SELECT run AS run_id, pattern_name, relation, count(*) AS members FROM mb GROUP BY ALL""")
+add("PAT29_competition", lambda s, d: found(s, d).candidates.select("run_id", "candidate_id", "competing_pattern", _txt("competing_event_ids"), _txt("competing_patterns")),
+    f"""{EV}, cp AS (SELECT m.cid, o.ev AS oe, o.pattern_name AS op FROM mb m JOIN mb o ON o.run = m.run AND o.prime AND o.pattern_name <> m.pattern_name AND o.ev <> m.ev AND o.we <= m.we
+      AND {_SHARED.format(a="m", b="o")} >= {ALL.competition_overlap}),
+    cs AS (SELECT cid, array_to_string(list_sort(list(DISTINCT oe)), ',') AS es, array_to_string(list_sort(list(DISTINCT op)), ',') AS ps FROM cp GROUP BY 1)
+    SELECT run AS run_id, mb.cid AS candidate_id, es IS NOT NULL AS competing_pattern, coalesce(es, '') AS competing_event_ids, coalesce(ps, '') AS competing_patterns FROM mb LEFT JOIN cs ON cs.cid = mb.cid""")
+add("PAT30_cluster_summary", lambda s, d: found(s, d).clusters.select("run_id", "event_id", "pattern_name", "members", _txt("supporting_core_windows"), "first_available_at_index", "last_available_at_index"),
+    f"""{EV} SELECT run AS run_id, ev AS event_id, pattern_name, count(*) AS members, array_to_string(list_sort(list(DISTINCT core)), ',') AS supporting_core_windows,
+    min(we) AS first_available_at_index, max(we) AS last_available_at_index FROM mb GROUP BY 1, 2, 3""")
+add("PAT31_confirmed_view", lambda s, d: D.confirmed_events(found(s, d).candidates).select("run_id", "event_id", "pattern_name", "available_at_index", "entry_index", "breakout_direction"),
+    f"""WITH RECURSIVE {BROKEN} SELECT run AS run_id, ev AS event_id, pattern_name, we AS available_at_index, we + 1 AS entry_index, {_SIDE} AS breakout_direction FROM cf WHERE n = 1""")
 add("PAT32_signal_priority", lambda s, d: D.confirmed_events(found(s, d).candidates).withColumn("priority", X.signal_priority()).select(
-    "run_id", "event_id", F.col("priority.family").cast("long").alias("family_rank"), F.col("priority.a").alias("available"), F.col("priority.f").alias("negative_fit")))
+    "run_id", "event_id", F.col("priority.family").cast("long").alias("family_rank"), F.col("priority.a").alias("available"), r6("negative_fit", F.col("priority.f"))),
+    f"""WITH RECURSIVE {BROKEN} SELECT run AS run_id, ev AS event_id, list_position([{", ".join(f"'{n}'" for n in PATTERN_NAMES)}], pattern_name) - 1 AS family_rank, we::DOUBLE AS available,
+    round(-greatest(0, least(1, fit)), 6) AS negative_fit FROM cf WHERE n = 1""")
 add("PAT33_detector_outputs", lambda s, d: found(s, d).candidates.groupBy("run_id", "pattern_name").agg(
-    F.count(F.lit(1)).alias("candidates"), F.count(F.when(F.col("is_primary"), 1)).alias("events"), F.count(F.when(F.col("breakout_confirmed"), 1)).alias("confirmed_candidates")))
+    F.count(F.lit(1)).alias("candidates"), F.count(F.when(F.col("is_primary"), 1)).alias("events"), F.count(F.when(F.col("breakout_confirmed"), 1)).alias("confirmed_candidates")),
+    f"""WITH RECURSIVE {BROKEN} SELECT run AS run_id, pattern_name, count(*) AS candidates, count(*) FILTER (prime) AS events, count(*) FILTER (st IS NOT NULL) AS confirmed_candidates
+    FROM br GROUP BY 1, 2""")
 add(
     "PAT34_warmup_lengths",
     lambda s, d: SM.window_index(V.walk_bars(s, d)).groupBy("run_id", F.col("core_length").cast("long").alias("core_length")).agg(F.min("window_end").alias("first_available")),
     f"""WITH {S.WALK} SELECT run_id, core_length, ob - 1 AS first_available FROM (SELECT run_id, count(*) AS n FROM bars GROUP BY 1), (VALUES (35, 43), (55, 67), (80, 96)) v(core_length, ob) WHERE n >= ob""",
 )
-add("PAT35_event_listing", lambda s, d: D.event_listing(found(s, d).events))
+add("PAT35_event_listing", lambda s, d: D.event_listing(found(s, d).events),
+    f"""WITH RECURSIVE {BROKEN} SELECT run AS run_id, we AS available_at_index, ev AS event_id, format('{{}} [{{}}-{{}}] known at bar {{}}, fit {{:.3f}}, breakout {{}}', pattern_name, a, z, we,
+    greatest(0, least(1, fit)), coalesce({_SIDE}, 'none')) AS line FROM br WHERE prime""")
 
 # --- the same for one scale alone: what a detector of only that scale finds -------------------------------
 

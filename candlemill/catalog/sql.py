@@ -7,7 +7,7 @@ ev0 AS (SELECT event_type AS run_id, ts, event_id, user_id, value,
 ev1 AS (SELECT *, sum(cents % 100 - 50) OVER (PARTITION BY run_id ORDER BY step) AS drift,
           0.0005::DOUBLE * (1 + user_id % 3) AS half_spread, value + 1.0::DOUBLE AS price,
           1 + event_id % 10 AS volume, user_id % 2 AS side, 1 + event_id % 3 AS trade_count FROM ev0),
-ev2 AS (SELECT *, 100.0::DOUBLE * exp(0.0002::DOUBLE * drift) AS walk,
+ev2 AS (SELECT *, round(100.0::DOUBLE * exp(0.0002::DOUBLE * drift), 9) AS walk,
           CASE WHEN side = 1 THEN volume ELSE 0 END AS buy_volume,
           CASE WHEN side = 0 THEN volume ELSE 0 END AS sell_volume FROM ev1),
 ticks AS (SELECT *, walk * (1 - half_spread) AS bid, walk * (1 + half_spread) AS ask,

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candlemill.config import NEUTRAL_PATTERNS, PatternConfig, settings_hash
 from candlemill.functions.columns import diffs, median_of
-from candlemill.functions.windows import bucketed_scan, spread_chunks
 from candlemill.operators.controls import price_prefixes
 from candlemill.operators.features import relative_log_price
 from candlemill.patterns.matchers import by_core, find_breakouts, match_patterns
 from candlemill.patterns.smoothing import MAD_SCALE, pivot_windows
-from candlemill.sources.series import written
+from candlemill.sources.series import number_series, written
 
 DETECTOR_RULES = {
     "geometry": "smoothed relative log price", "breakout": "close, known by availability",
@@ -160,93 +158,126 @@ def interval_overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.when(shared > 0, shared / shorter).otherwise(F.lit(0.0))
 
 
-def overlap(a, b) -> float:
-    shared = min(a["end"], b["end"]) - max(a["start"], b["start"]) + 1
-    return shared / (min(a["end"] - a["start"], b["end"] - b["start"]) + 1) if shared > 0 else 0.0
-
-
-def pivot_agreement(a, b, tolerance: int, ordered: bool) -> float:
-    """Shared pivots of two patterns: place by place, or the longest common ordered run of pivots."""
-    pa, pb, ka, kb = a["pivots"], b["pivots"], a["kinds"], b["kinds"]
-    if not ordered:
-        if len(pa) != len(pb) or list(ka) != list(kb):
-            return 0.0
-        return sum(abs(x - y) <= tolerance for x, y in zip(pa, pb)) / len(pa)
-    best = [0] * (len(pb) + 1)
-    for x, kx in zip(pa, ka):
-        diagonal = 0
-        for j, (y, ky) in enumerate(zip(pb, kb), start=1):
-            above = best[j]
-            best[j] = diagonal + 1 if kx == ky and abs(x - y) <= tolerance else max(above, best[j - 1])
-            diagonal = above
-    return best[-1] / max(1, min(len(pa), len(pb)))
-
-
-def similarity(a, b, neutral: bool, config: PatternConfig) -> float:
-    shared = overlap(a, b)
-    if shared < config.cluster_min_overlap:
-        return 0.0
-    need = config.cluster_min_pivot_match_neutral if neutral else config.cluster_min_pivot_match
-    pivots = pivot_agreement(a, b, config.cluster_pivot_tolerance, neutral)
-    if pivots < need:
-        return 0.0
-    shorter = max(1, min(a["end"] - a["start"], b["end"] - b["start"]))
-    apart = abs(a["start"] + a["end"] - b["start"] - b["end"]) / 2
-    centre = max(0.0, 1.0 - apart / max(config.cluster_center_tolerance * shorter, 1.0))
-    return 0.45 * shared + 0.45 * pivots + 0.10 * centre
+def placed_agreement(a: Column, b: Column, kinds_a: Column, kinds_b: Column, tolerance: int) -> Column:
+    """Share of pivots at the same place, for two shapes of equal kinds; 0 for shapes of other kinds."""
+    near = F.filter(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= tolerance), lambda hit: hit)
+    return F.when(kinds_a == kinds_b, F.size(near) / F.size(a)).otherwise(F.lit(0.0))
+
+
+def ordered_agreement(a: Column, b: Column, kinds_a: Column, kinds_b: Column, tolerance: int) -> Column:
+    """Longest run of pivots, in order but with gaps, that two shapes share, over the shorter shape's pivots.
+
+    The rows of the table of common subsequences are folded one into the next, each entry from its three neighbours.
+    """
+    mine, theirs = (F.zip_with(p, k, lambda x, y: F.struct(x.alias("at"), y.alias("kind"))) for p, k in ((a, kinds_a), (b, kinds_b)))
+
+    def next_row(above: Column, x: Column) -> Column:
+        def entry(row: Column, j: Column) -> Column:
+            y = F.get(theirs, j - 1)
+            met = (x["kind"] == y["kind"]) & (F.abs(x["at"] - y["at"]) <= tolerance)
+            return F.array_append(row, F.when(met, F.get(above, j - 1) + 1).otherwise(F.greatest(F.get(above, j), F.get(row, j - 1))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(theirs)), F.array(F.lit(0)), entry)
+
+    table = F.aggregate(mine, F.array_repeat(F.lit(0), F.size(theirs) + 1), next_row)
+    return F.element_at(table, -1) / F.greatest(F.lit(1), F.least(F.size(a), F.size(b)))
+
+
+# Weights of the three parts of a similarity.
+SIMILARITY_WEIGHTS = {"overlap": 0.45, "pivots": 0.45, "centre": 0.10}
+
+
+def pair_parts(pairs: DataFrame, config: PatternConfig) -> DataFrame:
+    """Columns ``overlap``, ``pivots``, ``centre`` and ``similarity`` of rows with two shapes ``a`` and ``b`` of one family.
+
+    A pair below the least overlap or pivot agreement of its family has no similarity (null).
+    """
+    a, b, weights = F.col("a"), F.col("b"), SIMILARITY_WEIGHTS
+    neutral = F.col("pattern_name").isin(*NEUTRAL_PATTERNS)
+    args = (a["pivot_indices"], b["pivot_indices"], a["pivot_kinds"], b["pivot_kinds"], config.cluster_pivot_tolerance)
+    span = F.greatest(F.least(a["end_index"] - a["start_index"], b["end_index"] - b["start_index"]), F.lit(1))
+    middles = F.abs((a["start_index"] - b["start_index"]) + (a["end_index"] - b["end_index"])) / 2
+    measured = pairs.withColumn("overlap", interval_overlap(a["start_index"], a["end_index"], b["start_index"], b["end_index"])).withColumns({
+        # the table is folded only for pairs that overlap enough
+        "pivots": F.when(F.col("overlap") >= config.cluster_min_overlap, F.when(neutral, ordered_agreement(*args)).otherwise(placed_agreement(*args))),
+        "centre": F.greatest(F.lit(0.0), 1 - middles / F.greatest(config.cluster_center_tolerance * span, F.lit(1.0)))})
+    least = F.when(neutral, config.cluster_min_pivot_match_neutral).otherwise(config.cluster_min_pivot_match)
+    total = sum((w * F.col(part) for part, w in weights.items()), F.lit(0.0))
+    return measured.withColumn("similarity", F.when(F.col("pivots") >= least, total))
 
 
 ORDER = ["available_at_index", "neg_fit", "start_index", "end_index", "core_length", "candidate_id"]
-ISLAND = ["run_id", "pattern_name", "island"]
-ASSIGNED = "run_id string, candidate_id string, event_id string, is_primary boolean, anchor_similarity double, relation string"
-
-
-def assign_events(frames, config: PatternConfig):
-    """Walk candidates in causal order, island after island: each joins the most similar first member
-    still in reach, or opens a new event. Only members in reach are held."""
-    current, live = None, []
-    for pdf in frames:
-        rows = []
-        for r in pdf.itertuples(index=False):
-            key = (r.run_id, r.pattern_name, r.island)
-            if key != current:
-                current, live = key, []
-            neutral = r.pattern_name in NEUTRAL_PATTERNS
-            me = {"start": r.start_index, "end": r.end_index, "pivots": r.pivot_indices, "kinds": r.pivot_kinds}
-            live = [p for p in live if p["end"] >= r.available_at_index - config.warmup_bars]
-            best, score = None, 0.0
-            for p in live:
-                s = similarity(p, me, neutral, config) if p["end"] >= me["start"] else 0.0
-                if s > score:
-                    best, score = p, s
-            if best is None:
-                live.append(me | {"event": r.own_event_id})
-                rows.append((r.run_id, r.candidate_id, r.own_event_id, True, None, "primary"))
-            else:
-                moved = neutral and list(best["kinds"]) != list(me["kinds"])
-                relation = "phase_shift_extension" if moved else "same_structure_view"
-                rows.append((r.run_id, r.candidate_id, best["event"], False, score, relation))
-        yield pd.DataFrame(rows, columns=["run_id", "candidate_id", "event_id", "is_primary", "anchor_similarity", "relation"])
-
-
-def independent_islands(candidates: DataFrame, *, chunk: int = 4096) -> DataFrame:
-    """Cut each (run, family) where no earlier pattern reaches: islands never interact."""
-    keys = ["run_id", "pattern_name"]
-    x = candidates.withColumn("_b", F.floor(F.col("start_index") / chunk).cast("long"))
-    order = ["start_index", "end_index", "candidate_id"]
-    x = bucketed_scan(x, keys, "_b", order, {"_reach": ("max", "end_index")}, exclusive=True)
-    x = x.withColumn("_cut", F.when(F.col("_reach").isNull() | (F.col("start_index") > F.col("_reach")), F.col("start_index")))
-    return bucketed_scan(x, keys, "_b", order, {"island": ("max", "_cut")}).drop("_b", "_reach", "_cut")
+SHAPE = ["start_index", "end_index", "pivot_indices", "pivot_kinds"]
+
+
+def causal_links(ranked: DataFrame, config: PatternConfig, *, bucket: int = 128) -> DataFrame:
+    """Similar pairs of a family: ``g``, ``step`` and the earlier ``other`` still in reach, with their ``similarity``.
+
+    ``ranked`` numbers the candidates of each group ``g`` (run and family) in causal order. Shapes meet in buckets of bars, and a
+    pair counts in the bucket of its first shared bar only, so the work grows with the shapes that overlap.
+    """
+    cover = F.explode(F.sequence(F.floor(F.col("start_index") / bucket), F.floor(F.col("end_index") / bucket))).alias("_b")
+    shape = F.struct(*SHAPE)
+    me = ranked.select("g", "step", "available_at_index", shape.alias("b"), cover)
+    other = ranked.select("g", F.col("step").alias("other"), shape.alias("a"), cover)
+    met = me.join(other, ["g", "_b"]).filter(
+        (F.col("other") < F.col("step")) & (F.col("a.end_index") >= F.col("b.start_index"))
+        & (F.col("a.end_index") >= F.col("available_at_index") - config.warmup_bars)
+        & (F.col("_b") == F.floor(F.greatest(F.col("a.start_index"), F.col("b.start_index")) / bucket)))
+    return pair_parts(met.withColumn("pattern_name", F.col("g.pattern_name")), config).filter("similarity > 0").select("g", "step", "other", "similarity")
+
+
+def first_members(ranked: DataFrame, links: DataFrame, *, chunk: int = 2048) -> DataFrame:
+    """``g``, ``step`` of the first members: candidates without a link to an earlier first member.
+
+    The rule is sequential, but short of memory: what a chunk of candidates decides depends on the first members just before it
+    only. All chunks decide at once as if nothing came before; a chunk whose predecessors then turn out to hold first members
+    it is linked with, or no longer does, decides again, until nothing changes. After round r at least the first r chunks of every
+    group are final, so the result is that of the walk in order. A chunk is folded in the JVM.
+    """
+    number = lambda c: F.floor(F.col(c) / chunk).cast("long")
+    back = links.groupBy("g", "step").agg(F.collect_list("other").alias("back"))
+    none = F.array().cast("array<bigint>")
+    rows = ranked.select("g", "step").join(back, ["g", "step"], "left").select("g", "step", F.coalesce("back", none).alias("back"), number("step").alias("chunk"))
+    rows = written(rows.groupBy("g", "chunk").agg(F.sort_array(F.collect_list(F.struct("step", "back"))).alias("rows")), "walk")
+    outside = written(links.select("g", number("step").alias("chunk"), "other").filter(number("other") < F.col("chunk")).distinct(), "walk-outside")
+
+    def decide(todo: DataFrame) -> DataFrame:
+        fold = lambda held, r: F.when(F.arrays_overlap(held, r["back"]), held).otherwise(F.array_append(held, r["step"]))
+        held = F.aggregate("rows", F.col("before"), fold)
+        return todo.select("g", "chunk", "before", F.filter(held, lambda x: x >= F.col("chunk") * chunk).alias("firsts"))
+
+    now = written(decide(rows.withColumn("before", none)), "walk-decided")
+    while True:
+        firsts = now.select("g", F.explode("firsts").alias("other"))
+        seen = outside.join(firsts, ["g", "other"]).groupBy("g", "chunk").agg(F.sort_array(F.collect_list("other")).alias("seen"))
+        state = now.join(seen, ["g", "chunk"], "left").withColumn("seen", F.coalesce("seen", none))
+        changed = written(state.filter("seen != before").select("g", "chunk", F.col("seen").alias("before")), "walk-changed")
+        if not changed.head(1):
+            return firsts.withColumnRenamed("other", "step")
+        again = decide(rows.join(changed, ["g", "chunk"]))
+        now = written(now.join(changed, ["g", "chunk"], "left_anti").unionByName(again), "walk-decided")
 
 
 def cluster_candidates(candidates: DataFrame, config: PatternConfig = PatternConfig()) -> DataFrame:
-    """Causal event membership of every candidate (needs ``own_event_id``)."""
+    """Causal event membership of every candidate (needs ``own_event_id``).
+
+    In causal order each candidate joins the most similar first member in reach (ties: the earliest), or opens a new event.
+    """
     slim = candidates.select(
-        "run_id", "pattern_name", "candidate_id", "own_event_id", "start_index", "end_index", "available_at_index",
-        (-F.col("geometry_fit_score")).alias("neg_fit"), "core_length", "pivot_indices", "pivot_kinds")
-    # Islands are spread by hash and stream through sorted partitions; none is collected whole.
-    islands = spread_chunks(independent_islands(slim), *ISLAND).sortWithinPartitions(*ISLAND, *ORDER)
-    out = islands.mapInPandas(lambda frames: assign_events(frames, config), ASSIGNED)
+        F.struct("run_id", "pattern_name").alias("g"), "candidate_id", "own_event_id", (-F.col("geometry_fit_score")).alias("neg_fit"), "core_length", "available_at_index", *SHAPE)
+    ranked = written(number_series(slim, "g", ORDER), "ranked")
+    links = written(causal_links(ranked, config), "links")
+    firsts = first_members(ranked, links)
+    own = ranked.select("g", "step", "candidate_id", "own_event_id", F.col("pivot_kinds").alias("kinds"))
+    anchors = own.join(firsts, ["g", "step"], "left_semi").select("g", F.col("step").alias("other"), F.col("own_event_id").alias("event_id"), F.col("kinds").alias("first_kinds"))
+    best = links.join(anchors, ["g", "other"]).groupBy("g", "step").agg(
+        F.max_by(F.struct("event_id", "similarity", "first_kinds"), F.struct("similarity", (-F.col("other")).alias("early"))).alias("best"))
+    out = own.join(best, ["g", "step"], "left")
+    moved = F.col("g.pattern_name").isin(*NEUTRAL_PATTERNS) & (F.col("best.first_kinds") != F.col("kinds"))
+    relation = F.when(F.col("best").isNull(), "primary").when(moved, "phase_shift_extension").otherwise("same_structure_view")
+    out = out.select(F.col("g.run_id").alias("run_id"), "candidate_id", F.coalesce("best.event_id", "own_event_id").alias("event_id"), F.col("best").isNull().alias("is_primary"),
+                     F.col("best.similarity").alias("anchor_similarity"), relation.alias("relation"))
     return candidates.join(out, ["run_id", "candidate_id"])
 
 

@@ -24,7 +24,7 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = stored(spark, ("events", sf_dir), build)
     half = 0.0005 * (1 + F.col("user_id") % 3)
     price = F.col("value") + 1.0
-    walk = 100.0 * F.exp(0.0002 * F.col("drift"))
+    walk = F.round(100.0 * F.exp(0.0002 * F.col("drift")), 9)  # the last bit of exp differs between engines
     return (
         base.withColumns({
             "half_spread": half,

@@ -61,23 +61,71 @@ def test_chunk_length_does_not_matter(bars):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def common_run(a, b, tolerance):
+    """Longest common subsequence of (place, kind) lists by its full table."""
+    table = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, (x, kx) in enumerate(a):
+        for j, (y, ky) in enumerate(b):
+            met = kx == ky and abs(x - y) <= tolerance
+            table[i + 1, j + 1] = table[i, j] + 1 if met else max(table[i, j + 1], table[i + 1, j])
+    return table[-1, -1]
+
+
+def likeness(a, b, neutral):
+    """Similarity of two candidates (rows) by its definition: 0 when bars or pivots agree too little."""
+    bars_a, bars_b = (set(range(r.start_index, r.end_index + 1)) for r in (a, b))
+    shared = len(bars_a & bars_b) / min(len(bars_a), len(bars_b))
+    pa, pb = (list(zip(r.pivot_indices, r.pivot_kinds)) for r in (a, b))
+    if neutral:
+        pivots = common_run(pa, pb, CONFIG.cluster_pivot_tolerance) / min(len(pa), len(pb))
+    else:
+        same = [k for _, k in pa] == [k for _, k in pb]
+        pivots = np.mean([abs(x - y) <= CONFIG.cluster_pivot_tolerance for (x, _), (y, _) in zip(pa, pb)]) if same else 0.0
+    least = CONFIG.cluster_min_pivot_match_neutral if neutral else CONFIG.cluster_min_pivot_match
+    span = max(1, min(len(bars_a), len(bars_b)) - 1)
+    gap = abs(np.mean([a.start_index, a.end_index]) - np.mean([b.start_index, b.end_index]))
+    centre = max(0.0, 1 - gap / max(1.0, CONFIG.cluster_center_tolerance * span))
+    return np.dot([shared, pivots, centre], list(D.SIMILARITY_WEIGHTS.values())) if shared >= CONFIG.cluster_min_overlap and pivots >= least else 0.0
+
+
 def test_clusters_equal_one_sequential_pass(found):
     pdf = found.candidates.withColumn("neg_fit", -F.col("geometry_fit_score")).toPandas()
+    seen = 0
     for (run, name), g in pdf.groupby(["run_id", "pattern_name"]):
-        primaries, want = [], {}
+        firsts = []
         for r in g.sort_values(D.ORDER).itertuples():
-            me = {"start": r.start_index, "end": r.end_index, "pivots": list(r.pivot_indices), "kinds": list(r.pivot_kinds)}
-            best, score = None, 0.0
-            for p in primaries:
-                s = D.similarity(p, me, name in NEUTRAL_PATTERNS, CONFIG)
-                if s > score:
-                    best, score = p, s
-            if best is None:
-                primaries.append(me | {"event": r.own_event_id})
-                want[r.candidate_id] = r.own_event_id
+            scores = [likeness(p, r, name in NEUTRAL_PATTERNS) for p in firsts]
+            if not scores or max(scores) == 0:
+                firsts.append(r)
+                assert r.is_primary and r.event_id == r.own_event_id and r.relation == "primary"
             else:
-                want[r.candidate_id] = best["event"]
-        assert dict(zip(g.candidate_id, g.event_id)) == want
+                anchor = firsts[int(np.argmax(scores))]
+                assert (r.is_primary, r.event_id) == (False, anchor.own_event_id) and r.anchor_similarity == pytest.approx(max(scores), abs=1e-12)
+                moved = name in NEUTRAL_PATTERNS and list(anchor.pivot_kinds) != list(r.pivot_kinds)
+                assert r.relation == ("phase_shift_extension" if moved else "same_structure_view")
+                seen += 1
+    assert seen > 20
+
+
+def first_by_walk(n, links):
+    back, firsts = {}, set()
+    for step, other in links:
+        back.setdefault(step, []).append(other)
+    for step in range(n):
+        if not firsts.intersection(back.get(step, ())):
+            firsts.add(step)
+    return firsts
+
+
+@pytest.mark.parametrize("n, reach, each, chunk", [(300, 9, 3, 7), (300, 1, 1, 16), (2_000, 40, 2, 64), (100_000, 60, 4, 2048)])
+def test_first_members_of_one_long_island(spark, n, reach, each, chunk):
+    """Every candidate is linked with some just before it, so nothing cuts the island; chunks decide at once and agree with the walk."""
+    rng = np.random.default_rng(n + reach)
+    links = sorted({(i, int(i - d)) for i in range(1, n) for d in rng.integers(1, reach + 1, each) if d <= i})
+    ranked = spark.range(n).select(F.lit("g").alias("g"), F.col("id").alias("step"))
+    table = spark.createDataFrame(__import__("pandas").DataFrame(links, columns=["step", "other"])).withColumn("g", F.lit("g"))
+    got = {r.step for r in D.first_members(ranked, table, chunk=chunk).collect()}
+    assert got == first_by_walk(n, links)
 
 
 def test_row_order_does_not_change_clusters(spark, found):
@@ -87,12 +135,23 @@ def test_row_order_does_not_change_clusters(spark, found):
     assert pick(again) == pick(found.candidates)
 
 
-def test_pivot_agreement():
-    a = {"pivots": [10, 20, 30], "kinds": ["max", "min", "max"]}
-    assert D.pivot_agreement(a, {"pivots": [11, 22, 33], "kinds": ["max", "min", "max"]}, 2, False) == pytest.approx(2 / 3)
-    assert D.pivot_agreement(a, {"pivots": [11, 22, 33], "kinds": ["min", "max", "min"]}, 2, False) == 0.0
-    shifted = {"pivots": [20, 30, 40], "kinds": ["min", "max", "min"]}
-    assert D.pivot_agreement(a, shifted, 2, True) == pytest.approx(2 / 3)
+def test_pivot_agreement(spark):
+    rng = np.random.default_rng(8)
+    rows = [([10, 20, 30], ["max", "min", "max"], [11, 22, 33], ["max", "min", "max"]), ([10, 20, 30], ["max", "min", "max"], [11, 22, 33], ["min", "max", "min"]),
+            ([10, 20, 30], ["max", "min", "max"], [20, 30, 40], ["min", "max", "min"])]
+    for _ in range(200):
+        sides = []
+        for _ in range(2):
+            n = int(rng.integers(1, 7))
+            sides += [sorted(rng.integers(0, 20, n).tolist()), rng.choice(["max", "min"], n).tolist()]
+        rows.append(tuple(sides))
+    df = spark.createDataFrame(rows, "a array<long>, ka array<string>, b array<long>, kb array<string>")
+    args = [F.col(c) for c in ("a", "b", "ka", "kb")]
+    got = df.select("*", D.placed_agreement(*args, 2).alias("placed"), D.ordered_agreement(*args, 2).alias("ordered")).collect()
+    assert (got[0].placed, got[1].placed, got[2].ordered) == pytest.approx((2 / 3, 0.0, 2 / 3))
+    for r in got:
+        run = common_run(list(zip(r.a, r.ka)), list(zip(r.b, r.kb)), 2)
+        assert r.ordered == pytest.approx(run / min(len(r.a), len(r.b)))
 
 
 def test_wick_refinement_and_context_by_hand(bars, found):

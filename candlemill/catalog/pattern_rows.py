@@ -33,7 +33,8 @@ def matched(s, d) -> DataFrame:
     return stored(s, ("matched", d), lambda: M.match_patterns(windows(s, d), ALL))
 
 
-SCALE = F.col("core_length").cast("long").alias("core_length")
+def scale():
+    return F.col("core_length").cast("long").alias("core_length")
 
 
 def _scales() -> str:
@@ -83,7 +84,7 @@ k2 AS (SELECT core, b, i, j, k * (m2 - m1 * d) / (m0 * m2 - m1 * m1) AS w FROM k
 wt AS MATERIALIZED (SELECT core, b, i, j, w / sum(w) OVER (PARTITION BY core, b, i) AS w FROM k2),
 wn AS MATERIALIZED (SELECT e.run_id, e.core, e.bar_index AS we, r.bar_index - e.bar_index + e.ob - 1 AS j, r.x FROM rl e
   JOIN rl r ON r.run_id = e.run_id AND r.bar_index BETWEEN e.bar_index - e.ob + 1 AND e.bar_index WHERE e.bar_index >= e.ob - 1),
-cv AS (SELECT run_id, we, i, b, sum(x * w) AS v FROM wn JOIN wt ON wt.core = wn.core AND wt.j = wn.j GROUP BY ALL),
+cv AS (SELECT run_id, we, i, b, sum(x * w) AS v FROM wn JOIN wt ON wt.core = wn.core AND wt.j = wn.j WHERE abs(w) > 1e-17 GROUP BY ALL),
 sm AS MATERIALIZED (SELECT run_id, we, i, median(v) AS v FROM cv GROUP BY ALL),
 rs AS MATERIALIZED (SELECT sm.run_id, sm.we, sm.i, sm.v, wn.x, wn.x - sm.v AS res FROM sm JOIN wn ON wn.run_id = sm.run_id AND wn.we = sm.we AND wn.j = sm.i),
 rmd AS (SELECT run_id, we, median(res) AS md FROM rs GROUP BY 1, 2),
@@ -91,13 +92,13 @@ nz AS MATERIALIZED (SELECT rs.run_id, rs.we, 1.4826::DOUBLE * median(abs(res - m
 
 add(
     "PAT2_local_linear_smoother",
-    lambda s, d: SM.smoothed_windows(V.walk_bars(s, d), ALL).select("run_id", SCALE, "window_end", r6("smooth_middle", digits=8), r6("smooth_end", digits=8)),
+    lambda s, d: SM.smoothed_windows(V.walk_bars(s, d), ALL).select("run_id", scale(), "window_end", r6("smooth_middle", digits=8), r6("smooth_end", digits=8)),
     f"""WITH {SMOOTH} SELECT {_key("sm")}, we AS window_end, round(max(CASE WHEN i = ob // 2 THEN v END), 8) AS smooth_middle,
     round(max(CASE WHEN i = ob - 1 THEN v END), 8) AS smooth_end FROM sm {_with_scale("sm")} GROUP BY 1, 2, 3""",
 )
 add(
     "PAT3_residual_noise",
-    lambda s, d: SM.smoothed_windows(V.walk_bars(s, d), ALL).select("run_id", SCALE, "window_end", r6("noise", digits=8)),
+    lambda s, d: SM.smoothed_windows(V.walk_bars(s, d), ALL).select("run_id", scale(), "window_end", r6("noise", digits=8)),
     f"WITH {SMOOTH} SELECT {_key('nz')}, we AS window_end, round(noise, 8) AS noise FROM nz",
 )
 
@@ -133,14 +134,14 @@ def _pivot_text(part):
 
 add(
     "PAT4_pivot_prominence",
-    lambda s, d: windows(s, d).select("run_id", SCALE, "window_end", F.explode("pivots").alias("p")).select(
+    lambda s, d: windows(s, d).select("run_id", scale(), "window_end", F.explode("pivots").alias("p")).select(
         "run_id", "core_length", "window_end", F.col("p.idx").cast("long").alias("idx"), r6("prominence", F.col("p.prominence"), 8)),
     f"WITH RECURSIVE {PIVOTS} SELECT {_key('pv0')}, we AS window_end, i AS idx, round(pr, 8) AS prominence FROM pv0",
 )
 add(
     "PAT5_pivot_sequences",
     lambda s, d: windows(s, d).filter(F.size("pivots") > 0).select(
-        "run_id", SCALE, "window_end", F.size("pivots").cast("long").alias("n"),
+        "run_id", scale(), "window_end", F.size("pivots").cast("long").alias("n"),
         _pivot_text(lambda p: p["idx"].cast("string")).alias("idx"), _pivot_text(lambda p: p["raw_idx"].cast("string")).alias("raw_idx"),
         _pivot_text(lambda p: F.when(p["is_max"], "1").otherwise("-1")).alias("kinds")),
     f"""WITH RECURSIVE {PIVOTS} SELECT {_key("pv0")}, we AS window_end, count(*) AS n, string_agg(i, ',' ORDER BY i) AS idx, string_agg(ri, ',' ORDER BY i) AS raw_idx,
@@ -156,8 +157,8 @@ b3 AS (SELECT * FROM bl WHERE x1 >= lead AND x3 <= last AND last - x3 <= age AND
 
 
 def _blocks(s, d):
-    five = M.pivot_blocks(windows(s, d), 5, ALL).select("run_id", SCALE, "window_end", F.lit(5).alias("size"), F.col("p1.idx").alias("first"), F.col("p5.idx").alias("last"))
-    three = M.pivot_blocks(windows(s, d), 3, ALL).select("run_id", SCALE, "window_end", F.lit(3).alias("size"), F.col("p1.idx").alias("first"), F.col("p3.idx").alias("last"))
+    five = M.pivot_blocks(windows(s, d), 5, ALL).select("run_id", scale(), "window_end", F.lit(5).alias("size"), F.col("p1.idx").alias("first"), F.col("p5.idx").alias("last"))
+    three = M.pivot_blocks(windows(s, d), 3, ALL).select("run_id", scale(), "window_end", F.lit(3).alias("size"), F.col("p1.idx").alias("first"), F.col("p3.idx").alias("last"))
     return five.unionByName(three).withColumns({c: F.col(c).cast("long") for c in ("size", "first", "last")})
 
 
@@ -213,13 +214,13 @@ mc AS MATERIALIZED (SELECT m.*, greatest(1e-10, 2*noise) AS thr FROM m JOIN nz O
 
 add(
     "PAT7_boundary_line_fit",
-    lambda s, d: wide5(s, d).select("run_id", SCALE, "window_end", F.col("p1.idx").cast("long").alias("first"),
+    lambda s, d: wide5(s, d).select("run_id", scale(), "window_end", F.col("p1.idx").cast("long").alias("first"),
                                     r6("slope", F.col("odd_slope"), 8), r6("icpt", F.col("odd_icpt"), 7), r6("r2", F.col("odd_r2"), 5), r6("nrmse", F.col("odd_nrmse"))),
     f'''WITH RECURSIVE {GEO} SELECT {_key("g5")}, we AS window_end, x1 AS first, round(os, 8) AS slope, round(oi, 7) AS icpt, round("or", 5) AS r2, round(oe, 6) AS nrmse FROM g5''',
 )
 add(
     "PAT8_time_symmetry",
-    lambda s, d: wide5(s, d).select("run_id", SCALE, "window_end", F.col("p1.idx").cast("long").alias("first"), r6("score", F.col("time_score")), r6("ratio", F.col("asym"))),
+    lambda s, d: wide5(s, d).select("run_id", scale(), "window_end", F.col("p1.idx").cast("long").alias("first"), r6("score", F.col("time_score")), r6("ratio", F.col("asym"))),
     f"WITH RECURSIVE {GEO} SELECT {_key('g5')}, we AS window_end, x1 AS first, round(tsc, 6) AS score, round(asy, 6) AS ratio FROM g5",
 )
 
@@ -228,7 +229,7 @@ def _family(name: str, names: tuple[str, ...]) -> None:
     listed = ", ".join(f"'{n}'" for n in names)
     add(name,
         lambda s, d: matched(s, d).filter(F.col("pattern_name").isin(*names)).select(
-            "run_id", SCALE, "window_end", "pattern_name", F.col("block")[0]["idx"].cast("long").alias("first"), r6("pattern_height"), r6("fit", F.col("geometry_fit_score"))),
+            "run_id", scale(), "window_end", "pattern_name", F.col("block")[0]["idx"].cast("long").alias("first"), r6("pattern_height"), r6("fit", F.col("geometry_fit_score"))),
         f"""WITH RECURSIVE {GEO} SELECT {_key("mc")}, we AS window_end, pattern_name, x1 AS first, round(pattern_height, 6) AS pattern_height,
         round(greatest(0, least(1, fit)), 6) AS fit FROM mc WHERE pattern_name IN ({listed})""")
 
@@ -241,17 +242,17 @@ _family("PAT13_double_top_bottom", ("double_top", "double_bottom"))
 _family("PAT14_all_families", PATTERN_NAMES)
 add(
     "PAT15_height_and_age_filter",
-    lambda s, d: matched(s, d).groupBy("run_id", SCALE, "pattern_name").agg(
+    lambda s, d: matched(s, d).groupBy("run_id", scale(), "pattern_name").agg(
         F.count(F.lit(1)).alias("n"), r6("min_over_threshold", F.min(F.col("pattern_height") / F.col("pattern_height_threshold")), 5),
         F.max(M.by_core(ALL, ALL.context) + F.col("core_length") - 1 - F.element_at("block", -1)["idx"]).cast("long").alias("max_age")),
     f"""WITH RECURSIVE {GEO} SELECT {_key("mc")}, pattern_name, count(*) AS n, round(min(pattern_height / thr), 5) AS min_over_threshold, max(last - xe) AS max_age FROM mc GROUP BY 1, 2, 3""",
 )
 BREAKS = """
-    bt AS (SELECT mc.*, wn.j AS t, wn.x AS val, usl*wn.j+uin AS up, lsl*wn.j+lin AS lo FROM mc JOIN wn ON wn.run_id=mc.run_id AND wn.we=mc.we AND wn.j>mc.xe),
+    bt AS MATERIALIZED (SELECT mc.*, wn.j AS t, wn.x AS val, usl*wn.j+uin AS up, lsl*wn.j+lin AS lo FROM mc JOIN wn ON wn.run_id=mc.run_id AND wn.we=mc.we AND wn.j>mc.xe),
     bs AS (SELECT *, CASE WHEN rule='down' THEN CASE WHEN val<lo THEN -1 ELSE 0 END WHEN rule='up' THEN CASE WHEN val>up THEN 1 ELSE 0 END
        WHEN rule='converging' AND (t+1e-9>=apex OR up<=lo) THEN 2 WHEN rule='expanding' AND up<=lo THEN 0 WHEN val>up THEN 1 WHEN val<lo THEN -1 ELSE 0 END AS st FROM bt),
     bf AS (SELECT *, row_number() OVER (PARTITION BY run_id, we, pattern_name, x1 ORDER BY t) AS k FROM bs WHERE st<>0),
-    hit AS (SELECT * FROM bf WHERE k=1 AND st<>2),
+    hit AS MATERIALIZED (SELECT * FROM bf WHERE k=1 AND st<>2),
     dd AS (SELECT hit.run_id, hit.we, pattern_name, x1, a.x-b.x AS df FROM hit JOIN wn a ON a.run_id=hit.run_id AND a.we=hit.we AND a.j BETWEEN greatest(0,t-10)+1 AND t JOIN wn b ON b.run_id=a.run_id AND b.we=a.we AND b.j=a.j-1),
     dm AS (SELECT *, median(df) OVER (PARTITION BY run_id, we, pattern_name, x1) AS md FROM dd),
     sg AS (SELECT run_id, we, pattern_name, x1, 1.4826*median(abs(df-md)) AS sigma FROM dm GROUP BY 1,2,3,4)"""
@@ -259,7 +260,7 @@ BREAKS = """
 add(
     "PAT16_breakouts",
     lambda s, d: M.find_breakouts(matched(s, d), ALL).select(
-        "run_id", SCALE, "window_end", "pattern_name", F.col("block")[0]["idx"].cast("long").alias("first"), "breakout_confirmed", "breakout_direction",
+        "run_id", scale(), "window_end", "pattern_name", F.col("block")[0]["idx"].cast("long").alias("first"), "breakout_confirmed", "breakout_direction",
         "breakout_index", r6("breakout_strength_height"), r6("breakout_strength_volatility", digits=5)),
     f"""WITH RECURSIVE {GEO}, {BREAKS}
     SELECT {_key("mc")}, mc.we AS window_end, mc.pattern_name, mc.x1 AS first, hit.t IS NOT NULL AS breakout_confirmed, CASE hit.st WHEN 1 THEN 'bullish' WHEN -1 THEN 'bearish' END AS breakout_direction,

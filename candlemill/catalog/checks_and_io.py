@@ -226,8 +226,17 @@ def manifest_path(s, d) -> str:
     return once(s, d, "manifest", write)
 
 
-add("SRC4_dataset_manifest",
-    lambda s, d: R.manifest_mismatch(R.read_manifest(s, manifest_path(s, d)), V.table(s, d, "supplier").filter("s_suppkey % 8 <> 0").select(F.col("s_name").alias("run_id"))),
+def undeclared(s, d) -> DataFrame:
+    """Files named where the manifest would look for them, against what it declares; shown by their base names."""
+    at = manifest_path(s, d)
+    declared = R.read_manifest(s, at)
+    beside = s.read.text(at).select(F.col("_metadata.file_path").alias("m")).limit(1)
+    files = V.table(s, d, "supplier").filter("s_suppkey % 8 <> 0").select(F.col("s_name").alias("path")).crossJoin(F.broadcast(beside))
+    found = R.manifest_mismatch(declared, files.select(R.declared_key(F.col("path"), F.col("m")).alias("run_id")))
+    return found.withColumn("run_id", F.element_at(F.split("run_id", "/"), -1))
+
+
+add("SRC4_dataset_manifest", undeclared,
     """SELECT s_name AS run_id, 'undeclared file' AS problem FROM supplier WHERE s_suppkey % 8 <> 0 AND s_name LIKE '%3'
     UNION ALL SELECT s_name, 'declared file is missing' FROM supplier WHERE s_suppkey % 8 = 0 AND s_name NOT LIKE '%3'""")
 

@@ -214,8 +214,9 @@ def catalog_problems(structures: DataFrame, runs: DataFrame, rows: DataFrame) ->
 
 def changed_files(spark, catalog: DataFrame, folder: str) -> DataFrame:
     """Files whose bytes or hash differ from the catalog, or that are missing."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("now_bytes"), F.sha2("content", 256).alias("now_sha256"))
+    from candlemill.sinks.files import artifact_table
+
+    f = artifact_table(spark, folder).withColumnsRenamed({"bytes": "now_bytes", "sha256": "now_sha256"})
     return catalog.join(f, "file_name", "left").filter(
         ~F.col("now_bytes").eqNullSafe(F.col("bytes")) | ~F.col("now_sha256").eqNullSafe(F.col("sha256")))
 

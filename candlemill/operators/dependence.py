@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from candlemill.sources.series import written
+from candlemill.functions.windows import bucketed_scan
+from candlemill.sources.series import ordered, written
 
 
 def overlap_pairs(windows: DataFrame, embargo: float, *, width: float) -> DataFrame:
@@ -26,11 +27,13 @@ def overlap_pairs(windows: DataFrame, embargo: float, *, width: float) -> DataFr
 
 
 def interval_islands(windows: DataFrame, embargo: float) -> DataFrame:
-    """Transitive clusters of overlapping windows: a running maximum of ends, one row per dataset."""
-    w = Window.orderBy("start", "end", "dataset_id")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = windows.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + embargo), 1).otherwise(0))
-    return x.withColumn("cluster", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
+    """Transitive clusters of overlapping windows: a running maximum of ends over ranges of equal row numbers."""
+    place = ["_pos"]
+    x = ordered(windows, ["start", "end", "dataset_id"])
+    x = bucketed_scan(x, [], "_pid", place, {"_reach": ("max", "end")}, exclusive=True)
+    x = x.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + embargo), 1).otherwise(0))
+    x = bucketed_scan(x, [], "_pid", place, {"cluster": ("sum", "_new")})
+    return x.withColumn("cluster", F.col("cluster") - 1).drop("_pid", "_pos", "_reach", "_new")
 
 
 def dependence_clusters(windows: DataFrame, embargo: float) -> DataFrame:
@@ -49,6 +52,6 @@ def dependence_clusters(windows: DataFrame, embargo: float) -> DataFrame:
         x = z.drop("_moved")
         if not moved:
             break
-    order = Window.orderBy("first_seen")
-    names = x.groupBy("label").agg(F.min("input_order").alias("first_seen")).withColumn("cluster_id", F.row_number().over(order) - 1)
-    return x.drop("cluster").join(names.select("label", "cluster_id"), "label").drop("label")
+    names = ordered(x.groupBy("label").agg(F.min("input_order").alias("first_seen")), ["first_seen"]).withColumn("_one", F.lit(1))
+    names = bucketed_scan(names, [], "_pid", ["_pos"], {"cluster_id": ("sum", "_one")}).select("label", (F.col("cluster_id") - 1).alias("cluster_id"))
+    return x.drop("cluster").join(names, "label").drop("label")

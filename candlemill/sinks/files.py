@@ -90,10 +90,17 @@ def dataset_manifest(rows: DataFrame, runs: DataFrame, splits: DataFrame, contra
     return b.join(a, "split", "left").withColumns({"rows": F.coalesce("rows", F.lit(0).cast("long")), "dataset_id": F.lit(identity)})
 
 
+def name_below(folder: str, path: Column) -> Column:
+    """Path of a file below ``folder``, so that equal names in two sub-folders stay apart and a moved folder keeps its names."""
+    root = F.regexp_replace(F.lit(folder.rstrip("/")), "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*", "/")
+    whole = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?/*", "/")
+    return F.when(whole == root, F.element_at(F.split(whole, "/"), -1)).otherwise(F.substr(whole, F.char_length(root) + 2))
+
+
 def artifact_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Every file below a folder with its size and sha256."""
+    """Every file below a folder, by its path below it, with its size and sha256."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        name_below(folder, F.col("path")).alias("file_name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def transfer_hypotheses(selected: DataFrame, extra: Mapping[str, str] | None = None) -> DataFrame:
@@ -140,5 +147,5 @@ def value_identity(bars: DataFrame) -> DataFrame:
 def file_identity(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Identity of files from their bytes."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("file_name"),
+    return f.select(name_below(folder, F.col("path")).alias("file_name"),
                     F.concat(F.lit("REAL-"), F.substring(F.sha2("content", 256), 1, 20)).alias("dataset_id"))

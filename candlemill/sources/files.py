@@ -37,6 +37,18 @@ def _number(name: str) -> Column:
     return F.trim(_raw(name)).try_cast("double")
 
 
+def file_key(path: Column) -> Column:
+    """One spelling of a file's full path: the key of a file wherever it is named, read or declared."""
+    return F.regexp_replace(F.regexp_replace(F.replace(path, F.lit("%20"), F.lit(" ")), "^file:/+", "file:/"), r"/(\./)+", "/")
+
+
+def declared_key(path: Column, manifest: Column) -> Column:
+    """Key of a declared file: full paths as they are, others in the store or the folder of the manifest that declares them."""
+    folder = F.regexp_replace(manifest, "[^/]*$", "")
+    store = F.regexp_extract(manifest, "^([A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)", 1)
+    return file_key(F.when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), path).when(path.startswith("/"), F.concat(store, path)).otherwise(F.concat(folder, path)))
+
+
 def read_ohlcv(
     spark: SparkSession, path: str, *, price_basis: str = "raw", fallback_spread_bps: float = 5.0,
     run_column: str | None = None,
@@ -81,7 +93,7 @@ def _one_header(spark: SparkSession, files: list[str], price_basis: str, fallbac
     # Only texts with a zone are times; everything else becomes NULL.
     zoned = time.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
     columns = [
-        (_raw(run_column) if run_column else F.col("_metadata.file_path")).alias("run_id"),
+        (_raw(run_column) if run_column else file_key(F.col("_metadata.file_path"))).alias("run_id"),
         F.when(zoned, time.try_cast("timestamp")).alias("ts"),
         *[_number(c).alias(n) for n, c in ohlc.items()],
         (_number(volume) if volume else F.lit(0.0)).alias("volume"),
@@ -133,11 +145,12 @@ SPEC = T.StructType([T.StructField(n, T.StringType()) for n in (
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Dataset declarations of a manifest file, one row per file name, with policy defaults."""
+    """Dataset declarations of manifest files, with policy defaults. ``run_id`` is the declared file's full path, as
+    ``read_ohlcv`` names its runs: equal base names in two folders stay apart."""
     shape = T.StructType([T.StructField("datasets", T.ArrayType(SPEC))])
-    d = spark.read.schema(shape).option("multiLine", True).json(path).select(F.explode("datasets").alias("d")).select("d.*")
-    return d.withColumns({
-        "run_id": F.element_at(F.split("path", "/"), -1),
+    read = spark.read.schema(shape).option("multiLine", True).json(path)
+    d = read.select(F.col("_metadata.file_path").alias("_manifest"), F.explode("datasets").alias("d")).select("_manifest", "d.*")
+    return d.withColumn("run_id", declared_key(F.col("path"), F.col("_manifest"))).drop("_manifest").withColumns({
         "session_policy": F.coalesce("session_policy", F.lit("continuous")),
         "timestamp_semantics": F.coalesce("timestamp_semantics", F.lit("bar_open")),
     })

@@ -330,7 +330,7 @@ def primary(s, d):
     cmp = C.ranking_metrics(x, ["model"]).join(C.threshold_metrics(x, 0.5, ["model"]), "model").join(
         x.groupBy("model").agg(F.avg("net_directional_return").alias("validation_mean_run_net_return_points"), F.avg("probability").alias("uplift_p_value")), "model")
     cmp = cmp.withColumnsRenamed({"roc_auc": "validation_roc_auc", "brier_score": "validation_brier_score"})
-    return C.choose_primary(cmp).select("model", r6("validation_brier_score"), "primary_model", r6("confirmatory_p_value"))
+    return C.choose_primary(cmp).select("model", r6("validation_brier_score", digits=7), "primary_model", r6("confirmatory_p_value"))
 
 
 add("CLS12_primary_model", primary,
@@ -339,7 +339,7 @@ add("CLS12_primary_model", primary,
     r AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0::DOUBLE AS r FROM x),
     m AS (SELECT model, (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y)))::DOUBLE AS auc, avg(power(p - y, 2)) AS br, avg(p) AS pv FROM r GROUP BY 1),
     k AS (SELECT *, row_number() OVER (ORDER BY auc DESC, br, model) = 1 AS primary_model FROM m)
-    SELECT model, round(br, 6) AS validation_brier_score, primary_model, round(CASE WHEN primary_model THEN least(1, 2 * pv) END, 6) AS confirmatory_p_value FROM k""")
+    SELECT model, round(br, 7) AS validation_brier_score, primary_model, round(CASE WHEN primary_model THEN least(1, 2 * pv) END, 6) AS confirmatory_p_value FROM k""")
 add("CLS13_scorer_comparison",
     lambda s, d: C.compare_scorers(scores(s, d).withColumns({"a": F.col("probability"), "b": F.least(F.lit(1.0), F.col("probability") * 1.05 + 0.001)}), "a", "b").select(
         r6("probability_mae", digits=8), r6("log_loss_difference", digits=7), r6("brier_difference", digits=8), r6("ece_difference", digits=8), "accepted"),

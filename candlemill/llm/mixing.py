@@ -98,17 +98,11 @@ def _fit(source: pd.DataFrame) -> pd.DataFrame:
         "source": source["source"], "size": source["size"], "source_size": whole, "target": float(target), "passes": passes, "extra": extra})
 
 
-def mix(
+def _mixed(
     docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[float] = WEIGHTS,
     share: float = 1.5, most: float = 2.0, seed: int = 7, length: Column | None = None,
 ) -> DataFrame:
-    """All rows of ``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (size * copies).
-
-    Null texts and texts without words have size 0 and are never taken (copies is the whole number of passes).
-    Null sources form one source, the last. Repeated rows count and are picked one by one; rows that agree in
-    id, source and length are interchangeable, so that a rerun gives the same result. Columns of these names
-    in ``docs`` are replaced. An empty table gives an empty result.
-    """
+    """The rows of ``docs``, packed, with ``size``, ``source_size``, ``target`` and ``copies``."""
     base = pack(
         docs, source=F.col(source), size=F.coalesce(length if length is not None else n_words(F.col(text)), F.lit(0)).cast("long"),
         draw=F.xxhash64(F.col(doc_id), F.lit(seed)), id=F.col(doc_id))
@@ -123,10 +117,37 @@ def mix(
         "_row", "d.size", "d.draw", "d.id", "d.bucket", F.concat(F.lit("="), "d.source").alias("key"), "p.source_size", "p.target", "p.passes", "p.extra")
     out = bucketed_rank(out.fillna("", ["key"]), ["key", "size"], "bucket", ["draw", "id"], name="rank")
     copies = (F.col("passes") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0)).cast("long")
-    return unpack(out, docs.columns, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"), copies=copies, taken=F.col("size") * copies)
+    return out.select("_row", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """All rows of ``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (size * copies).
+
+    Null texts and texts without words have size 0 and are never taken (copies is the whole number of passes).
+    Null sources form one source, the last. Repeated rows count and are picked one by one; rows that agree in
+    id, source and length are interchangeable, so that a rerun gives the same result. Columns of these names
+    in ``docs`` are replaced. An empty table gives an empty result. Options: names of the columns ``text``, ``source`` and
+    ``doc_id``, ``weights``, ``share``, ``most``, ``seed`` and a ``length`` column in place of the number of words.
+    """
+    out = _mixed(docs, **options)
+    named = {c: F.col(c) for c in ("size", "source_size", "target", "copies")}
+    return unpack(out, docs.columns, **named, taken=F.col("size") * F.col("copies"))
+
+
+def _repeated(packed: DataFrame, columns: list[str], copies: str, size: str) -> DataFrame:
+    taken = packed.filter((F.col(copies) > 0) & (F.col(size) > 0))
+    return unpack(taken.select("_row", F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))), columns)
+
+
+def take(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as :func:`mix` takes it, with the columns of ``docs``, whatever their names.
+
+    Null texts and texts without words are never taken; an empty table gives an empty result.
+    """
+    return _repeated(_mixed(docs, **options), docs.columns, "copies", "size")
 
 
 def mixed_rows(mixed: DataFrame) -> DataFrame:
-    """The mix itself: every row as often as it was taken."""
+    """The same from the rows of :func:`mix`, without the columns it has set."""
     names = [c for c in mixed.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    return mixed.filter("copies > 0 AND size > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    return _repeated(pack(mixed, size=F.col("size"), copies=F.col("copies")), names, "copies", "size")

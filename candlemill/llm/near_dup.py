@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from candlemill.llm.columns import pack, unpack
 from candlemill.llm.components import components
 from candlemill.llm.text_arrays import mix, release, shingle_sets, sorted_groups, text_pieces, word_hashes
 from candlemill.sources.series import written
@@ -299,7 +300,7 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per
     """``docs`` with one document of each group of near-duplicates: that with the smallest id, one of repeated rows.
 
     Of unequal texts of one group that share the smallest id (or have none), that with the smallest hash stays. Wordless
-    texts all stay. Rows keep all their columns.
+    texts all stay. Rows keep all their columns, whatever their names; an empty table stays empty.
     """
     th = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     told = near_duplicates(docs, doc_id=doc_id, text=text, percent=percent, width=width)
@@ -309,14 +310,14 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per
     several = written(worded.join(several, "root").groupBy("doc_id", "th", "least").agg(F.count(F.lit(1)).alias("rows")), "near-several")
     gone = told.filter("NOT kept").select("doc_id", "th").unionByName(several.filter("th != least").select("doc_id", "th")).distinct()
     twice = several.filter("th = least AND rows > 1").select("doc_id", "th")
-    rows = docs.withColumn("_th", th)
+    rows = pack(docs, id=F.col(doc_id), th=th)
 
     def same(other: str) -> Column:
-        return F.col(f"d.{doc_id}").cast("long").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("d._th") == F.col(f"{other}.th"))
+        return F.col("d.id").cast("long").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("d.th") == F.col(f"{other}.th"))
 
     kept = rows.alias("d").join(gone.alias("g"), same("g"), "left_anti")
-    if not twice.head(1):
-        return kept.drop("_th")
-    once = kept.alias("d").join(twice.alias("t"), same("t"), "left_anti")
-    again = kept.alias("d").join(twice.alias("t"), same("t"), "left_semi")
-    return once.unionByName(again.dropDuplicates([doc_id, "_th"])).drop("_th")
+    if twice.head(1):
+        once = kept.alias("d").join(twice.alias("t"), same("t"), "left_anti")
+        again = kept.alias("d").join(twice.alias("t"), same("t"), "left_semi")
+        kept = once.unionByName(again.dropDuplicates(["id", "th"]))
+    return unpack(kept, docs.columns)

@@ -37,8 +37,9 @@ class WordEncoder:
     """Encodes whole texts through the tokenizers library, each distinct word once for a run of texts.
 
     For a tokenizer that drops white space and never merges across it, the ids of a text are those of its words. Plain
-    Latin words with marks behind them are further split into lower-cased word and marks, whose ids are remembered over
-    all runs. That table is emptied when it reaches ``CACHED`` entries, which costs time, never results.
+    Latin words with marks behind them are further split into word and marks, whose ids are remembered over all runs; the
+    word is lower-cased only if the tokenizer itself tells no letter and no word of its vocabulary apart by case. That table is emptied
+    when it reaches ``CACHED`` entries, which costs time, never results.
     """
 
     def __init__(self, path: str):
@@ -53,6 +54,11 @@ class WordEncoder:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        # a tokenizer that keeps case tells apart a letter, or a word of its vocabulary, from the same in lower case
+        cased = [chr(c) for c in range(0x41, 0x100)] + [t.removesuffix("</w>") for t in self.tokenizer.get_vocab()]
+        cased = [w for w in cased if w != w.lower() and _PLAIN.fullmatch(w)]
+        same = all(np.array_equal(a, b) for a, b in zip(self._ids(cased), self._ids([w.lower() for w in cased])))
+        self.fold = str.lower if same else str
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,7 +85,7 @@ class WordEncoder:
         table, rest = {}, []
         for w in words:
             bare = w.rstrip(_MARKS)
-            ids = known.get(bare.lower())
+            ids = known.get(self.fold(bare))
             mark = known.get(w[len(bare) :])
             if ids is None or mark is None or not bare:
                 rest.append(w)
@@ -90,7 +96,7 @@ class WordEncoder:
         for w in rest:
             m = _PLAIN.fullmatch(w)
             if m:
-                plain.append((w, m[1].lower(), m[2]))
+                plain.append((w, self.fold(m[1]), m[2]))
             else:
                 other.append(w)
         self._learn_parts(list({x[1] for x in plain}.difference(known)))
@@ -105,7 +111,7 @@ class WordEncoder:
         """Ids of each text of a run. Words are told apart by 64-bit hashes; only distinct ones become strings."""
         hashes, starts, ends, at, blobs, base, words = [], [], [], [np.zeros(1, np.int64)], [], 0, 0
         for _, data, offsets in text_pieces(column):
-            h, w, a, b = word_spans(data, offsets)
+            h, w, a, b = word_spans(data, offsets, self.fold is str.lower)
             hashes.append(h)
             starts.append(a + base)
             ends.append(b + base)

@@ -62,12 +62,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, at
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As ``word_hashes``, and the first byte and the end of every word."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and the first byte and the end of every word; without ``fold``, A-Z stay as they are."""
     n, none = len(data), np.zeros(0, np.int64)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
-    low = _LOWER[data]
+    low = _LOWER[data] if fold else data
     letter = ~_SPACE[low]
     begin = letter.copy()
     begin[1:] &= ~letter[:-1]

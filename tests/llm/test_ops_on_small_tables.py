@@ -123,6 +123,17 @@ def test_keep_one_does_not_mix_groups_without_an_id_of_their_own(spark):
     assert len(texts) == 5 and set(texts) > {r[1] for r in rows[:4]} and len({copy, copy + " more"} & set(texts)) == 1
 
 
+def test_the_callers_columns_survive_whatever_their_names(spark):
+    """Stages of the pipeline give back the columns of their input with its values."""
+    names = ["_th", "th", "_copy", "copies", "size", "taken", "target", "source_size", "_row", "id"]
+    df = docs(spark, CASES, extra=False).withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id"), F.lit(0))) for n in names})
+    for rows in (near_dup.keep_one(df, percent=80), mixing.take(df)):
+        assert rows.columns == df.columns and rows.count() > 0
+        assert all(r[n] == f"{n}{r.doc_id or 0}" for r in rows.collect() for n in names)
+    clash = mixing.mix(docs(spark, CASES, extra=False).withColumn("_copy", F.lit("mine")))
+    assert {r["_copy"] for r in mixing.mixed_rows(clash).collect()} == {"mine"}
+
+
 def test_screen_and_bands():
     assert (1 - 0.85**4) ** near_dup.bands_for(0.85) <= 1e-7
     sets = [np.arange(300, dtype=np.uint64) * np.uint64(7919), np.arange(12, 300, dtype=np.uint64) * np.uint64(7919)]
@@ -190,7 +201,8 @@ def test_mix_meets_targets_and_repeats(spark):
     again = mixing.mix(df.repartition(7)).collect()
     assert Counter((r.doc_id, r.size, r.taken) for r in mixed) == Counter((r.doc_id, r.size, r.taken) for r in again)
     assert mixing.mixed_rows(mixing.mix(df)).count() == sum(r.copies for r in mixed if r["size"] > 0)
-    assert mixing.mix(docs(spark, [])).count() == 0
+    assert Counter(r.doc_id for r in mixing.take(df).collect()) == Counter(i for r in mixed if r["size"] > 0 for i in [r.doc_id] * r.copies)
+    assert mixing.mix(docs(spark, [])).count() == 0 and mixing.take(docs(spark, [])).count() == 0
 
 
 # --- shards -------------------------------------------------------------------------------------------------------
@@ -269,6 +281,20 @@ def test_words_are_encoded_as_whole_texts_are():
     assert [x.tolist() for x in own.encode_all(pa.array(texts))] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_of_a_tokenizer_that_keeps_case(tmp_path):
+    """Case is folded only where the tokenizer does so itself."""
+    import pyarrow as pa
+    from tokenizers import models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"[UNK]": 0, "cat": 1, "Cat": 2, ",": 3}, unk_token="[UNK]"))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    path = str(tmp_path / "cased.json")
+    own.save(path)
+    texts = ["Cat cat cat, Cat", "cat", "CAT Cat,"]
+    assert [x.tolist() for x in repair_tokens.WordEncoder(path).encode_all(pa.array(texts))] == [own.encode(t).ids for t in texts]
+    assert repair_tokens.WordEncoder(TOKENIZER).fold is str.lower
+
+
 def test_grammar_round_trip():
     draw = np.random.default_rng(2)
     for size, vocabulary in ((0, 5), (1, 5), (5_000, 3), (20_000, 200), (300, 70_000)):
@@ -385,12 +411,14 @@ def test_a_copy_with_one_of_two_equal_values_edited_leaks(spark):
 
 
 def test_quality_on_held_out_rows(spark, sf_dir):
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     big = sf_dir.replace("sf0.001", "sf0.01")
-    model = pu_quality.train(spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet"))
+    read = lambda t: spark.read.parquet(f"{big}/{t}.parquet")
+    model = pu_quality.train(read("documents"), read("labels"))
     assert 0.6 < model.prior < 0.99
-    table = read("documents").join(read("labels"), "doc_id").withColumn("s", pu_quality.score_column(model, F.col("text"))).collect()
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    table = read("documents").join(read("labels"), "doc_id").filter(held).withColumn("s", pu_quality.score_column(model, F.col("text"))).collect()
     good, bad = [r.s for r in table if r.quality == 1], [r.s for r in table if r.quality == 0]
+    assert len(good) > 100 and len(bad) > 20
     assert np.mean([s >= 0.5 for s in good]) > 0.97 and np.mean([s < 0.5 for s in bad]) > 0.7
 
 

@@ -10,6 +10,7 @@ from candlemill.catalog.pattern_rows import ALL, PIVOTS, _key
 from candlemill.catalog.registry import add
 from candlemill.catalog.trading import EV_SQL, PROC, events, plan_sql, proc_trades
 from candlemill.models import training as M
+from candlemill.models.boosting import split_gains, tree_nodes
 from candlemill.operators import dataset as D, features as T
 from candlemill.operators.bars import build_bars
 from candlemill.session import scratch_path
@@ -40,7 +41,7 @@ def quality_rows(s, d) -> DataFrame:
 def fitted(s, d):
     key = (s.sparkContext.applicationId, d)
     if key not in _FITTED:
-        _FITTED[key] = M.train_and_select(quality_rows(s, d), NUM, CAT, "label", [0.5])
+        _FITTED[key] = M.train_and_select(quality_rows(s, d), NUM, CAT, "label", [0.5], "doc_id", rounds=64, epochs=20)
     return _FITTED[key]
 
 
@@ -109,6 +110,7 @@ def _contract(s, d):
 add("ML6_predictor_contract", _contract,
     f"""WITH {QR} SELECT count(*) AS rows, count(*) AS in_range, m AS model FROM qr, (VALUES ('logistic'), ('boosted_trees'), ('perceptron')) v(m) GROUP BY m""")
 add("ML7_importances", lambda s, d: M.importances(s, fitted(s, d)[1]["logistic"], fitted(s, d)[2].names).select("feature", r6("coefficient"), r6("magnitude")))
+add("ML7_split_gains", lambda s, d: split_gains(tree_nodes(fitted(s, d)[1]["boosted_trees"].model), fitted(s, d)[2].names).select("feature", "splits", r6("mean_gain"), r6("importance")))
 add("ML8_permutation_importance", lambda s, d: M.permutation_importance(
     fitted(s, d)[1]["logistic"], fitted(s, d)[2], quality_rows(s, d).filter("split = 'test'").withColumn("label", F.col("label").cast("double")), NUM, "doc_id", "label").select("feature", r6("auc_drop")))
 add("ML9_model_comparison", lambda s, d: fitted(s, d)[0].select("model", r6("validation_roc_auc"), r6("test_roc_auc"), r6("test_brier_score"), "primary_model"))

@@ -6,12 +6,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from candlemill.operators import classification as C, portfolio as P
+from candlemill.models.boosting import fit_boosted
+from candlemill.models.perceptron import fit_perceptron
+from candlemill.operators import classification as C
 from candlemill.operators.dataset import OUTCOMES
 from candlemill.operators.checks import check_features
 from candlemill.sources.series import number_series, written
@@ -117,15 +119,6 @@ def logistic(label: str, rows: int) -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / max(rows, 1), elasticNetParam=0.0, maxIter=100)
 
 
-def boosted_trees(label: str, seed: int = 42, rounds: int = 40, validation: str | None = None) -> GBTClassifier:
-    g = GBTClassifier(featuresCol="features", labelCol=label, maxDepth=4, stepSize=0.03, subsamplingRate=0.8, maxIter=rounds, seed=seed)
-    return g.setValidationIndicatorCol(validation) if validation else g
-
-
-def perceptron(label: str, width: int, seed: int = 42, rounds: int = 60) -> MultilayerPerceptronClassifier:
-    return MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=[width, 64, 32, 16, 2], maxIter=rounds, seed=seed)
-
-
 def predict(model, prepared: DataFrame) -> DataFrame:
     """Uniform contract: any classifier gives a ``probability`` in [0, 1] per row."""
     out = model.transform(prepared)
@@ -172,28 +165,32 @@ def permutation_importance(
     return out.withColumn("auc_drop", whole - F.col("roc_auc")).filter("feature <> ''").orderBy(F.desc("auc_drop"), "feature")
 
 
+def fit_models(
+    rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, key: str, *, seed: int = 42, rounds: int = 800, epochs: int = 60,
+) -> tuple[dict, Preparation]:
+    """Preparation and three models of the train split; boosting rounds and perceptron epochs end by the validation loss."""
+    part = lambda n: rows.filter(F.col("split") == n)
+    prep = fit_preparation(part("train"), numeric, categorical)
+    ready = lambda name: written(prep.apply(part(name).withColumn(label, F.col(label).cast("double"))).select(key, label, "features"), f"ready-{name}")
+    train, validation = ready("train"), ready("validation")
+    fits = {
+        "logistic": logistic(label, train.count()).fit(train),
+        "boosted_trees": fit_boosted(train, validation, label, seed=seed, rounds=rounds),
+        "perceptron": fit_perceptron(train, validation, label, key, seed=seed, epochs=epochs),
+    }
+    return fits, prep
+
+
 def train_and_select(
-    rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, thresholds: Sequence[float],
-    *, seed: int = 42, rounds: int = 800, steps: int = 200,
+    rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, thresholds: Sequence[float], key: str,
+    *, seed: int = 42, rounds: int = 800, epochs: int = 60,
 ) -> tuple[DataFrame, dict, Preparation]:
-    """Fit three models on train, choose by validation only, and only then read the test split.
+    """Fit three models on train, choose by validation ranking only, and only then read the test split.
 
     ``rows`` carry ``split``. Returns the comparison table, the fitted models and the preparation.
     """
-    part = lambda n: rows.filter(F.col("split") == n)
-    prep = fit_preparation(part("train"), numeric, categorical)
-    ready = lambda name: prep.apply(part(name).withColumn(label, F.col(label).cast("double")))
-    train = ready("train").cache()
-    n = train.count()
-    # boosting stops when the validation error no longer falls
-    watched = train.withColumn("_watch", F.lit(False)).unionByName(ready("validation").withColumn("_watch", F.lit(True))).cache()
-    fits = {
-        "logistic": logistic(label, n).fit(train),
-        "boosted_trees": boosted_trees(label, seed, rounds, "_watch").fit(watched),
-        "perceptron": perceptron(label, len(prep.names), seed, steps).fit(train),
-    }
-    train.unpersist()
-    watched.unpersist()
+    part = lambda n: rows.filter(F.col("split") == n)
+    fits, prep = fit_models(rows, numeric, categorical, label, key, seed=seed, rounds=rounds, epochs=epochs)
 
     def table(split: str, prefix: str) -> DataFrame:
         x = prep.apply(part(split).withColumn(label, F.col(label).cast("double")))

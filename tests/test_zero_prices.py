@@ -5,8 +5,9 @@ import math
 from pyspark.sql import functions as F
 
 from candlemill.functions.columns import divide, ln
-from candlemill.operators import features as T, signals as G
+from candlemill.operators import features as T, signals as G, trades as X
 from candlemill.functions.windows import over_halo
+from candlemill.patterns.detect import context_features
 
 
 def bars(spark):
@@ -45,3 +46,17 @@ def test_a_rise_from_zero_has_a_direction(spark):
 
     last = over_halo(bars(spark), 1, build).filter("bar_index = 4").select("mode", "signal").head()
     assert tuple(last) == ("round_resistance", -0.45)
+
+
+def test_outcomes_and_context_over_a_zero_price(spark):
+    """A bar at zero neither stops the job nor touches the rows of other bars."""
+    x = bars(spark).withColumns({"entry_mid": F.col("close"), "exit_mid": F.col("close"), "entry_spread": F.lit(0.0), "exit_spread": F.lit(0.0)})
+    got = {r["entry_index"]: r for r in X.horizon_outcomes(x, [2]).filter("direction = 1").collect()}
+    assert got[0]["gross_return"] == -0.5 and got[1]["gross_return"] == -1.0
+    assert math.isnan(got[2]["gross_return"]) and got[3]["gross_return"] == math.inf
+    moves = X.excursion_columns(F.lit(1), F.col("entry_mid"), F.col("high"), F.col("low"))
+    far = [r[0] for r in x.orderBy("bar_index").select(moves["maximum_favorable_excursion"]).collect()]
+    assert far[:2] == [0.0, 0.0] and math.isnan(far[2])
+    found = spark.createDataFrame([("a", "c", 1, 3), ("a", "d", 1, 1)], "run_id string, candidate_id string, start_index long, end_index long")
+    range_ = {r["candidate_id"]: r["pattern_mean_log_high_low_range"] for r in context_features(found, bars(spark)).collect()}
+    assert math.isnan(range_["c"]) and range_["d"] == 0.0

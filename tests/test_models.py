@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 
-from candlemill.models import boosting as B, perceptron as P
+from candlemill.models import boosting as B, perceptron as P, training as T
 
 
 def test_patience_counts_from_the_first_least_loss():
@@ -72,3 +72,13 @@ def test_boosting_is_cut_and_its_nodes_tell_the_gains(spark):
     gains = {r.feature: r for r in B.split_gains(B.tree_nodes(fit.model), ["a", "b", "c"]).collect()}
     assert sum(r.splits for r in gains.values()) == sum(n.left >= 0 for n in nodes)
     assert sum(r.importance for r in gains.values()) == pytest.approx(1.0) and max(gains, key=lambda f: gains[f].importance) == "a"
+
+
+def test_logistic_scores_in_a_session_with_job_tags(spark):
+    """Scoring tasks do not carry the session along: once it has had job tags, it cannot be serialized."""
+    own = spark.newSession()
+    own.addTag("tagged")
+    rows = own.createDataFrame([(i, float(i % 5 > 1), float(i % 7 + i % 5), "validation" if i % 3 == 0 else "train") for i in range(60)], ["id", "y", "a", "split"])
+    fits, prep = T.fit_models(rows, ["a"], [], "y", "id", rounds=1, epochs=1)
+    scored = T.predict(fits["logistic"], prep.apply(rows)).repartition(3, "id").select("id", "probability").collect()
+    assert len(scored) == 60 and all(0 < r.probability < 1 for r in scored)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from candlemill.llm.text_arrays import release, text_pieces, word_spans
+from candlemill.llm.text_arrays import _LOWER, release, text_pieces, word_spans
 
 BLOCK = 1 << 19
 ROUNDS = 6
@@ -29,15 +29,16 @@ CACHED = 1_500_000
 # --- tokenizing ---------------------------------------------------------------------------------------------------
 
 _MARKS = ".,;:!?|$%&#*"
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([" + re.escape(_MARKS) + "]*)")
-AT_ONCE = 8 << 20  # bytes of text whose words are learnt together
+_MARK_BYTES = np.isin(np.arange(256), np.frombuffer(_MARKS.encode(), np.uint8))
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+AT_ONCE = 16 << 20  # bytes of text whose words are learnt together
 
 
 class WordEncoder:
     """Encodes whole texts through the tokenizers library, each distinct word once for a run of texts.
 
     For a tokenizer that drops white space and never merges across it, the ids of a text are those of its words. Plain
-    Latin words with marks behind them are further split into word and marks, whose ids are remembered over all runs; the
+    Latin words are parted from the marks behind them, and their ids are remembered over all runs; the
     word is lower-cased only if the tokenizer itself tells no letter and no word of its vocabulary apart by case. That table is emptied
     when it reaches ``CACHED`` entries, which costs time, never results.
     """
@@ -59,6 +60,8 @@ class WordEncoder:
         cased = [w for w in cased if w != w.lower() and _PLAIN.fullmatch(w)]
         same = all(np.array_equal(a, b) for a, b in zip(self._ids(cased), self._ids([w.lower() for w in cased])))
         self.fold = str.lower if same else str
+        # added tokens are found in the text before it is lower-cased
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,41 +80,34 @@ class WordEncoder:
                 else:
                     self.parts.update((w, p.tobytes()) for w, p in zip(group, self._ids(group)))
 
-    def _table(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of distinct words."""
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the distinct words."""
         if len(self.parts) > CACHED:
             self.parts = {"": b""}
         known = self.parts
-        table, rest = {}, []
-        for w in words:
-            bare = w.rstrip(_MARKS)
-            ids = known.get(self.fold(bare))
-            mark = known.get(w[len(bare) :])
-            if ids is None or mark is None or not bare:
-                rest.append(w)
-            else:
-                table[w] = ids + mark
-        # what is left holds a part not met before, or is no plain word
+        found = list(map(known.get, words))
         plain, other = [], []
-        for w in rest:
-            m = _PLAIN.fullmatch(w)
-            if m:
-                plain.append((w, self.fold(m[1]), m[2]))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            if _PLAIN.fullmatch(words[i]):
+                plain.append((i, self.fold(words[i])))
             else:
-                other.append(w)
-        self._learn_parts(list({x[1] for x in plain}.difference(known)))
-        marks = list({x[2] for x in plain}.difference(known))
-        known.update((w, p.tobytes()) for w, p in zip(marks, self._ids(marks)))
-        for w, bare, mark in plain:
-            table[w] = known[bare] + known[mark]
-        table.update((w, p.tobytes()) for w, p in zip(other, self._ids(other)))
-        return table
+                other.append(i)
+        self._learn_parts(list({w for _, w in plain}.difference(known)))
+        for i, w in plain:
+            found[i] = known[w]
+        for i, p in zip(other, self._ids([words[i] for i in other])):
+            found[i] = p.tobytes()
+        return found
 
     def encode_all(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a run. Words are told apart by 64-bit hashes; only distinct ones become strings."""
         hashes, starts, ends, at, blobs, base, words = [], [], [], [np.zeros(1, np.int64)], [], 0, 0
         for _, data, offsets in text_pieces(column):
-            h, w, a, b = word_spans(data, offsets, self.fold is str.lower)
+            if self.fold is str.lower:
+                low = _LOWER[data]
+                whole = low.tobytes()
+                data = data if any(t in whole for t in self.added) else low
+            h, w, a, b = word_spans(data, offsets, False, _MARK_BYTES)
             hashes.append(h)
             starts.append(a + base)
             ends.append(b + base)
@@ -121,12 +117,12 @@ class WordEncoder:
         if not blobs:
             return []
         at = np.concatenate(at)
-        _, first, where = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        where = pa.array(np.concatenate(hashes)).dictionary_encode().indices.to_numpy()  # numbered as first met
+        upto = np.maximum.accumulate(where)
+        first = np.flatnonzero(np.diff(upto, prepend=-1))
         raw = np.concatenate(blobs).tobytes()
         spans = zip(np.concatenate(starts)[first].tolist(), np.concatenate(ends)[first].tolist())
-        distinct = [raw[a:b].decode() for a, b in spans]
-        table = self._table(set(distinct))
-        ids = [table[w] for w in distinct]
+        ids = self._word_ids([raw[a:b].decode() for a, b in spans])
         width = np.dtype(self.dtype).itemsize
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
         begin = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(sizes) else sizes
@@ -150,11 +146,11 @@ def encoder(path: str) -> WordEncoder:
 # --- grammar ------------------------------------------------------------------------------------------------------
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    """20 bits of a multiplicative hash."""
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Upper bits of a multiplicative hash."""
     if keys.dtype == np.uint32:
-        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(12)
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, first_free: int, rounds: int = ROUNDS, least: int = LEAST) -> dict:
@@ -187,14 +183,16 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_free: int, rounds: int =
             top = np.sort(np.argsort(-n, kind="stable")[:most])
             distinct, n = distinct[top], n[top]
         # a table of pairs by a multiplicative hash; of pairs that collide the more frequent one waits for no round
-        slot = _slots(distinct)
+        # a table of few pairs is small enough to stay near the processor
+        bits, narrow = (18, np.int16) if len(distinct) < 1 << 15 else (20, np.int32)
+        slot = _slots(distinct, bits)
         rank = np.argsort(n, kind="stable")
-        table = np.full(1 << 20, -1, np.int32)
+        table = np.full(1 << bits, -1, narrow)
         table[slot[rank]] = rank
         kept = np.flatnonzero(table[slot] == np.arange(len(distinct)))
         new = np.full(len(distinct), -1, np.int64)
         new[kept] = np.arange(len(kept))
-        found = table[_slots(keys)]
+        found = table[_slots(keys, bits)]
         hit = (found >= 0) & (distinct[found] == keys) & ~last[:-1]
         # of overlapping pairs every second one, from the left
         at = np.flatnonzero(hit)
@@ -204,7 +202,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, first_free: int, rounds: int =
         offset = np.arange(len(at)) - np.repeat(run, np.diff(np.concatenate((run, [len(at)]))))
         at = at[offset % 2 == 0]
         rule = new[found[at]]
-        used, rule = np.unique(rule, return_inverse=True)
+        taken = np.bincount(rule, minlength=len(kept)) > 0
+        used, rule = np.flatnonzero(taken), (np.cumsum(taken) - 1)[rule]
         pairs = distinct[kept[used]]
         base = bounds[-1]
         left.append((pairs >> shift).astype(np.int64))

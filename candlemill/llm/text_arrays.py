@@ -62,8 +62,33 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, at
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As ``word_hashes``, and the first byte and the end of every word; without ``fold``, A-Z stay as they are."""
+_ASCII = np.zeros(256, bool)
+_ASCII[65:91] = _ASCII[97:123] = True
+_SECOND = np.zeros(256, bool)  # second bytes of the letters U+00C0 to U+00FF
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+
+
+def _tails(data: np.ndarray, begin: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Where marks begin that end a word otherwise of Latin letters. ``begin``: first bytes of words."""
+    plain = _ASCII[data]
+    pair = np.flatnonzero((data[:-1] == 0xC3) & _SECOND[data[1:]])
+    plain[pair] = plain[pair + 1] = True
+    mark = marks[data]
+    broken = ~(plain | mark | _SPACE[data]) | (mark & begin)
+    broken[1:] |= plain[1:] & mark[:-1] & ~begin[1:]
+    starts = np.flatnonzero(begin)
+    at = np.flatnonzero(mark[1:] & plain[:-1] & ~begin[1:]) + 1
+    return at[~np.logical_or.reduceat(broken, starts)[np.searchsorted(starts, at, "right") - 1]]
+
+
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, fold: bool = True, marks: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and the first byte and the end of every word; without ``fold``, A-Z stay as they are.
+
+    ``marks`` (of 256 bytes, those that are marks) parts a word of Latin letters from the marks behind it: two words.
+    """
     n, none = len(data), np.zeros(0, np.int64)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none
@@ -73,6 +98,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tupl
     begin[1:] &= ~letter[:-1]
     edges = offsets[:-1][offsets[:-1] < n]
     begin[edges] = letter[edges]
+    if marks is not None and begin.any():
+        begin[_tails(data, begin, marks)] = True
     starts = np.flatnonzero(begin)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none

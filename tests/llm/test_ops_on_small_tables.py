@@ -295,6 +295,17 @@ def test_words_of_a_tokenizer_that_keeps_case(tmp_path):
     assert repair_tokens.WordEncoder(TOKENIZER).fold is str.lower
 
 
+def test_added_tokens_are_told_apart_by_case():
+    import pyarrow as pa
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    texts = ["a <|ENDOFTEXT|> b", "a <|endoftext|> b", "The the THE,", "x<|EndOfText|>y X<|endoftext|>Y", "ÀÉ àé"]
+    own = repair_tokens.WordEncoder(TOKENIZER)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for run in (texts, texts[::-1], texts):
+        assert [x.tolist() for x in own.encode_all(pa.array(run))] == [want[texts.index(t)] for t in run]
+
+
 def test_grammar_round_trip():
     draw = np.random.default_rng(2)
     for size, vocabulary in ((0, 5), (1, 5), (5_000, 3), (20_000, 200), (300, 70_000)):

@@ -50,40 +50,47 @@ def _leaf(node: Node) -> Column:
     return F.when(_key(node.dim) < F.lit(node.cut), _leaf(node.left)).otherwise(_leaf(node.right))
 
 
+def _of_node(values: Mapping[int, int], shards: int) -> Column:
+    """``values`` by ``node`` as one array literal, null at other nodes: data of the plan, no part of its generated code."""
+    return F.get(F.array(*[F.lit(values.get(k)).cast("long") for k in range(shards)]), F.col("node"))
+
+
 def _open_leaves(node: Node) -> list[Node]:
     return [node] if node.left is None else [*_open_leaves(node.left), *_open_leaves(node.right)]
 
 
 def build_tree(meta: DataFrame, dims: list[str], shards: int, slack: float) -> Node:
-    """The tree over ``meta`` (scaled dimensions, ``th``, ``ih``, ``size``). Each job brings back one row per node."""
+    """The tree over ``meta`` (scaled dimensions, ``th``, ``ih``, ``size``). Each job brings back one row per node.
+
+    Each row's node is written after a level. What differs between nodes and rounds stands in array literals, so that the
+    driver compiles the jobs of one refinement for all levels once.
+    """
     root = Node(0, shards)
     total = meta.agg(F.sum("size")).head()[0] or 0
+    placed = meta.select("size", "th", "ih", *dims).withColumn("node", F.lit(0))
     while nodes := [n for n in _open_leaves(root) if n.leaves > 1]:
         by = {n.first: n for n in nodes}
-        placed = meta.withColumn("node", _leaf(root)).filter(F.col("node").isin([n.first for n in nodes]))
-        spans = placed.groupBy("node").agg(F.sum("size").alias("bytes"), *[(F.max(d) - F.min(d)).alias(d) for d in dims]).collect()
+        inner = placed.filter(_of_node({k: 1 for k in by}, shards).isNotNull())
+        spans = inner.groupBy("node").agg(F.sum("size").alias("bytes"), *[(F.max(d) - F.min(d)).alias(d) for d in dims]).collect()
         spans = {r["node"]: r for r in spans}
         goal = {}
         for first, n in by.items():
             row = spans.get(first)
             n.dim = max(dims, key=lambda d: (row[d], -dims.index(d))) if row else dims[0]
             goal[first] = row["bytes"] * (n.leaves // 2) // n.leaves if row else 0
-        key = F.coalesce(*[F.when(F.col("node") == k, _key(n.dim)) for k, n in by.items()])
-        keyed = placed.select("node", key.alias("key"), "size")
+        along = _of_node({k: dims.index(n.dim) for k, n in by.items()}, shards)
+        key = F.coalesce(*[F.when(along == i, _key(d)) for i, d in enumerate(dims)])
+        keyed = inner.select("node", key.alias("key"), "size")
         low = {k: 0 for k in by}
         before = {k: 0 for k in by}
         todo, shift = set(by), KEY_BITS
         while todo:
             shift -= BITS
             # rows inside the bucket that holds the cut, so far known to its upper bits
-            inside = None
-            for k in sorted(todo):
-                c = (F.col("node") == k) & (F.shiftright("key", shift + BITS) == F.lit(low[k] >> (shift + BITS)))
-                inside = c if inside is None else inside | c
+            inside = F.shiftright("key", shift + BITS) == _of_node({k: low[k] >> (shift + BITS) for k in todo}, shards)
             sums = keyed.filter(inside).groupBy("node", F.shiftright("key", shift).alias("bucket")).agg(F.sum("size").alias("bytes"))
             up = Window.partitionBy("node").orderBy("bucket")
-            start = F.coalesce(*[F.when(F.col("node") == k, F.lit(before[k])) for k in sorted(todo)])
-            want = F.coalesce(*[F.when(F.col("node") == k, F.lit(goal[k])) for k in sorted(todo)])
+            start, want = _of_node(before, shards), _of_node(goal, shards)
             sums = sums.withColumn("upto", start + F.sum("bytes").over(up))
             hits = sums.filter(F.col("upto") > want).groupBy("node").agg(F.min(F.struct("bucket", "upto", "bytes")).alias("hit")).collect()
             hits = {r["node"]: r["hit"] for r in hits}
@@ -103,6 +110,9 @@ def build_tree(meta: DataFrame, dims: list[str], shards: int, slack: float) -> N
             n.cut = low[k]
             n.left = Node(n.first, n.leaves // 2)
             n.right = Node(n.first + n.leaves // 2, n.leaves - n.leaves // 2)
+        if any(n.leaves > 1 for n in _open_leaves(root)):
+            cut, half = _of_node(low, shards), _of_node({k: n.leaves // 2 for k, n in by.items()}, shards)
+            placed = written(placed.withColumn("node", F.when(key >= cut, F.col("node") + half.cast("int")).otherwise(F.col("node"))), "shard-nodes")
     return root
 
 

@@ -549,3 +549,19 @@ def test_recall_raises_the_window(spark):
             got[r.query_id].add(r.vec_id)
         found[recall] = np.mean([len(got[20 * i] & set(b.tolist())) / 10 for i, b in enumerate(best)])
     assert found[None] < 0.8 and found[0.9] >= 0.9
+
+
+def test_more_levels_of_the_tree_compile_no_more_code(spark):
+    """Cuts and goals are data of the plans: the driver keeps what it has compiled for the first levels."""
+    table = docs(spark, [(i, f"word {i % 7} " * (1 + i % 31), None) for i in range(400)])
+    compiled = spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME()
+
+    def spent(shards):
+        before = compiled.getCount()
+        kd_shards.kd_shards(table, shards).select("shard").collect()
+        return compiled.getCount() - before
+
+    spent(4)
+    few, many = spent(5), spent(48)
+    print("classes compiled", few, many)
+    assert many <= few + 30

@@ -18,6 +18,9 @@ BROADCAST_ROWS = 1_000_000
 OPEN, CLOSE = "␂", "␃"
 NAME = r"([\p{Ll}\p{N},;:] )(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
 TOKEN = OPEN + "[^" + CLOSE + "]*" + CLOSE + r"|[0-9]+(?:[.,:/][0-9]+)*|\p{L}+"
+# The same for Java with possessive groups: its greedy ones call themselves once a repetition, so a long list of names or numbers overflows the stack
+# and ends the executor. Nothing follows a group that it could give back to, so both match alike.
+LONG_NAME, LONG_TOKEN = NAME.replace(")*)", ")*+)"), TOKEN.replace("+)*|", "+)*+|")
 # Units.
 UNITS = (
     "mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "oz", "lb", "lbs", "ml", "l", "s", "sec", "min", "h", "hr", "hrs", "day", "days",
@@ -28,8 +31,8 @@ UNITS = (
 
 
 def tokens_of(text: Column) -> Column:
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), NAME, f"$1{OPEN}$2{CLOSE}")
-    return F.regexp_extract_all(marked, F.lit(f"({TOKEN})"), 1)
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), LONG_NAME, f"$1{OPEN}$2{CLOSE}")
+    return F.regexp_extract_all(marked, F.lit(f"({LONG_TOKEN})"), 1)
 
 
 def _is_number(token: Column) -> Column:

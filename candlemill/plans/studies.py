@@ -24,9 +24,10 @@ def pattern_study(
     events = written(events, "events")
     n_bars = bars.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_bars"))
     trades = written(O.overlap_filter(X.with_portfolio(events), n_bars, procedure.horizons, procedure.overlap_policy), "trades")
-    outcomes = written(X.horizon_outcomes(bars, procedure.horizons, procedure.costs), "outcomes")
-    states = written(T.trailing_volatility(bars, procedure.volatility_lookback), "states")
-    obs = written(N.observations(bars, n_bars, events, trades, procedure, outcomes, states, N.minimum_entries(config)), "observations")
+    exits = written(X.horizon_exits(bars, procedure.horizons), "exits")
+    states = bars.select("run_id", "bar_index", "close", "entry_spread")
+    states = written(T.trailing_volatility(states, procedure.volatility_lookback).drop("close"), "states")
+    obs = written(N.observations(bars, events, trades, procedure, exits, states, N.minimum_entries(config)), "observations")
     metrics = written(I.run_metrics(I.run_grid(runs, procedure.horizons), trades, obs), "metrics")
     return {
         "candidates": found.candidates, "events": events, "clusters": found.clusters, "trades": trades,
